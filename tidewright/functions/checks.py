@@ -23,7 +23,7 @@ def digits(c: Column | str) -> Column:
 
 def _luhn(c: Column | str, n: int) -> Column:
     d = digits(c)
-    return F.when(d.rlike(f"^[0-9]{{{n}}}$") & F.luhn_check(d), d)
+    return F.when(d.rlike(f"^[0-9]{{{n}}}$") & F.call_function("luhn_check", d), d)
 
 
 def siren(c: Column | str) -> Column:
@@ -53,7 +53,7 @@ def tva(c: Column | str) -> Column:
     """FR, a key of two digits and a valid company number: key = (12 + 3 * (number mod 97)) mod 97."""
     d = F.regexp_replace(F.upper(digits(c)), "^FR", "")
     number = F.substring(d, 3, 9)
-    ok = d.rlike("^[0-9]{11}$") & F.luhn_check(number)
+    ok = d.rlike("^[0-9]{11}$") & F.call_function("luhn_check", number)
     return F.when(ok, F.when(F.pmod(12 + 3 * F.pmod(number.try_cast("bigint"), F.lit(97)), F.lit(97)) == F.substring(d, 1, 2).try_cast("bigint"), d))
 
 
@@ -77,19 +77,25 @@ def date(c: Column | str) -> Column:
     for number, names in MONTHS.items():
         s = F.regexp_replace(s, rf"\b({names})\b\.?", number)
     s = F.regexp_replace(F.regexp_replace(s, r"(?<=[0-9])(er|st|nd|rd|th)\b", ""), r"[\s,.-]+", "/")
-    day_first = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
-    year_first = r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(t.*|/[0-9].*)?$"
-    y, m, d = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    y = F.coalesce(*[F.nullif(F.regexp_extract(s, p, g), F.lit("")) for p, g in ((day_first, 3), (year_first, 1), (r"^([0-9]{1,2})/([0-9]{4})$", 2))])
-    m = F.coalesce(*[F.nullif(F.regexp_extract(s, p, g), F.lit("")) for p, g in ((day_first, 2), (year_first, 2), (r"^([0-9]{1,2})/([0-9]{4})$", 1))])
-    d = F.coalesce(*[F.nullif(F.regexp_extract(s, p, g), F.lit("")) for p, g in ((day_first, 1), (year_first, 3))])
-    swap = (m.cast("int") > 12) & (d.cast("int") <= 12)
-    m, d = F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d)
-    two = lambda x: F.lpad(x, 2, "0")
-    ok = y.cast("int").between(FIRST_YEAR, LAST_YEAR) & m.cast("int").between(1, 12) & ~F.coalesce(col(c).rlike("^[0-9]+$"), F.lit(True))
-    full = F.concat_ws("/", two(d), two(m), y)
-    real = F.try_to_timestamp(full, F.lit("dd/MM/yyyy")).isNotNull()
-    return F.when(ok & d.isNotNull() & real, full).when(ok & d.isNull(), F.concat_ws("/", two(m), y))
+    day_first, year_first, month_only = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})(t.*|/[0-9].*)?$", r"^([0-9]{1,2})/([0-9]{4})$"
+
+    def part(x: Column, *found: tuple[str, int]) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract(x, p, g), F.lit("")) for p, g in found]).cast("int")
+
+    def parts(x: Column) -> Column:
+        return F.struct(part(x, (day_first, 3), (year_first, 1), (month_only, 2)).alias("y"), part(x, (day_first, 2), (year_first, 2), (month_only, 1)).alias("m"), part(x, (day_first, 1), (year_first, 3)).alias("d"))
+
+    def shown(p: Column) -> Column:
+        swap = (p["m"] > 12) & (p["d"] <= 12)
+        two = lambda x: F.lpad(x.cast("string"), 2, "0")
+        m, d = F.when(swap, p["d"]).otherwise(p["m"]), F.when(swap, p["m"]).otherwise(p["d"])
+        ok = p["y"].between(FIRST_YEAR, LAST_YEAR) & m.between(1, 12)
+        full = F.concat_ws("/", two(d), two(m), p["y"].cast("string"))
+        return F.when(ok & d.isNotNull() & F.try_to_timestamp(full, F.lit("dd/MM/yyyy")).isNotNull(), full).when(ok & d.isNull(), F.concat_ws("/", two(m), p["y"].cast("string")))
+
+    # each step is bound once: as plain nesting the text would be rewritten for every part
+    bound = F.transform(F.transform(F.array(s), parts), shown)
+    return F.when(~F.coalesce(col(c).rlike("^[0-9]+$"), F.lit(True)), F.get(bound, F.lit(0)))
 
 
 def year(c: Column | str) -> Column:

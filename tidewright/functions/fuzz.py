@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def ratio(a: str, b: str) -> int:
@@ -50,7 +51,7 @@ def subsequence_span(small: list, large: list) -> tuple[int, int] | None:
 
 
 def _udf(f):
-    @F.pandas_udf("int")
+    @F.pandas_udf(IntegerType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([f(x, y) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)], dtype="int32")
 

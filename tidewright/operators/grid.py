@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import fuzz
 from ..functions.text import acronym, bracketed_acronym, case_phrase, research_unit, tokens
@@ -101,7 +102,7 @@ def string_score(a: str, b: str) -> float:
     return best if best > 60 else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def best_string_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best score of the variants of two rows (arrays of normalized texts)."""
     return pd.Series([max((string_score(x, y) for x in p for y in q), default=0.0) if p is not None and q is not None else 0.0 for p, q in zip(a, b, strict=True)])

@@ -25,8 +25,12 @@ def unpivot(df: DataFrame, columns: list[str], name: str = "col", value: str = "
 
 
 def top_values(df: DataFrame, columns: list[str], top_n: int = TOP_VALUES) -> DataFrame:
-    """(col, val, n, share, rank): the top_n values of each column, nulls aside, ties by value."""
-    counted = unpivot(df, columns).where("val is not null").groupBy("col", "val").agg(F.count(F.lit(1)).alias("n"))
+    return top_of(unpivot(df, columns), top_n)
+
+
+def top_of(cells: DataFrame, top_n: int = TOP_VALUES) -> DataFrame:
+    """(col, val, n, share, rank): the top_n values of each column of (col, val), nulls aside, ties by value."""
+    counted = cells.where("val is not null").groupBy("col", "val").agg(F.count(F.lit(1)).alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("n"), "val")))
     total = counted.groupBy("col").agg(F.sum("n").alias("total"))
     return ranked.where(F.col("rank") <= top_n).join(F.broadcast(total), "col").select("col", "val", "n", (F.col("n") / F.col("total")).alias("share"), "rank")
