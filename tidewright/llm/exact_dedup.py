@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import stored, tune
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -28,14 +28,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep"))
     several = groups.where("_n > 1").select("_h")
     bytes_in = rows.select("_h", "_text").join(several, "_h", "left_semi").groupBy("_h").agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi"))
-    collided = bytes_in.where("_lo != _hi").select("_h")
-    light = rows.select("_id", "_h", F.sha2("_text", 256).alias("text_sha256"))
-    regular = light.join(groups, "_h").join(collided, "_h", "left_anti")
-    odd = rows.join(collided, "_h", "left_semi")
-    odd_groups = odd.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep"))
-    again = odd.join(odd_groups, "_text").select("_id", "_h", F.sha2("_text", 256).alias("text_sha256"), "_n", "_keep")
+    collided, _ = stored(bytes_in.where("_lo != _hi").select("_h"), "collided")
+    found = rows.select("_id", "_h", F.sha2("_text", 256).alias("text_sha256")).join(groups, "_h")
+    if collided.limit(1).count():
+        odd = rows.join(collided, "_h", "left_semi")
+        odd_groups = odd.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep"))
+        again = odd.join(odd_groups, "_text").select("_id", "_h", F.sha2("_text", 256).alias("text_sha256"), "_n", "_keep")
+        found = found.join(collided, "_h", "left_anti").unionByName(again)
     # of repeated rows with the kept id only one is kept
-    found = regular.unionByName(again)
     winners = found.where(F.col("_id").eqNullSafe(F.col("_keep")))
     others = found.where(~F.col("_id").eqNullSafe(F.col("_keep"))).withColumn("kept", F.lit(False))
     first = F.row_number().over(Window.partitionBy("text_sha256", "_id").orderBy("_h"))
@@ -46,11 +46,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; of repeated rows one stays."""
+    """The rows of docs that exact_dedup keeps, with all their columns; of repeated rows one stays.
+
+    Where ids are unique and not null, the dropped ids leave by an anti join, which moves texts once; else rows are
+    told apart by id and content, and repeated ones are numbered.
+    """
     found = exact_dedup(docs, id_col, text_col, keep)
-    kept = found.where("kept").select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha"))
-    cols = docs.columns
-    key = docs.withColumn("_ksha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    joined = key.join(kept, (key["_ksha"] == kept["_ksha"]) & key[id_col].eqNullSafe(kept["_kid"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col, "_ksha").orderBy(*[F.col(c) for c in cols if c not in (id_col, text_col)] or [F.lit(1)]))
-    return joined.withColumn("_nth", first).where("_nth = 1").select(*cols)
+    twice = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where(F.col(id_col).isNull() | (F.col("_n") > 1))
+    if not twice.limit(1).count():
+        return docs.join(found.where("not kept").select(id_col), id_col, "left_anti").select(*docs.columns)
+    kept = found.where("kept").select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_kid"), F.col("text_sha256").alias("_ksha"))
+    keyed = docs.withColumn("_kid", F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).withColumn("_ksha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    joined = keyed.join(kept, ["_kid", "_ksha"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_kid", "_ksha").orderBy(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(1)]))
+    return joined.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
