@@ -2,11 +2,12 @@
 
 The distance of two documents is 1 - Jaccard similarity of their sets of word shingles. Unrelated documents are at
 distance 1 from any document, so the first level takes sets of one shingle as pivots: the region of a pivot holds the
-documents with that shingle. A document's pivots stand in one global order (common shingles last) and it is replicated
-to the regions of its first ones only: a partner at distance 0.2 or less misses at most a fifth of the shingles, so it
-is in one of these regions too, and its size is within a fifth. Regions that share documents are joined to one. Inside,
-documents are pivots of balls of radius 0.2; a document at distance d > 0.2 from a pivot can only be linked with
-members of that ball at distance d - 0.2 or more, and with none if d > 0.4.
+documents with that shingle. A document's pivots stand in one global order (by the number of documents that have them,
+rare ones first) and it is replicated to the regions of its first ones only: a partner at distance 0.2 or less misses
+at most a fifth of the shingles, so it is in one of these regions too, and its size is within a fifth. A shingle of a
+single document has an empty region besides, so documents with a fifth of such shingles leave at once. Regions that
+share documents are joined to one. Inside, documents are pivots of balls of radius 0.2; a document at distance d > 0.2
+from a pivot can only be linked with members of that ball at distance d - 0.2 or more, and with none if d > 0.4.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, mix, parts, span_hashes, stored, tune, utf8
+from .common import drop, mix, parts, settle, span_hashes, stored, tidy, tune, utf8
 
 #: Words of a shingle; similarity in percent.
 SHINGLE, PERCENT = 5, 80
-#: Shingles that a task reports as common at most, and that all tasks know at most. They only set the order of pivots.
-TASK_COMMON, ALL_COMMON = 20_000, 200_000
+#: Sets that a task remembers as seen; blocks of documents for each shuffle partition.
+MOST_SEEN, BLOCKS = 200_000, 4
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -55,7 +57,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[n
     per_doc = np.bincount(doc, minlength=n)
     first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
     x = h.copy()
-    for j in range(1, k):
+    for j in range(1, min(k, len(h))):
         x[: len(h) - j] = mix(x[: len(h) - j] * _STEP[0] + h[j:] + np.uint64(j))
     full = np.flatnonzero(doc[: len(h) - k + 1] == doc[k - 1 :]) if len(h) >= k else np.zeros(0, np.int64)
     owner, value = doc[full], x[full]
@@ -89,78 +91,77 @@ def prefix_size(n: np.ndarray | int, percent: int = PERCENT):
     return n - (n * percent + 99) // 100 + 1
 
 
-def common_shingles(texts: DataFrame) -> np.ndarray:
-    """Rows (hash, count), hashes ascending, of shingles that many distinct texts of a task share, added up over tasks."""
+def in_order(values: np.ndarray, off: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Where each set's shingles stand in the global order: by rank, then by hash."""
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    return np.argsort(owner * 256 + rank, kind="stable")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        many = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        recent: list[np.ndarray] = []
-
-        def merged(least: int):
-            h, n = np.unique(np.concatenate(recent), return_counts=True) if recent else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            h, n = np.concatenate([many[0], h]), np.concatenate([many[1], n])
-            u, at = np.unique(h, return_inverse=True)
-            n = np.bincount(at, weights=n, minlength=len(u)).astype(np.int64)
-            u, n = u[n >= least], n[n >= least]
-            top = np.argsort(-n, kind="stable")[:TASK_COMMON]
-            return u[top], n[top]
 
-        for b in batches:
-            values, off = shingle_sets(*utf8(b.column(0)))
-            s, _ = signatures(values, off)
-            new = [i for i, x in enumerate(s.tolist()) if x not in seen and not seen.add(x)]
-            recent += [values[off[i] : off[i + 1]] for i in new]
-            if sum(map(len, recent)) > 4_000_000:
-                many, recent = merged(3), []
-        h, n = merged(4)
-        if len(h):
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    found = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ALL_COMMON).collect()
-    out = np.array([(r[0], r[1]) for r in found], np.int64).reshape(-1, 2)
-    return out[np.argsort(out[:, 0].view(np.uint64))]
-
-
-def in_pivot_order(values: np.ndarray, off: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The sets with each one's shingles in the global order: common ones last, by how common they are, then by hash."""
-    known = common[:, 0].copy().view(np.uint64)
-    if not len(known) or not len(values):
-        return values
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    hit = known[at] == values
-    if not hit.any():
-        return values
-    rank = np.where(hit, np.maximum(1, (np.log2(common[at, 1]) * 4).astype(np.int64)), 0)
-    owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    return values[np.argsort(owner * 256 + np.minimum(rank, 255), kind="stable")]
+def to_blob(hashes: np.ndarray, ranks: np.ndarray | None = None) -> bytes:
+    """Ascending 32-bit numbers as differences of two bytes (four if one is larger), with a byte of rank each."""
+    step = np.diff(hashes.astype(np.int64), prepend=hashes[:1].astype(np.int64))
+    wide = len(step) and int(step.max()) > 0xFFFF
+    head = np.array([len(hashes), hashes[0] if len(hashes) else 0, bool(wide)], "<u4").tobytes()
+    return head + step.astype("<u4" if wide else "<u2").tobytes() + (b"" if ranks is None else ranks.astype(np.uint8).tobytes())
+
+
+def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, first, wide = np.frombuffer(blob, "<u4", 3)
+    kind = np.dtype("<u4" if wide else "<u2")
+    step = np.frombuffer(blob, kind, n, 12)
+    return (np.cumsum(step, dtype=np.int64) + first).astype(np.uint32), np.frombuffer(blob, np.uint8, offset=12 + int(n) * kind.itemsize)
+
+
+def ranks_of(short: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Ranks of shingles by the upper half of their hashes; 0: in one set only."""
+    if not len(known) or not len(short):
+        return np.zeros(len(short), np.int64)
+    at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+    return np.where(known[at] == short, ranks[at], 0).astype(np.int64)
+
+
+def stars(pairs: dict) -> dict[int, int]:
+    """Links (keys of pairs) to node: least node of its component, for all nodes but these."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {x: r for x in list(up) if (r := find(x)) != x}
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links to (node, root), root the least node of its component; rounds of large and small stars.
+    """(a, b) links to (node, root), root the least node of its component.
 
-    Each round is written to the shared folder; nothing but two sums comes to the driver.
+    In a round each link goes to the partitions of both its nodes, where the links that meet are contracted to stars:
+    what a node is linked with meets there, so the way to the least node shortens until all stars are whole. Each
+    round is written to the shared folder; nothing but two sums comes to the driver.
     """
     spark = edges.sparkSession
-    pair = lambda e: e.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, path = stored(pair(edges), "links")
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[tuple[int, int], None] = {}
+        for b in batches:
+            met.update(dict.fromkeys(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+        out = stars(met)
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["a", "b"])
+        tidy()
+
+    now, path = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
-    while True:
-        total = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if total == before or not total[0]:
-            break
+    while (total := tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())) != before and total[0]:
         before = total
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = pair(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        new, new_path = stored(pair(small), "links")
+        both = now.select("a", "b", F.explode(F.array("a", "b")).alias("at")).repartition(parts(spark), "at").select("a", "b")
+        new, new_path = stored(both.mapInArrow(contract, "a long, b long").distinct(), "links")
         drop(spark, path)
         now, path = new, new_path
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 class Union:
@@ -196,12 +197,16 @@ def join_region(sets: list[np.ndarray], pivots: list[np.ndarray], percent: int =
     radius = 1 - percent / 100
     union = Union(len(sets))
     balls: list[tuple[int, list[int], list[float]]] = []  # pivot, members, their distances from it
-    of_shingle: dict[int, list[int]] = {}
+    of_shingle: dict[int, int | list[int]] = {}  # a ball, or several
     for y in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
         met: set[int] = set()
         own = pivots[y].tolist()
         for s in own:
-            met.update(of_shingle.get(s, ()))
+            known = of_shingle.get(s)
+            if type(known) is int:
+                met.add(known)
+            elif known:
+                met.update(known)
         home = None
         for k in sorted(met):
             p, members, distance = balls[k]
@@ -227,9 +232,12 @@ def join_region(sets: list[np.ndarray], pivots: list[np.ndarray], percent: int =
             home = len(balls)
             balls.append((y, [y], [0.0]))
         for s in own:
-            known = of_shingle.setdefault(s, [])
-            if home not in known:
-                known.append(home)
+            known = of_shingle.setdefault(s, home)
+            if type(known) is list:
+                if home not in known:
+                    known.append(home)
+            elif known != home:
+                of_shingle[s] = [known, home]
     return [union.find(i) for i in range(len(sets))]
 
 
@@ -240,90 +248,206 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all of them up to what the components need. Null or empty texts and those without words have no shingles and are
     linked with nothing: component_id is their own id. Null ids are ignored for the smallest id unless a component has
     no other. Other columns are ignored. An empty table gives no rows.
-    Sets of all texts never meet: what travels is a fifth of the shingle hashes, then texts once to be matched with the
-    regions, then the sets of texts that share a first pivot with another.
+    What travels: texts twice (one of a task's equal sets) to blocks by the signature of their sets; two bytes for each
+    shingle of a block, to be counted by ranges of hashes, and three back for each that others have too; then the sets,
+    and few pivots each, of texts four fifths of whose shingles occur elsewhere.
     """
     spark = tune(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    common = spark.sparkContext.broadcast(common_shingles(base.select("text")))
+    n_parts = parts(spark)
+    n_blocks = BLOCKS * n_parts
+
+    def sets_of(b: pa.RecordBatch, column: int):
+        values, off = shingle_sets(*utf8(b.column(column)), k)
+        return values, off, *signatures(values, off)
 
-    def first_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block for each set; the text stays with the first of a task's equal sets only."""
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            values, off = shingle_sets(*utf8(b.column(1)), k)
-            s1, s2 = signatures(values, off)
+            values, off, s1, s2 = sets_of(b, 1)
             n = np.diff(off)
-            ordered = in_pivot_order(values, off, common.value)
-            take = np.where(n > 0, prefix_size(n, percent), 0)
-            at = np.arange(len(ordered)) - np.repeat(off[:-1], n) < np.repeat(take, n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(ordered[at].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), lists], names=["doc_id", "n", "s1", "s2", "pivots"])
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            new = np.array([size > 0 and x not in seen and not seen.add(x) for size, x in zip(n.tolist(), zip(s1.tolist(), s2.tolist(), strict=True), strict=True)], bool)
+            text = pc.if_else(pa.array(new), b.column(1), pa.nulls(len(n), b.column(1).type))
+            yield pa.RecordBatch.from_arrays([pa.array((s1.view(np.uint64) % np.uint64(n_blocks)).astype(np.int32)), b.column(0), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), text], names=["block", "doc_id", "n", "s1", "s2", "text"])
+        tidy()
+
+    placed = base.mapInArrow(to_blocks, "block int, doc_id long, n int, s1 long, s2 long, text string")
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Passes the light rows on, and for each range of hashes the sorted upper halves of the block's shingles."""
+        names = ["doc_id", "n", "s1", "s2", "range", "block", "blob"]
+
+        def blobs(block: int, found: list[np.ndarray]) -> pa.RecordBatch:
+            h = np.sort(np.concatenate(found))
+            edges = np.searchsorted(h, (np.arange(n_parts + 1) * (1 << 32) // n_parts).astype(np.uint64))
+            out = [(i, to_blob(h[x:y])) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+            none = pa.nulls(len(out), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.nulls(len(out), pa.int32()), none, none, pa.array([i for i, _ in out], pa.int32()), pa.array([block] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=names)
+
+        block, found, seen = None, [], set()
+        for b in batches:
+            blocks = b.column(0).to_numpy()
+            no = pa.nulls(b.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), b.column(4), no, no, pa.nulls(b.num_rows, pa.binary())], names=names)
+            values, off, s1, s2 = sets_of(b, 5)
+            short = (values >> np.uint64(32)).astype(np.uint32)
+            for i in np.flatnonzero(np.diff(off)).tolist():
+                if blocks[i] != block:
+                    if found:
+                        yield blobs(block, found)
+                    block, found, seen = int(blocks[i]), [], set()
+                if (x := (s1[i], s2[i])) not in seen:
+                    seen.add(x)
+                    found.append(short[off[i] : off[i + 1]])
+        if found:
+            yield blobs(block, found)
+        tidy()
 
-    schema = "doc_id long, n int, s1 long, s2 long, pivots array<long>"
-    made, _ = stored(base.mapInArrow(first_pivots, schema), "pivots")
-    sets = made.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    sorted_blocks = placed.repartition(n_parts, "block").sortWithinPartitions("block")
+    told, told_path = stored(sorted_blocks.mapInArrow(share, "doc_id long, n int, s1 long, s2 long, range int, block int, blob binary"), "shares")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts the shingles of a range over all blocks and answers each block with its repeated ones and their ranks."""
+
+        def answers(got: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate([x for _, x in got]), return_counts=True)
+            h, rank = h[n > 1], np.minimum(255, 1 + (4 * np.log2(n[n > 1])).astype(np.int64))
+            out = []
+            for block, x in got:
+                r = ranks_of(x, h, rank)
+                x, at = np.unique(x[r > 0], return_index=True)
+                if len(x):
+                    out.append((block, to_blob(x, r[r > 0][at])))
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "blob"])
+
+        last, got = None, []
+        for b in batches:
+            for part, block, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if part != last:
+                    if got:
+                        yield answers(got)
+                    last, got = part, []
+                got.append((block, from_blob(blob)[0]))
+        if got:
+            yield answers(got)
+            del got
+        tidy()
+
+    shares = told.where("range is not null").select("range", "block", "blob").repartition(n_parts, "range").sortWithinPartitions("range")
+    answered, answered_path = stored(shares.mapInArrow(count, "block int, blob binary"), "ranks")
+    light, _ = stored(told.where("range is null").select("doc_id", "n", "s1", "s2"), "sets")
+    del shares, told, sorted_blocks
+    drop(spark, told_path)
+    settle(spark)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come with their ranks first, then their texts: sets one of whose first pivots others have too."""
+        block, blobs, known, ranks, seen = None, [], None, None, set()
+        for b in batches:
+            blocks, is_text = b.column(0).to_numpy(), b.column(1).to_numpy()
+            values, off, s1, s2 = sets_of(b, 3)
+            rows = []
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if blocks[x] != block:
+                    block, blobs, known, seen = int(blocks[x]), [], None, set()
+                first_text = x + int(np.searchsorted(is_text[x:y], 1))
+                if first_text > x:
+                    blobs += b.column(4).slice(x, first_text - x).to_pylist()
+                if first_text == y:
+                    continue
+                if known is None:
+                    parts_ = sorted((from_blob(z) for z in blobs), key=lambda z: int(z[0][0]))
+                    known = np.concatenate([z[0] for z in parts_]) if parts_ else np.zeros(0, np.uint32)
+                    ranks = np.concatenate([z[1] for z in parts_]) if parts_ else np.zeros(0, np.uint8)
+                    blobs = []
+                v, o = values[off[first_text] : off[y]], off[first_text : y + 1] - off[first_text]
+                rank = ranks_of((v >> np.uint64(32)).astype(np.uint32), known, ranks)
+                order = in_order(v, o, rank)
+                size = np.diff(o)
+                in_prefix = np.arange(len(v)) - np.repeat(o[:-1], size) < np.repeat(prefix_size(size, percent), size)
+                shared_ = in_prefix & (rank[order] > 0)
+                owner = np.repeat(np.arange(len(size)), size)
+                for i in np.flatnonzero(np.bincount(owner[shared_], minlength=len(size))).tolist():
+                    j = first_text + i
+                    if (z := (int(s1[j]), int(s2[j]))) not in seen:
+                        seen.add(z)
+                        mine = slice(o[i], o[i + 1])
+                        first = v[order[mine][shared_[mine]]]
+                        rows.append((*z, b.column(2)[j].as_py(), v[mine].tobytes(), first.view(np.int64)))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))], names=["s1", "s2", "doc_id", "set", "first"])
+        tidy()
+
+    texts = placed.where("text is not null").select("block", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("blob"))
+    ranked = answered.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob")
+    both = texts.unionByName(ranked).repartition(n_parts, "block").sortWithinPartitions("block", "kind")
+    made, made_path = stored(both.mapInArrow(candidates, "s1 long, s2 long, doc_id long, set binary, first array<long>"), "candidates")
+    del both, texts, ranked, placed, answered
+    drop(spark, answered_path)
+    settle(spark)
 
     def overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by pivot, then size: a region falls apart where the next size is out of reach; each part is a star."""
         last, head = None, None
         found: dict[tuple[int, int], None] = {}
+        most = 500_000
         for b in batches:
-            p, n, s = (b.column(i).to_numpy() for i in range(3))
-            for pivot, size, node in zip(p.tolist(), n.tolist(), s.tolist(), strict=True):
+            for pivot, size, node in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if last is not None and last[0] == pivot and 100 * last[1] >= percent * size:
                     if node != head:
                         found[node, head] = None
                 else:
                     head = node
                 last = pivot, size
-            if len(found) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["a", "b"])
-                found = {}
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["a", "b"])
-
-    rows = made.select(F.explode("pivots").alias("pivot"), "n", F.col("s1").alias("node"))
-    rows = rows.repartition(parts(spark), "pivot").sortWithinPartitions("pivot", "n", "node")
-    region_of = components(rows.mapInArrow(overlapping, "a long, b long"))
-    regions, regions_path = stored(region_of, "regions")
-    # one text of each set that shares a region with another set
-    members = sets.join(regions, sets["s1"] == regions["node"]).select(F.col("least").alias("doc_id"), "s1", "s2", "root").where("doc_id is not null")
-    texts = base.join(members, "doc_id").select("root", "s1", "s2", "doc_id", "text")
-
-    def region_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values, off = shingle_sets(*utf8(b.column(4)), k)
-            s1, s2 = signatures(values, off)
-            ordered = in_pivot_order(values, off, common.value)
-            same = np.flatnonzero((s1 == b.column(1).to_numpy()) & (s2 == b.column(2).to_numpy()))
-            out = [ordered[off[i] : off[i + 1]].tobytes() for i in same]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(same)), pa.array(s1[same]), pa.array(s2[same]), b.column(3).take(pa.array(same)), pa.array(out, pa.binary())], names=["root", "s1", "s2", "doc_id", "set"])
-
-    in_region = texts.mapInArrow(region_sets, "root long, s1 long, s2 long, doc_id long, set binary").dropDuplicates(["root", "s1", "s2"])
-    in_region = in_region.repartition(parts(spark), "root").sortWithinPartitions("root", "doc_id")
+            if len(found) > most:
+                found = dict.fromkeys(stars(found).items())
+                most = max(most, 2 * len(found))
+        out = stars(found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["a", "b"])
+        tidy()
+
+    # texts of several blocks' tasks may bring an equal set twice
+    sets = light.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    rows = made.select(F.explode("first").alias("pivot"), F.expr("octet_length(set) div 8").alias("n"), F.col("s1").alias("node"))
+    rows = rows.repartition(n_parts, "pivot").sortWithinPartitions("pivot", "n", "node")
+    links, links_path = stored(rows.mapInArrow(overlapping, "a long, b long"), "links")
+    regions, regions_path = stored(components(links), "regions")
+    drop(spark, links_path)
+    least = sets.select(F.col("s1").alias("_a"), F.col("s2").alias("_b"), "least")
+    in_region = made.join(regions, made["s1"] == regions["node"]).drop("doc_id").join(least, (F.col("s1") == F.col("_a")) & (F.col("s2") == F.col("_b")))
+    in_region = in_region.select("root", "s1", "s2", F.col("least").alias("doc_id"), "set", "first")
+    in_region = in_region.repartition(n_parts, "root").sortWithinPartitions("root", "doc_id")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(group):
-            ordered = [np.frombuffer(r[4], np.uint64) for r in group]
-            first = [o[: prefix_size(len(o), percent)] for o in ordered]
-            comp = join_region([np.sort(o) for o in ordered], first, percent)
+            group = list({r[1:3]: r for r in group}.values())  # an id that stands twice may bring its set twice
+            comp = join_region([np.frombuffer(r[4], np.uint64) for r in group], [np.array(r[5], np.int64).view(np.uint64) for r in group], percent)
             least: dict[int, int] = {}
             for c, r in zip(comp, group, strict=True):
-                least[c] = min(least.get(c, r[3]), r[3])
+                least[c] = r[3] if least.get(c) is None else least[c] if r[3] is None else min(least[c], r[3])
             cols = [[r[1] for r in group], [r[2] for r in group], [least[c] for c in comp]]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["s1", "s2", "component_id"])
 
         group: list = []
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if group and group[0][0] != r[0]:
                     yield solved(group)
                     group = []
                 group.append(r)
         if group:
             yield solved(group)
+            del group
+        tidy()
 
     joined, _ = stored(in_region.mapInArrow(join, "s1 long, s2 long, component_id long"), "components")
-    drop(spark, regions_path)
+    drop(spark, regions_path, made_path)
+    settle(spark)
     every = sets.select("s1", "s2", "least").join(joined, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id"))
-    out = made.select("doc_id", "n", "s1", "s2").join(every, ["s1", "s2"])
+    out = light.join(every, ["s1", "s2"])
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
