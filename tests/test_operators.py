@@ -259,3 +259,21 @@ def test_streams_take_fixed_steps(spark, data, tmp_path):
     q.stop()
     n = spark.sql("SELECT sum(n_modified) FROM changed").first()[0]
     assert n == spark.read.parquet(f"{data}/events.parquet").where("event_type = 'click'").count()
+
+
+def test_acronyms_and_addresses(spark):
+    rows = spark.createDataFrame([(0, "abcd about bright clear days here"), (1, "12 rue Victor Hugo Lyon")], "row_id long, v string")
+    cells = ct.cells_of(rows, ["v"])
+    assert [(r["row_id"], r["hit"]) for r in ct.acronym_hits(cells).collect()] == [(0, "ABCD")]
+    points = spark.createDataFrame([("12 rue Victor Hugo 69002 Lyon", "12 rue Victor Hugo", "69002", "Lyon"), ("1 quai Nord Lyon", "1 quai Nord", "69000", "Lyon")], "label string, street string, zip string, city string")
+    assert [(r["row_id"], r["zip"]) for r in ct.address_hits(cells, points).collect()] == [(1, "69002")]
+
+
+def test_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5, True, "x"), (2, 1.5, True, "y")], "id long, __CONFIDENCE double, __IS_MATCH boolean, n__REF string")
+    path = tables.export(df, f"{tmp_path}/r", "link")
+    got = {r["id"]: (r["__IS_MATCH"], r["n__REF"]) for r in spark.read.csv(path, header=True).collect()}
+    assert got == {"1": ("false", None), "2": ("true", "y")}
+    with pytest.raises(ValueError):
+        tables.export(df, f"{tmp_path}/s", "INIT")
+    assert tables.pad_rows([["a"], ["b", "c"]]) == [["a", ""], ["b", "c"]]

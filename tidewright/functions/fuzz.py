@@ -40,6 +40,11 @@ def token_set_ratio(a: str, b: str) -> int:
     return max(ratio(common, left), ratio(common, right), ratio(left, right))
 
 
+def address_score(a: str, b: str) -> int:
+    """Ratio and partial ratio of two normalized addresses added up; above 100 they are taken as the same."""
+    return ratio(a, b) + partial_ratio(a, b)
+
+
 def subsequence_span(small: list, large: list) -> tuple[int, int] | None:
     """First place where a subsequence begins and the last place that its last item has."""
     at, start = 0, None
@@ -58,4 +63,4 @@ def _udf(f):
     return run
 
 
-ratio_udf, partial_ratio_udf, token_sort_udf, token_set_udf = (_udf(f) for f in (ratio, partial_ratio, token_sort_ratio, token_set_ratio))
+ratio_udf, partial_ratio_udf, token_sort_udf, token_set_udf, address_udf = (_udf(f) for f in (ratio, partial_ratio, token_sort_ratio, token_set_ratio, address_score))

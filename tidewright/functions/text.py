@@ -184,8 +184,9 @@ def bracketed_acronym(c: Column | str) -> Column:
 
 def prefix_code(c: Column | str) -> Column:
     """(code, rest): the first five digits and what follows them, both null without them."""
-    has = F.substring(col(c), 1, 5).rlike("^[0-9]{5}$")
-    return F.struct(F.when(has, F.substring(col(c), 1, 5)).alias("code"), F.when(has, F.trim(F.expr("substring(" + (c if isinstance(c, str) else "value") + ", 6)"))).alias("rest"))
+    v = col(c)
+    has = F.substring(v, 1, 5).rlike("^[0-9]{5}$")
+    return F.struct(F.when(has, F.substring(v, 1, 5)).alias("code"), F.when(has, F.trim(F.substr(v, F.lit(6)))).alias("rest"))
 
 
 def key_of(cols: list[str], sep: str = " ") -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..functions.text import case_phrase, cover_score, fast_similarity, to_ascii, tokens
+from ..functions.fuzz import address_udf
+from ..functions.text import case_phrase, cover_score, fast_similarity, inner_acronyms, to_ascii, tokens
 from .joins import dictionary_join, edit_join, expand_variants, phrase_windows
 
 # fixed values
@@ -81,6 +82,38 @@ def matchers(level: int = 1, value: str = "value") -> list[Matcher]:
     return [m for m in found if m.level <= level]
 
 
+def composite(type_: str, regex: str, parts: list[tuple[str, str]], value: str = "value") -> list[Matcher]:
+    """A matcher for the whole and one for each group's type; every group has to meet its own pattern."""
+    groups = [F.regexp_extract(F.col(value), regex, i) for i in range(1, len(parts) + 1)]
+    ok = F.col(value).rlike(regex)
+    for g, (_, valid) in zip(groups, parts, strict=True):
+        ok = ok & g.rlike(valid)
+    return [Matcher(type_, F.when(ok, F.col(value))), *(Matcher(t, F.when(ok, g)) for g, (t, _) in zip(groups, parts, strict=True))]
+
+
+def vocabulary(type_: str, terms: list[str], value: str = "value", **kw) -> Matcher:
+    """Values that hold one of the terms, with what follows it."""
+    return Matcher(type_, F.nullif(F.regexp_extract(case_phrase(value), rf"\b((?:{'|'.join(terms)})\b.*)$", 1), F.lit("")), **kw)
+
+
+def acronym_hits(cells: DataFrame) -> DataFrame:
+    """Acronyms of a value's own words that stand in the same value."""
+    words = F.filter(F.split(F.trim(case_phrase("value")), r"\s+"), lambda w: w != "")
+    found = F.filter(inner_acronyms(words), lambda a: F.array_contains(words, F.lower(a)))
+    return cells.select("row_id", "col", F.explode(found).alias("hit")).select("row_id", "col", F.lit("Acronyme#own").alias("matcher"), F.lit("Acronyme").alias("type"), F.lit(100.0).alias("score"), F.lit(False).alias("full"), "hit", F.lit(False).alias("negates"))
+
+
+def address_hits(cells: DataFrame, points: DataFrame, longest: int = 3) -> DataFrame:
+    """Cells to the best point of a table (label, street, zip, city) that shares a word window with it and scores above
+    100; values of fewer than four characters are left out. It stands where a geocoding service could be asked."""
+    known = points.select("label", "street", "zip", "city", F.explode(tokens("label")).alias("phrase"))
+    met = phrase_windows(cells.where(F.length("value") >= 4), tokens("value"), known.select("phrase", F.col("label").alias("type")), longest, first_only=False)
+    pairs = met.select("row_id", "col", "value", F.col("type").alias("label")).distinct()
+    scored = pairs.withColumn("score", address_udf(case_phrase("value"), case_phrase("label"))).where("score > 100")
+    best = scored.groupBy("row_id", "col").agg(F.max_by("label", F.struct("score", "label")).alias("label"))
+    return best.join(points, "label").select("row_id", "col", "label", "street", "zip", "city")
+
+
 def cells_of(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
     """(row_id, col, value); null counts as empty."""
     made = F.array(*[F.struct(F.lit(c).alias("col"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in columns])

@@ -102,3 +102,37 @@ def type_url(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.column_types import URL
 
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.nullif(F.regexp_extract("url", f"^{URL}", 0), F.lit("")).alias("url"))
+
+
+@query("prefix_code", "SELECT o_orderkey, CASE WHEN regexp_full_match(substr(v, 1, 5), '[0-9]{5}') THEN substr(v, 1, 5) END AS code, CASE WHEN regexp_full_match(substr(v, 1, 5), '[0-9]{5}') THEN trim(substr(v, 6)) END AS rest FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN lpad(CAST(o_custkey AS VARCHAR), 5, '0') || ' ' || o_orderpriority ELSE o_orderpriority END AS v FROM orders)")
+def prefix_code(spark: SparkSession, d: str) -> DataFrame:
+    v = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lpad(F.col("o_custkey").cast("string"), 5, "0"), F.lit(" "), "o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", text.prefix_code(v).alias("p")).select("o_orderkey", "p.code", "p.rest")
+
+
+@query("ngram_counts", "WITH g AS (SELECT unnest(list_transform(range(1, greatest(length(p_name) - 1, 1)), lambda i: substr(p_name, i, 3))) AS gram FROM part) SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 3")
+def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
+    grams = spark.read.parquet(f"{d}/part.parquet").select(F.explode(text.char_ngrams("p_name", 3)).alias("gram"))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+
+
+@query("unique_concat", "SELECT p_brand, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS types FROM part GROUP BY p_brand")
+def unique_concat(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/part.parquet").groupBy("p_brand").agg(text.joined_unique(F.array_sort(F.collect_set("p_type"))).alias("types"))
+
+
+@query("type_composite", "SELECT p_partkey AS row_id, 'Brand part' AS type, v AS hit FROM (SELECT p_partkey, p_brand || ' ' || p_type AS v FROM part) UNION ALL SELECT p_partkey, 'Brand', p_brand FROM part UNION ALL SELECT p_partkey, 'Kind', p_type FROM part")
+def type_composite(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import column_types as ct
+
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("row_id"), F.concat_ws(" ", "p_brand", "p_type").alias("v"))
+    found = ct.composite("Brand part", r"^(Brand#[0-9]+) (.+)$", [("Brand", "^Brand"), ("Kind", "^[A-Z]+$")])
+    return ct.expression_hits(ct.cells_of(rows, ["v"]), found).select("row_id", "type", "hit")
+
+
+@query("type_vocabulary", f"SELECT p_partkey AS row_id, nullif(regexp_extract({case_sql('p_name')}, '\\b((?:ring|bolt|gear)\\b.*)$', 1), '') AS hit FROM part WHERE regexp_matches({case_sql('p_name')}, '\\b(ring|bolt|gear)\\b')")
+def type_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import column_types as ct
+
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("row_id"), "p_name")
+    return ct.expression_hits(ct.cells_of(rows, ["p_name"]), [ct.vocabulary("Piece", ["ring", "bolt", "gear"])]).select("row_id", "hit")

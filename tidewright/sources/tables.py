@@ -175,6 +175,24 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> int:
     return seen.get["n"]
 
 
+def pad_rows(rows: list[list[str]]) -> list[list[str]]:
+    """Rows of one width: short ones get empty cells."""
+    width = max(map(len, rows), default=0)
+    return [r + [""] * (width - len(r)) for r in rows]
+
+
+def export(df: DataFrame, path: str, step: str, thresh: float = 1.0, compressed: bool = False) -> str:
+    """A result as CSV files below path; links under the threshold are nulled first. The raw upload isn't exported."""
+    from ..operators.link import null_below
+
+    if step == "INIT":
+        raise ValueError("only results are exported")
+    out = null_below(df, thresh) if "__CONFIDENCE" in df.columns and "__IS_MATCH" in df.columns else df
+    target = f"{path.rstrip('/')}_MMM.csv"
+    out.write.mode("errorifexists").csv(target, header=True, quote='"', escape='"', compression="gzip" if compressed else "none")
+    return target
+
+
 class Index:
     """A stored result or reference table with its token table and a manifest that tells whether it is up to date."""
 
