@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, BYTE_CODES, mix, parts, stored, tune, utf8
+from .common import BYTE_CODES, _powers, mix, parts, stored, tidy, tune, utf8
 
 #: Bytes of a match, of an anchor, and anchors of a window.
 LENGTH, ANCHOR = 100, 21
@@ -28,6 +28,10 @@ WINDOW = LENGTH - ANCHOR + 1
 #: Rows that are refined together at most, unless one anchor has more.
 TOGETHER = 100_000
 _INDEX_BITS = np.uint64(28)
+#: Bits of a place's two distances that say that the anchor is repeated for sure, or stands for its task's others.
+SURE, SENT = 1 << 7, 1 << 15
+#: Anchors and surroundings that a task remembers; beyond it starts anew, which only moves more rows.
+MOST_KNOWN = 200_000
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -151,7 +155,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keeps all. If ids repeat or are null, texts are ordered by id (null first), then by content, and repeated rows stay
     rows of their own. Other columns are ignored. An empty table gives no rows.
     What travels: 24 bytes for one byte in 40, the texts twice to be matched with places, and up to 179 bytes around
-    each anchor that occurs more than once. An anchor's rows are refined in one task.
+    each anchor that occurs more than once. Anchors and surroundings that repeat inside a task are taken together before
+    they travel, so copies and common passages don't pile up at one anchor; what then still differs around an anchor is
+    refined in one task.
     """
     spark = tune(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -163,10 +169,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         base = base.select(F.col("doc_id").alias("ord"), "doc_id", "text")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors that a task has met before are repeated for sure: they are marked and needn't meet any others. One
+        of each goes to those of the other tasks."""
+        known = np.zeros(0, np.uint64)
         for b in batches:
             text, pos, h, near, far = anchors(*utf8(b.column(1)))
-            ords = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ords[text]), pa.array(pos << 16 | near << 8 | far)], names=["h", "ord", "at"])
+            ords, at = b.column(0).to_numpy(), pos << 16 | near << 8 | far
+            order = np.argsort(h, kind="stable")
+            again = np.zeros(len(h), bool)
+            again[order[1:]] = h[order[1:]] == h[order[:-1]]
+            met = np.unique(h[again])
+            if len(known):
+                again |= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+            first = ~again & np.isin(h, met)
+            at[again] |= SURE
+            at[first] |= SENT
+            known = np.union1d(known if len(known) < MOST_KNOWN else known[:0], met)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ords[text]), pa.array(at)], names=["h", "ord", "at"])
+        tidy()
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by h; those whose h stands alone go."""
@@ -177,7 +197,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             h = cols[0]
             if not len(h):
                 continue
-            keep = np.zeros(len(h), bool)
+            keep = cols[2] & (SURE | SENT) != 0
             same = h[1:] == h[:-1]
             keep[1:] |= same
             keep[:-1] |= same
@@ -188,33 +208,55 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             before = h[-1]
             held = None if keep[-1] else [c[-1:] for c in cols]
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["h", "ord", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0][keep]), pa.array(cols[1][keep]), pa.array(cols[2][keep] & ~(SURE | SENT))], names=["h", "ord", "at"])
+        tidy()
 
     sampled = base.select("ord", "text").mapInArrow(sample, "h long, ord long, at long")
-    sampled = sampled.repartition(parts(spark), "h").sortWithinPartitions("h").mapInArrow(several, "h long, ord long, at long")
+    alone = F.when(F.col("at").bitwiseAND(SURE) != 0, F.xxhash64("ord", "at")).otherwise(F.col("h"))
+    sampled = sampled.repartition(parts(spark), alone).sortWithinPartitions("h").mapInArrow(several, "h long, ord long, at long")
     places, _ = stored(sampled.groupBy("ord").agg(F.collect_list(F.struct("h", "at")).alias("places")), "anchors")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is around each anchor. Texts come in order, so of equal surroundings in a task the first is the earliest:
+        all windows of the others are repeated, and they leave as places (a, b) instead, without surroundings."""
+        seen: set[tuple[int, bytes]] = set()
         for b in batches:
             data, off = utf8(b.column(1))
             lists = b.column(2)
             n = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            h, at = flat.field(0), flat.field(1).to_numpy()
+            h, at = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             text = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((at, text))
+            h, at, text = h[order], at[order], text[order]
+            ords = b.column(0).to_numpy()[text]
             pos = (at >> 16) + off[text]
             for i in range(0, len(at), 20_000):
                 k = slice(i, i + 20_000)
-                bytes_, o = slices(data, pos[k] - (at[k] & 255), pos[k] - (at[k] >> 8 & 255) + LENGTH)
+                begin, end = pos[k] - (at[k] & 255), pos[k] - (at[k] >> 8 & 255) + LENGTH
+                bytes_, o = slices(data, begin, end)
+                whole, edges = bytes_.tobytes(), o.tolist()
+                if len(seen) > MOST_KNOWN:
+                    seen.clear()
+                keys = zip((at[k] & 0xFFFF).tolist(), (whole[x:y] for x, y in zip(edges, edges[1:], strict=False)), strict=True)
+                new = np.array([x not in seen and not seen.add(x) for x in keys], bool)
+                bytes_, o = slices(bytes_, o[:-1][new], o[1:][new])
                 ctx = pa.Array.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer(o.astype(np.int32)), pa.py_buffer(bytes_)])
-                yield pa.RecordBatch.from_arrays([h[k], b.column(0).take(pa.array(text[k])), pa.array(at[k]), ctx], names=["h", "ord", "at", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[k][new]), pa.array(ords[k][new]), pa.array(at[k][new]), ctx], names=names)
+                if not new.all():
+                    t, x, y, r = text[k][~new], (begin - off[text[k]])[~new], (end - off[text[k]])[~new], ords[k][~new]
+                    # runs of places that touch, each text for itself
+                    starts = np.concatenate([[True], (t[1:] != t[:-1]) | (x[1:] > np.maximum.accumulate(y + t * (1 << 40))[:-1] - t[1:] * (1 << 40))])
+                    x, r, y = x[starts], r[starts], np.maximum.reduceat(y, np.flatnonzero(starts))
+                    yield pa.RecordBatch.from_arrays([pa.array(mix((r * 31 + x).view(np.uint64)).view(np.int64)), pa.array(r), pa.array(x << 31 | y), pa.nulls(len(r), pa.binary())], names=names)
+        tidy()
 
-    found = base.select("ord", "text").join(places, "ord").mapInArrow(contexts, "h long, ord long, at long, context binary")
+    names = ["h", "ord", "at", "context"]
+    near_text = base.select("ord", "text").join(places, "ord").sortWithinPartitions("ord")
+    found = near_text.mapInArrow(contexts, "h long, ord long, at long, context binary")
     found = found.repartition(parts(spark), "h").sortWithinPartitions("h", "ord", "at")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["ord", "a", "b"]
-
         def solved(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
             at = t.column("at").to_numpy()
@@ -223,11 +265,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             edge = np.diff(np.pad(rem, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             row, low = np.nonzero(edge == 1)
             _, high = np.nonzero(edge == -1)
-            return pa.RecordBatch.from_arrays([pa.array(t.column("ord").to_numpy()[row]), pa.array(pos[row] - (high - 1)), pa.array(pos[row] - low + LENGTH)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(t.column("ord").to_numpy()[row]), pa.array(pos[row] - (high - 1)), pa.array(pos[row] - low + LENGTH)], names=["ord", "a", "b"])
 
         waiting: list[pa.RecordBatch] = []
         n = 0
         for b in batches:
+            if b.column(3).null_count:
+                at = b.column(2).to_numpy()
+                place = b.column(3).is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(1).to_numpy()[place]), pa.array(at[place] >> 31), pa.array(at[place] & ((1 << 31) - 1))], names=["ord", "a", "b"])
+                b = b.filter(pa.array(~place))
             waiting.append(b)
             n += b.num_rows
             if n >= TOGETHER:
@@ -239,6 +286,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     waiting, n = t.slice(cut).to_batches(), len(h) - cut
         if n:
             yield solved(pa.Table.from_batches(waiting))
+        waiting = []
+        tidy()
 
     covers, _ = stored(found.mapInArrow(merge, "ord long, a long, b long").groupBy("ord").agg(F.collect_list(F.struct("a", "b")).alias("covers")), "repeats")
 
