@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,27 +38,25 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def _of(name: str, sql: str, column: Column) -> None:
+def _of(name: str, sql: str, column: Callable[[], Column]) -> None:
     @query(name, f"WITH {_TEXTS} SELECT t, CAST(id AS BIGINT) AS id, {sql} AS out FROM texts")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return texts(spark, d).select("t", "id", column.alias("out"))
+        return texts(spark, d).select("t", "id", column().alias("out"))
 
 
 def register() -> None:
-    v = F.col("v")
-    tok = text.tokens("v")
-    _of("text_stripped", _STRIPPED.format("v"), text.stripped("v"))
-    _of("text_case_phrase", case_sql("v"), text.case_phrase("v"))
-    _of("text_tokens", f"array_to_string({tokens_sql('v')}, '|')", F.array_join(tok, "|"))
-    _of("text_valid_phrase", f"nullif(array_to_string({tokens_sql('v')}, ' '), '')", text.valid_phrase("v"))
-    _of("text_acronym", f"CASE WHEN len({tokens_sql('v')}) BETWEEN 3 AND 7 THEN array_to_string(list_transform({tokens_sql('v')}, lambda x: upper(substr(x, 1, 1))), '') END", text.acronym(tok))
-    _of("text_ngrams", "array_to_string(list_transform(range(1, greatest(length(v) - 1, 1)), lambda i: substr(v, i, 3)), '~')", F.array_join(text.char_ngrams("v", 3), "~"))
-    _of("text_distinct_chars", "CAST(len(list_distinct(string_split(v, ''))) AS INTEGER)", text.distinct_chars("v"))
-    _of("text_numeric", "regexp_full_match(translate(v, ',.', ''), '[0-9]+')", text.is_numeric("v"))
-    _of("text_code_chars", "translate(v, '-’', '–''')", text.code_chars("v"))
-    _of("text_synonyms", "replace(replace(v, 'a', 'b'), 'b', 'cc')", text.replace_synonyms("v", [("a", "b"), ("b", "cc")]))
-    _of("text_cover_score", f"CASE WHEN greatest(length(v), length({case_sql('v')})) = 0 THEN 0 ELSE 100.0 * CAST(least(length(v), length({case_sql('v')})) AS DOUBLE) / greatest(length(v), length({case_sql('v')})) END", text.cover_score("v", text.case_phrase("v")))
-    _of("text_category", "CASE WHEN regexp_matches(lower(v), 'http') THEN 'link' WHEN regexp_matches(lower(v), 'th') THEN 'prose' END", text.category(v, [("http", "link"), ("th", "prose")]))
+    _of("text_stripped", _STRIPPED.format("v"), lambda: text.stripped("v"))
+    _of("text_case_phrase", case_sql("v"), lambda: text.case_phrase("v"))
+    _of("text_tokens", f"array_to_string({tokens_sql('v')}, '|')", lambda: F.array_join(text.tokens("v"), "|"))
+    _of("text_valid_phrase", f"nullif(array_to_string({tokens_sql('v')}, ' '), '')", lambda: text.valid_phrase("v"))
+    _of("text_acronym", f"CASE WHEN len({tokens_sql('v')}) BETWEEN 3 AND 7 THEN array_to_string(list_transform({tokens_sql('v')}, lambda x: upper(substr(x, 1, 1))), '') END", lambda: text.acronym(text.tokens("v")))
+    _of("text_ngrams", "array_to_string(list_transform(range(1, greatest(length(v) - 1, 1)), lambda i: substr(v, i, 3)), '~')", lambda: F.array_join(text.char_ngrams("v", 3), "~"))
+    _of("text_distinct_chars", "CAST(len(list_distinct(string_split(v, ''))) AS INTEGER)", lambda: text.distinct_chars("v"))
+    _of("text_numeric", "regexp_full_match(translate(v, ',.', ''), '[0-9]+')", lambda: text.is_numeric("v"))
+    _of("text_code_chars", "translate(v, '-’', '–''')", lambda: text.code_chars("v"))
+    _of("text_synonyms", "replace(replace(v, 'a', 'b'), 'b', 'cc')", lambda: text.replace_synonyms("v", [("a", "b"), ("b", "cc")]))
+    _of("text_cover_score", f"CASE WHEN greatest(length(v), length({case_sql('v')})) = 0 THEN 0 ELSE 100.0 * CAST(least(length(v), length({case_sql('v')})) AS DOUBLE) / greatest(length(v), length({case_sql('v')})) END", lambda: text.cover_score("v", text.case_phrase("v")))
+    _of("text_category", "CASE WHEN regexp_matches(lower(v), 'http') THEN 'link' WHEN regexp_matches(lower(v), 'th') THEN 'prose' END", lambda: text.category("v", [("http", "link"), ("th", "prose")]))
 
 
 register()
