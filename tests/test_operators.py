@@ -277,3 +277,11 @@ def test_export(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.export(df, f"{tmp_path}/s", "INIT")
     assert tables.pad_rows([["a"], ["b", "c"]]) == [["a", ""], ["b", "c"]]
+
+
+def test_run_sample_over_chunks(spark):
+    values = ["x", "x", "a", "x", None, "x", "x", "b", "b", "x", "x"]
+    df = spark.createDataFrame([(i * 3, v) for i, v in enumerate(values)], "row_id long, c string")
+    for chunk in (1, 6, 7, 1000):
+        got = sorted((r["val"], r["row_id"]) for r in missing.run_sample(df, {"c": ["x", "b"]}, "row_id", 3, chunk).collect())
+        assert got == [("b", 21), ("x", 0), ("x", 9), ("x", 15)]

@@ -114,18 +114,25 @@ def replace(df: DataFrame, p: dict) -> DataFrame:
     return df.select(*out)
 
 
-def run_sample(df: DataFrame, candidates: dict[str, list[str]], row_id: str, per_value: int = 4) -> DataFrame:
-    """Up to per_value rows at which a run of a candidate begins (the first row counts), for each column and value."""
-    out = None
-    for c, values in candidates.items():
-        for v in values:
-            # runs are found in order of the row ids; each value looks only at its own column
-            is_v = F.coalesce(F.col(c).cast("string") == v, F.lit(False))
-            w = Window.orderBy(row_id)
-            begins = df.select(F.col(row_id).alias("row_id"), F.lit(c).alias("col"), F.lit(v).alias("val"), is_v.alias("is"), F.lag(is_v).over(w).alias("was"))
-            begins = begins.where("was is null or is != was").where("is").orderBy("row_id").limit(per_value).select("col", "val", "row_id")
-            out = begins if out is None else out.unionByName(begins)
-    return out
+def run_sample(df: DataFrame, candidates: dict[str, list[str]], row_id: str, per_value: int = 4, chunk: int = 100_000) -> DataFrame:
+    """(col, val, row_id): up to per_value rows at which a run of a candidate begins (the first row counts).
+
+    Runs go in order of the row ids. Rows are compared with the one before inside chunks of ids; only the last row of
+    each chunk travels further, so no task sorts the table.
+    """
+    pairs = [(c, v) for c, found in candidates.items() for v in found]
+    flags = [F.coalesce(F.col(c).cast("string") == v, F.lit(False)).alias(f"f{i}") for i, (c, v) in enumerate(pairs)]
+    rows = df.select(F.col(row_id).alias("row_id"), F.floor(F.col(row_id) / chunk).alias("chunk"), F.array(*flags).alias("is"))
+    inside = Window.partitionBy("chunk").orderBy("row_id")
+    last = rows.groupBy("chunk").agg(F.max_by("is", "row_id").alias("is"))
+    before = last.select("chunk", F.lag("is").over(Window.orderBy("chunk")).alias("before"))
+    rows = rows.withColumn("was", F.lag("is").over(inside)).join(before, "chunk")
+    was = F.coalesce("was", "before")
+    begins = F.zip_with("is", F.coalesce(was, F.transform("is", lambda x: F.lit(False))), lambda x, y: x & ~y)
+    named = F.array(*[F.struct(F.lit(c).alias("col"), F.lit(v).alias("val")) for c, v in pairs])
+    found = rows.select("row_id", F.inline(F.transform(F.filter(F.arrays_zip(named.alias("pair"), begins.alias("begins")), lambda x: x["begins"]), lambda x: x["pair"])))
+    nth = F.row_number().over(Window.partitionBy("col", "val").orderBy("row_id"))
+    return found.withColumn("n", nth).where(F.col("n") <= per_value).select("col", "val", "row_id")
 
 
 def modified_counts(df: DataFrame) -> DataFrame:
