@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,18 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: How to empty what an operator keeps in a worker from task to task.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str = "") -> None:
+    """At the start of a task: what other operators have kept in this worker goes."""
+    for name, clear in KEPT.items():
+        if name != owner:
+            clear()
+    tidy()
+
+
 def tidy() -> None:
     """Gives a worker's freed memory back at the end of a task: workers stay for later stages."""
     gc.collect()

@@ -9,8 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
-from .tokens import Encoder
+from .common import keeps, tidy, tune
+from .tokens import encoder_of
 
 #: Permitted sequence lengths in tokens; cost of a bin beside its length; pieces that are packed together.
 SIZES, OVERHEAD, WINDOW = (512, 1024, 2048, 4096), 64, 32_768
@@ -67,7 +67,8 @@ def pack(docs: DataFrame, tokenizer: str, sizes: tuple[int, ...] = SIZES, overhe
     fields = [("bin_id", pa.int64()), ("bin_size", pa.int32()), ("bin_used", pa.int32()), ("bin_offset", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("piece_start", pa.int64()), ("n_tokens", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first = Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        keeps("tokens")
+        encoder, first = encoder_of(tokenizer), TaskContext.get().partitionId() << 40
         width, pieces = encoder.width.itemsize, []
 
         def packed(pieces):
@@ -87,6 +88,8 @@ def pack(docs: DataFrame, tokenizer: str, sizes: tuple[int, ...] = SIZES, overhe
                         pieces = []
         if pieces:
             yield packed(pieces)
+        del pieces
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return rows.mapInArrow(run, "bin_id long, bin_size int, bin_used int, bin_offset int, doc_id long, piece int, piece_start long, n_tokens int")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -15,11 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, parts, stored, tune
+from .common import KEPT, keeps, new_path, parts, stored, tidy, tune
 
 END_ID = 1
-#: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 800_000
+#: Words of a generation: a worker keeps the ids of the last one and of this one.
+CACHE_WORDS = 600_000
 #: Stands between new words that are encoded together: one id of its own, and no word with it is encoded so.
 _MARK, _TOGETHER = "~", 2000
 _MASK = 0xA282EAD8
@@ -32,6 +34,28 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_END_OF_WORD = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[^\W\d_].)[!-&(-/:-@\[-`{-~]*(?=[ \n]|\Z)")
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space for str.split, not for the tokenizer
+
+
+def words_of(text: str | None) -> list[str]:
+    """Words whose ids, one after the other, are those of the text; few distinct ones.
+
+    Signs after a word are words of their own (apostrophes and special tokens aside), and letters are lower case where
+    all are Latin-1, which the tokenizer's own normal forms leave alone.
+    """
+    if not text:
+        return []
+    if "<|" not in text:
+        text = _END_OF_WORD.sub(r" \g<0>", text)
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    return text.split(" ") if any(c in text for c in _NOT_SPACE) else text.split()
+
+
 class Encoder:
     """Whole texts to token ids with the tokenizers library.
 
@@ -48,15 +72,19 @@ class Encoder:
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: empty), packed in self.width."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [words_of(t) for t in texts]
         cache = self.cache
         if len(cache) > self.cache_words:
-            cache.clear()
+            self.older, self.cache = cache, (cache := {})
         new = set().union(*split).difference(cache)
+        known = new.intersection(self.older)
+        cache.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        new -= known
         alone = [w for w in new if _MARK in w] if self.mark is not None else list(new)
         for word, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             cache[word] = np.array(e.ids, self.width).tobytes()
@@ -74,6 +102,15 @@ class Encoder:
         return [b"".join(map(get, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker: its words stay known from task to task."""
+    return Encoder(path)
+
+
+KEPT["tokens"] = encoder_of.cache_clear
+
+
 def id_bytes(doc_id: int | None) -> bytes:
     return struct.pack("<?q", doc_id is None, doc_id or 0)
 
@@ -130,8 +167,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
     out = pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps("tokens")
         part = TaskContext.get().partitionId()
-        encoder, n_docs, n_tokens, offset, index, sink = Encoder(tokenizer), 0, 0, 0, [], None
+        encoder, n_docs, n_tokens, offset, index, sink = encoder_of(tokenizer), 0, 0, 0, [], None
         fs, root = _fs(path)
         end, width = np.array([end_id], encoder.width).tobytes(), encoder.width.itemsize
         name, draft = f"{root}/part-{part:06d}", f"{root}/.{uuid.uuid4().hex}"
@@ -148,6 +186,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
         sink.close()
         with fs.open_output_stream(f"{draft}.idx") as f:
             f.write(np.array(index, "<u8").tobytes())
+        tidy()
         for kind in ("idx", "rec"):
             fs.move(f"{draft}.{kind}", f"{name}.{kind}")
         yield pa.RecordBatch.from_pylist([{"part": part, "file": f"part-{part:06d}", "n_docs": n_docs, "n_tokens": n_tokens}], out)
@@ -166,7 +205,7 @@ def read_records(manifest: DataFrame, path: str, tokenizer: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(path)
-        width = Encoder(tokenizer).width
+        width = encoder_of(tokenizer).width
         for b in batches:
             for m in b.to_pylist():
                 with fs.open_input_stream(f"{root}/{m['file']}.idx") as f:
