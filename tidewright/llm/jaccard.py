@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, mix, parts, settle, span_hashes, stored, tidy, tune, utf8
+from .common import drop, keeps, mix, parts, settle, span_hashes, stored, tidy, tune, utf8
 
 #: Words of a shingle; similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -263,6 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block for each set; the text stays with the first of a task's equal sets only."""
+        keeps()
         seen: set[tuple[int, int]] = set()
         for b in batches:
             values, off, s1, s2 = sets_of(b, 1)

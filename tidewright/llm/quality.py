@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import keeps, tune
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -164,6 +164,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = spark.sparkContext.broadcast(fit_forest(docs, labels, id_col, text_col, fit_rows))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps()
         forest = model.value
         for b in batches:
             stats = np.array([statistics(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, 5)

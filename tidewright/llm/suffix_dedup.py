@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, _powers, mix, parts, stored, tidy, tune, utf8
+from .common import BYTE_CODES, _powers, keeps, mix, parts, stored, tidy, tune, utf8
 
 #: Bytes of a match, of an anchor, and anchors of a window.
 LENGTH, ANCHOR = 100, 21
@@ -171,6 +171,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors that a task has met before are repeated for sure: they are marked and needn't meet any others. One
         of each goes to those of the other tasks."""
+        keeps()
         known = np.zeros(0, np.uint64)
         for b in batches:
             text, pos, h, near, far = anchors(*utf8(b.column(1)))

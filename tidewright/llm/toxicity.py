@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_col, tune
+from .common import held_out_col, keeps, tidy, tune
 
 #: Labelled rows that the classifier is fitted on at most; words of its lexicon at most.
 FIT_ROWS, MOST_WORDS = 30_000, 4000
 #: Least texts and share of the toxic texts that a word of the lexicon is in, least log odds.
 MIN_TEXTS, MIN_SHARE, MIN_ODDS = 3, 0.004, 2.5
 
+#: Tokens that a worker remembers as decoded; beyond it starts anew.
+MOST_SEEN = 300_000
+
 # fixed values: letters of the character model (0 is everything else), and what a sign may stand for
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöùúûüÿßœ"
 STANDS_FOR = {
@@ -170,9 +173,13 @@ class Scorer:
         self.seen: set[str] = set()
         self.hits: dict[str, str] = {}
 
+    def forget(self) -> None:
+        self.seen.clear()
+        self.hits.clear()
+
     def _learn(self, tokens: set[str]) -> None:
         """Decodes tokens that were not met before; a token whose lattice holds no learned word can have no weight."""
-        if len(self.seen) > 1_000_000:
+        if len(self.seen) > MOST_SEEN:
             self.seen.clear()
         new = tokens - self.seen
         self.seen |= new
@@ -229,6 +236,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         table[ord(c)] = i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps()
         total = np.zeros(N**3, np.int64)
         for b in batches:
             text = "  ".join(["", *(t.lower() for t in b.column(0).to_pylist() if t), ""])
@@ -264,6 +272,8 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 n[int(toxic == 1)].update(set(restore_words(text, shared.value, cache)))
                 n[int(toxic == 1)][""] += 1
             every = list(n[0].keys() | n[1].keys())
+            if len(cache) > MOST_SEEN:
+                cache.clear()
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[1][w] for w in every], pa.int64()), pa.array([n[0][w] for w in every], pa.int64())], names=["word", "bad", "fine"])
 
     counted = rows.mapInArrow(words, "word string, bad long, fine long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).persist()
@@ -304,6 +314,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for b in batches:
             score = [sent.value.score(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=["doc_id", "score", "predicted"])
+        sent.value.forget()
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int").select("doc_id", held_out_col("doc_id", folds).alias("held_out"), "score", "predicted")
@@ -318,5 +330,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", fit_r
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([sent.value.score(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+        sent.value.forget()
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
