@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, keeps, mix, parts, settle, span_hashes, stored, tidy, tune, utf8
@@ -27,6 +27,12 @@ SHINGLE, PERCENT = 5, 80
 #: Sets that a task remembers as seen; blocks of documents for each shuffle partition.
 MOST_SEEN, BLOCKS = 200_000, 4
 
+#: Sets and bytes of a region that one task joins; larger ones are split. Pivots of a round, rounds, members of a part.
+REGION_SETS, REGION_BYTES = 20_000, 64 << 20
+PIVOTS, ROUNDS, PART_SETS = 8, 8, 5_000
+#: Bytes that are hashed at once.
+SLICE = 4 << 20
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -52,7 +58,13 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[n
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    h = span_hashes(_LOWER[data], starts, ends)
+    h = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # in slices, so that a long text needs no more memory than many short ones
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, side="right")))
+        a, b = starts[i], ends[j - 1]
+        h[i:j] = span_hashes(_LOWER[data[a:b]], starts[i:j] - a, ends[i:j] - a)
+        i = j
     doc = np.searchsorted(off, starts, side="right") - 1
     per_doc = np.bincount(doc, minlength=n)
     first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
@@ -241,6 +253,132 @@ def join_region(sets: list[np.ndarray], pivots: list[np.ndarray], percent: int =
     return [union.find(i) for i in range(len(sets))]
 
 
+def solve(percent: int):
+    """A function for mapInArrow over rows (region, id, set, first) by region: links (a, b) of each id with the least one
+    of its component in the region."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(group: list) -> pa.RecordBatch:
+            comp = join_region([np.frombuffer(r[2], np.uint64) for r in group], [np.array(r[3], np.int64).view(np.uint64) for r in group], percent)
+            least: dict[int, int] = {}
+            for c, r in zip(comp, group, strict=True):
+                least[c] = min(least.get(c, r[1]), r[1])
+            out = [(r[1], least[c]) for c, r in zip(comp, group, strict=True) if r[1] != least[c]]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+        group: list = []
+        for b in batches:
+            for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if group and group[0][0] != r[0]:
+                    yield solved(group)
+                    group = []
+                group.append(r)
+        if group:
+            yield solved(group)
+            del group
+        tidy()
+
+    return links
+
+
+def region_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) links between ids that connect the components of each region. members: (region, id, set, first), stored.
+
+    A region that fits one task is joined there. Of a larger one, in parts: each round takes PIVOTS of the documents
+    that are in no ball yet and measures all members against them. Members of a ball are linked with its pivot; balls
+    that share a member are one group. Of a group only its boundary goes on: members whose distance to each of their
+    pivots is within the radius of the least distance that any document outside the group has (triangle inequality).
+    So tight groups of any size vanish in a round. What is still too large after ROUNDS rounds is joined exactly by
+    pairs of its parts.
+    """
+    spark = members.sparkSession
+    n_parts, radius = parts(spark), 1 - percent / 100
+    schema = "region long, id long, set binary, first array<long>"
+    columns = ["region", "id", "set", "first"]
+    links: DataFrame | None = None
+    left = members.select(*columns).withColumn("outside", F.lit(True))
+    made: list[str] = []
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts come with their pivots first (kind 0, in order), then their members: distances and a mask of balls."""
+        at, pivots = None, []
+        for b in batches:
+            region, part, kind = (b.column(i).to_pylist() for i in range(3))
+            masks, distances, rows = [], [], []
+            for i in range(b.num_rows):
+                if (region[i], part[i]) != at:
+                    at, pivots = (region[i], part[i]), []
+                own = np.frombuffer(b.column(4)[i].as_py(), np.uint64)
+                if kind[i] == 0:
+                    pivots.append(own)
+                    continue
+                n = [int(shared(p, own, np.array([0, len(own)]))[0]) for p in pivots]
+                both = [len(p) + len(own) - x for p, x in zip(pivots, n, strict=True)]
+                masks.append(sum(1 << k for k, (x, y) in enumerate(zip(n, both, strict=True)) if 100 * x >= percent * y))
+                distances.append([1 - x / y for x, y in zip(n, both, strict=True)])
+                rows.append(i)
+            if rows:
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), *(b.column(i).take(take) for i in (3, 4, 5)), pa.array(masks, pa.int32()), pa.array(distances, pa.list_(pa.float64()))], names=[*columns, "mask", "d"])
+        tidy()
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The group of each pivot, from the masks that occur in a region."""
+        for b in batches:
+            out = []
+            for masks in b.column(1).to_pylist():
+                u = Union(PIVOTS)
+                for m in masks:
+                    inside = [k for k in range(PIVOTS) if m >> k & 1]
+                    for k in inside[1:]:
+                        u.join(inside[0], k)
+                out.append([u.find(k) for k in range(PIVOTS)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["region", "groups"])
+
+    def solved(rows: DataFrame) -> DataFrame:
+        rows = rows.select(*columns).repartition(n_parts, "region").sortWithinPartitions("region", "id")
+        return rows.mapInArrow(solve(percent), "a long, b long")
+
+    for turn in range(ROUNDS + 1):
+        sizes = left.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("set")).alias("bytes"))
+        large = sizes.where((F.col("n") > REGION_SETS) | (F.col("bytes") > REGION_BYTES))
+        large, path = stored(large.select("region", "n", F.greatest(F.ceil(F.col("n") / PART_SETS), F.lit(1)).cast("int").alias("parts")), "large")
+        made.append(path)
+        here = solved(left.join(large.select("region"), "region", "left_anti"))
+        links = here if links is None else links.unionByName(here)
+        if not large.limit(1).count():
+            break
+        rest = left.join(large.select("region", "parts"), "region")
+        if turn == ROUNDS:
+            # each pair of parts is a region of its own
+            each = rest.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            pairs = each.select(F.xxhash64("region", F.least("p", "q"), F.greatest("p", "q")).alias("region"), "id", "set", "first")
+            links = links.unionByName(solved(pairs))
+            break
+        nth = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("outside"), F.xxhash64("id", F.lit(turn)), "id"))
+        pivots = rest.withColumn("k", nth).where(F.col("k") <= PIVOTS)
+        no_first = F.lit(None).cast("array<long>")
+        sent = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("id"), "set", no_first.alias("first"), "k")
+        asked = rest.select("region", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "set", "first", F.lit(0).alias("k"))
+        both = sent.unionByName(asked).repartition(n_parts, "region", "part").sortWithinPartitions("region", "part", "kind", "k")
+        measured, path = stored(both.drop("k").mapInArrow(measure, f"{schema}, mask int, d array<double>"), "measured")
+        made.append(path)
+        named, path = stored(pivots.select("region", "k", F.col("id").alias("pivot")), "pivots")
+        made.append(path)
+        near = measured.where("mask > 0").select("region", "id", F.explode(F.sequence(F.lit(1), F.lit(PIVOTS))).alias("k"), "mask").where("shiftright(mask, k - 1) % 2 = 1")
+        links = links.unionByName(near.join(named, ["region", "k"]).where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        groups = measured.groupBy("region").agg(F.collect_set("mask").alias("masks")).mapInArrow(group, "region long, groups array<int>")
+        placed = measured.join(groups, "region").withColumn("own", F.when(F.col("mask") == 0, -1).otherwise(F.expr("groups[cast(round(log2(mask & -mask)) as int)]")))
+        nearest = placed.groupBy("region").agg(F.array(*[F.min(F.when(F.col("own") != F.col("groups")[k], F.get("d", F.lit(k)))) for k in range(PIVOTS)]).alias("nearest"))
+        boundary = " and ".join(f"((mask >> {k}) % 2 = 0 or coalesce(get(d, {k}) >= nearest[{k}] - {radius + 1e-9}, false))" for k in range(PIVOTS))
+        on = placed.join(nearest, "region").where(f"own = -1 or ({boundary})").select(*columns, (F.col("own") == -1).alias("outside"))
+        left, path = stored(on, "left")
+        made.append(path)
+    out, _ = stored(links, "region-links")
+    drop(spark, *made)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id that it reaches over links).
 
@@ -392,19 +530,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(spark, answered_path)
     settle(spark)
 
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's rows of a pivot in order of size, as long as the next size is in reach, are linked here already; the
+        regions then get one row for each such chain, with its sizes. Links travel beside, each by itself."""
+        rows: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def packed():
+            pivot, size, node = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.lexsort((node, size, pivot))
+            pivot, size, node = pivot[order], size[order], node[order]
+            start = np.ones(len(pivot), bool)
+            start[1:] = (pivot[1:] != pivot[:-1]) | (100 * size[:-1] < percent * size[1:])
+            first = np.flatnonzero(start)
+            head = node[first][np.cumsum(start) - 1]
+            links = np.unique(np.stack([node, head], 1)[node != head], axis=0)
+            last = np.append(first[1:] - 1, len(pivot) - 1)
+            by = mix(links[:, 0].copy().view(np.uint64)).view(np.int64) if len(links) else np.zeros(0, np.int64)
+            zero = np.zeros(len(links), np.int64)
+            cols = [np.concatenate(x) for x in ((pivot[first], by), (size[first], zero), (size[last], zero), (node[first], links[:, 0]))]
+            other = pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(links[:, 1], pa.int64())])
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), other], names=["pivot", "low", "high", "node", "head"])
+
+        for b in batches:
+            lists = b.column(2)
+            k = np.diff(lists.offsets.to_numpy())
+            rows.append((lists.flatten().to_numpy(), np.repeat(b.column(1).to_numpy(), k), np.repeat(b.column(0).to_numpy(), k)))
+            n += int(k.sum())
+            if n > 2_000_000:
+                yield packed()
+                rows, n = [], 0
+        if n:
+            yield packed()
+        rows = []
+        tidy()
+
     def overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by pivot, then size: a region falls apart where the next size is out of reach; each part is a star."""
         last, head = None, None
         found: dict[tuple[int, int], None] = {}
         most = 500_000
         for b in batches:
-            for pivot, size, node in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if last is not None and last[0] == pivot and 100 * last[1] >= percent * size:
+            for pivot, low, high, node, to in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if to is not None:
+                    found[node, to] = None
+                    continue
+                if last is not None and last[0] == pivot and 100 * last[1] >= percent * low:
                     if node != head:
                         found[node, head] = None
+                    high = max(high, last[1])
                 else:
                     head = node
-                last = pivot, size
+                last = pivot, high
             if len(found) > most:
                 found = dict.fromkeys(stars(found).items())
                 most = max(most, 2 * len(found))
@@ -414,41 +591,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # texts of several blocks' tasks may bring an equal set twice
     sets = light.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    rows = made.select(F.explode("first").alias("pivot"), F.expr("octet_length(set) div 8").alias("n"), F.col("s1").alias("node"))
-    rows = rows.repartition(n_parts, "pivot").sortWithinPartitions("pivot", "n", "node")
+    rows = made.select(F.col("s1"), F.expr("octet_length(set) div 8").alias("n"), "first").mapInArrow(chains, "pivot long, low long, high long, node long, head long")
+    rows = rows.repartition(n_parts, "pivot").sortWithinPartitions("pivot", "low", "node")
     links, links_path = stored(rows.mapInArrow(overlapping, "a long, b long"), "links")
     regions, regions_path = stored(components(links), "regions")
     drop(spark, links_path)
     least = sets.select(F.col("s1").alias("_a"), F.col("s2").alias("_b"), "least")
     in_region = made.join(regions, made["s1"] == regions["node"]).drop("doc_id").join(least, (F.col("s1") == F.col("_a")) & (F.col("s2") == F.col("_b")))
-    in_region = in_region.select("root", "s1", "s2", F.col("least").alias("doc_id"), "set", "first")
-    in_region = in_region.repartition(n_parts, "root").sortWithinPartitions("root", "doc_id")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(group):
-            group = list({r[1:3]: r for r in group}.values())  # an id that stands twice may bring its set twice
-            comp = join_region([np.frombuffer(r[4], np.uint64) for r in group], [np.array(r[5], np.int64).view(np.uint64) for r in group], percent)
-            least: dict[int, int] = {}
-            for c, r in zip(comp, group, strict=True):
-                least[c] = r[3] if least.get(c) is None else least[c] if r[3] is None else min(least[c], r[3])
-            cols = [[r[1] for r in group], [r[2] for r in group], [least[c] for c in comp]]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["s1", "s2", "component_id"])
-
-        group: list = []
-        for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if group and group[0][0] != r[0]:
-                    yield solved(group)
-                    group = []
-                group.append(r)
-        if group:
-            yield solved(group)
-            del group
-        tidy()
-
-    joined, _ = stored(in_region.mapInArrow(join, "s1 long, s2 long, component_id long"), "components")
+    in_region = in_region.select(F.col("root").alias("region"), F.monotonically_increasing_id().alias("id"), "s1", "s2", F.col("least").alias("doc_id"), "set", "first")
+    members, members_path = stored(in_region, "members")
     drop(spark, regions_path, made_path)
     settle(spark)
+    joined, _ = stored(components(region_links(members, percent)), "components")
+    named = members.select("id", "s1", "s2", "doc_id").join(joined.select(F.col("node").alias("id"), "root"), "id")
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    joined, _ = stored(named.join(smallest, "root").select("s1", "s2", "component_id").dropDuplicates(["s1", "s2"]), "members")
+    drop(spark, members_path)
+    settle(spark)
     every = sets.select("s1", "s2", "least").join(joined, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id"))
     out = light.join(every, ["s1", "s2"])
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
