@@ -63,6 +63,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that operators have left in the shared folder; results that still read them are lost."""
+    drop(spark, f"{shared_dir(spark)}/tidewright")
+
+
 def settle(spark: SparkSession) -> None:
     """Lets the driver's cleaner remove the shuffle files of plans that nothing refers to any more."""
     gc.collect()

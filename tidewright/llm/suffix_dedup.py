@@ -27,6 +27,8 @@ LENGTH, ANCHOR = 100, 21
 WINDOW = LENGTH - ANCHOR + 1
 #: Rows that are refined together at most, unless one anchor has more.
 TOGETHER = 100_000
+#: Bytes in which anchors are looked for at once.
+SLICE = 4 << 20
 _INDEX_BITS = np.uint64(28)
 #: Bits of a place's two distances that say that the anchor is repeated for sure, or stands for its task's others.
 SURE, SENT = 1 << 7, 1 << 15
@@ -35,6 +37,21 @@ MOST_KNOWN = 200_000
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """anchors_of in slices: a long text needs no more memory than many short ones. A minimizer whose windows begin in
+    two slices gives two rows."""
+    if len(data) <= SLICE:
+        return anchors_of(data, off)
+    out = []
+    for a in range(0, len(data), SLICE):
+        b = min(len(data), a + SLICE + LENGTH - 1)
+        first, last = int(np.searchsorted(off, a, side="right")) - 1, int(np.searchsorted(off, b, side="left"))
+        inner = np.clip(off[first : last + 1], a, b) - a
+        text, pos, h, near, far = anchors_of(data[a:b], inner)
+        out.append((text + first, pos + np.maximum(a - off[text + first], 0), h, near, far))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def anchors_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of texts in one buffer: text, position in it, hash, least and greatest distance of the windows that begin before.
 
     Windows of one minimizer begin at consecutive positions, so two distances name them.
