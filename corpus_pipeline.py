@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewright.llm import exact_dedup, jaccard, mixing, packing, tokens, toxicity
 from tidewright.llm.common import parts, stored, table
@@ -22,8 +23,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a component of near duplicates the text of the smallest id stays."""
-    return docs.join(jaccard.near_duplicates(docs).where("component_id != doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of a component of near duplicates the text of the smallest id stays. Rows without an id stay; of an id with
+    several texts all rows stay if one of them does."""
+    found = jaccard.near_duplicates(docs).groupBy("doc_id").agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("gone"))
+    return docs.join(found.where("gone").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from .common import tune
 
 #: Rows of a block; rows of a bucket inside which rows are numbered; sources whose schedule is broadcast.
 BLOCK_ROWS, BUCKET_ROWS, MOST_SOURCES = 64, 4096, 10_000
+#: Sum of the weights at most: the length of the period.
+LONGEST_PERIOD = 20_000
 #: Slots of a period are shared out in so many parts.
 PARTS = 1000
 
@@ -63,6 +65,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
         weights = root_weights(totals)
     else:
         weights = totals.join(weights.select("source", F.col("weight").cast("bigint").alias("_w")), "source", "left").select("source", F.greatest(F.lit(1), F.coalesce("_w", F.lit(1))).alias("weight"))
+    if (weights.agg(F.sum("weight")).first()[0] or 0) > LONGEST_PERIOD:
+        raise ValueError(f"the weights add up to more than {LONGEST_PERIOD}")
     plan = schedule(weights).select(F.col("source").alias("mix_source"), "a", "q", "slots")
     nth = F.row_number().over(Window.partitionBy("mix_source", "_bucket").orderBy("_key", F.col(id_col))) - 1
     at = F.col("_before") + F.col("_nth")

@@ -130,7 +130,7 @@ class Forest:
 
 def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Forest:
     """Fits forest and threshold on at most fit_rows labelled rows (a documented bound), those of the least crc32 of the id."""
-    picked = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    picked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = picked.orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(fit_rows)
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     rows = text.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "_text")
