@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, tune
 
+#: Tasks that share the texts of one hash while its bytes are compared.
+SALTS = 16
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256. DataFrame functions only.
@@ -14,7 +17,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The light pass groups (id, md5) without texts, pre-aggregated before its shuffle. Only texts of hashes that
     occur more than once travel: their least and greatest text must be the same bytes. Hashes for which they are
     not (a collision) are grouped once more by the text itself, so the result never rests on the hash.
-    Hot groups: the sums combine on the map side and the joins are split by adaptive execution.
+    Hot groups: the sums combine on the map side, texts of a hash are compared in SALTS parts, and the joins are split by
+    adaptive execution.
 
     Null text counts as empty. A null id never wins against another id; where all ids of a group are null keep_id
     is null. Of several rows with the kept id one stays. An empty table gives no rows. Other columns are ignored.
@@ -26,8 +30,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_h", F.unhex(F.md5("_text")))
     groups = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep"))
-    several = groups.where("_n > 1").select("_h")
-    bytes_in = rows.select("_h", "_text").join(several, "_h", "left_semi").groupBy("_h").agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi"))
+    several = groups.where("_n > 1").select("_h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+    bytes_in = rows.select("_h", salt.alias("_salt"), "_text").join(several, ["_h", "_salt"], "left_semi")
+    for keys in (["_h", "_salt"], ["_h"]):
+        low, high = ("_text", "_text") if "_salt" in keys else ("_lo", "_hi")
+        bytes_in = bytes_in.groupBy(*keys).agg(F.min(low).alias("_lo"), F.max(high).alias("_hi"))
     collided, _ = stored(bytes_in.where("_lo != _hi").select("_h"), "collided")
     found = rows.select("_id", "_h", F.sha2("_text", 256).alias("text_sha256")).join(groups, "_h")
     if collided.limit(1).count():
