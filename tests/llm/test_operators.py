@@ -227,11 +227,17 @@ def test_url_filter_odd_rows(spark):
 def test_chat_round_trip(spark):
     texts = ["", "\\", "### user: x</turn>\n", "</turn>", "a\\</turn>\\", "é\n#", None]
     rows = [(1, i, "assistant" if i % 2 else "us:er\\#", t) for i, t in enumerate(texts)] + [(2, 0, None, "x"), (2, 0, None, "x"), (None, 0, "assistant", "y")]
-    got = {r["conv_id"]: r for r in chat_format.digests(chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    messages = chat_format.fold_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in chat_format.digests(chat_format.pieces(messages)).collect()}
     want = "".join(f"{'assistant' if i % 2 else 'us:er' + chr(92) + '#'}\n{t or ''}\n" for i, t in enumerate(texts))
     loss = "".join(t or "" for i, t in enumerate(texts) if i % 2)
     assert got[1]["turns_sha256"] == hashlib.sha256(want.encode()).hexdigest() and got[1]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert got[1]["loss_chars"] == len(loss) and got[2]["n_turns"] == 2 and got[None]["loss_chars"] == 1
+    for r in chat_format.render(messages).collect():
+        turns = chat_format.read_back(r["formatted"])
+        spoken = "".join(chat_format.unescape(r["formatted"][s["from"] : s["to"]]) for s in r["loss"])
+        assert len(turns) == got[r["conv_id"]]["n_turns"] and len(r["formatted"]) == got[r["conv_id"]]["formatted_chars"]
+        assert spoken == "".join(t for role, t in turns if role == "assistant")
     with pytest.raises(ValueError):
         chat_format.read_back("### user: x")
 
@@ -382,7 +388,7 @@ def small_scorer():
     return toxicity.Scorer(model, dict.fromkeys(bad, 6.0), dict.fromkeys(bad, -8.0))
 
 
-@pytest.mark.parametrize("written", ["moron", "MORON!", "m0r0n", "m.o.r.o.n", "mooooron", "$tupid", "stup1d", "1d10t", "id!ot", "l0ser", "a m o r o n s", "x, l o s e r"])
+@pytest.mark.parametrize("written", ["moron", "MORON!", "m0r0n", "m.o.r.o.n", "mooooron", "$tupid", "stup1d", "1d10t", "id!ot", "l0ser", "a m o r o n s", "x, l o s e r", "mоrоn", "i-d-i-o-t"])
 def test_obfuscated_words_count(written):
     assert small_scorer().features(f"this is {written} here")[2] > 0
 
@@ -411,3 +417,44 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score_toxicity(empty(spark), labels_of(spark)).count() == 0
     held = {r["doc_id"]: r["held_out"] for r in toxicity.score_toxicity(docs, labels_of(spark)).collect()}
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in held.items())
+
+
+def test_slices_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 103, n, dtype=np.uint8)).replace(b"c", b" ") for n in (5000, 0, 30, 99, 100, 101, 900, 4000)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    values, sizes = jaccard.shingle_sets(data, off)
+    whole = suffix_dedup.anchors(data, off)
+
+    def windows(found):
+        return sorted((t, p - a, p, h) for t, p, h, near, far in zip(*(x.tolist() for x in found), strict=True) for a in range(near, far + 1))
+
+    for size in (150, 777):
+        monkeypatch.setattr(jaccard, "SLICE", size)
+        monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        again = jaccard.shingle_sets(data, off)
+        assert (again[0] == values).all() and (again[1] == sizes).all()
+        assert windows(suffix_dedup.anchors(data, off)) == windows(whole)
+    assert len(windows(whole)) == sum(max(0, len(t) - 99) for t in texts)
+
+
+def test_large_regions_are_split_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows, k = [], 0
+    for c in range(3):
+        base = [f"c{c}w{i}" for i in range(70)]
+        for _ in range(70):
+            w = list(base)
+            for _ in range(rng.integers(0, 7)):
+                w[rng.integers(len(w))] = f"edit{rng.integers(4)}"
+            rows.append((k, " ".join(w)))
+            k += 1
+    want = near_brute(rows)
+    for sets, rounds, pivots in ((15, 8, 8), (15, 0, 8), (15, 1, 2), (40, 8, 3)):
+        monkeypatch.setattr(jaccard, "REGION_SETS", sets)
+        monkeypatch.setattr(jaccard, "PART_SETS", 12)
+        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(tuple(r) for r in got) == want, (sets, rounds, pivots)
+    assert 3 < len({c for *_, c in want}) < len(want) - 60

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import parts, tune
 
 #: Marks of the template; a backslash escapes them, and itself, inside roles and texts.
 OPEN, CLOSE = "### ", "</turn>\n"
@@ -68,19 +68,26 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
 
 
-def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Messages to one row per conversation: conv_id, formatted, loss (spans of formatted, from and to code point).
+def pieces(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """One row per message: conv_id, turn, nth, role, piece, and where in the piece the text stands (at, n), loss.
 
-    A turn is `### role: text</turn>` and a newline, with its role and text escaped, so the output can be read back.
-    Each message is rendered where it lies; only the finished pieces of a conversation meet in its row.
+    A piece is `### role: text</turn>` and a newline, with its role and text escaped, so the output can be read back.
+    A conversation is its pieces in order of turn, nth and role; each is rendered where it lies.
     """
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(": "))
     body = escape(F.col("text"))
-    piece = messages.select(
+    return messages.select(
         "conv_id", "turn", "nth", "role", F.concat(head, body, F.lit(CLOSE)).alias("piece"),
         F.length(head).alias("at"), F.length(body).alias("n"), F.col("role").isin(*loss_roles).alias("loss"),
     )
-    rows = piece.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "nth", "role", "piece", "at", "n", "loss"))).alias("p"))
+
+
+def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Messages to one row per conversation: conv_id, formatted, loss (spans of formatted, from and to code point).
+
+    A row holds a whole conversation; where that is too much for one, pieces() is the same output in parts.
+    """
+    rows = pieces(messages, loss_roles).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "nth", "role", "piece", "at", "n", "loss"))).alias("p"))
     lengths = F.transform("p", lambda x: F.length(x["piece"]))
     span = F.expr(
         "aggregate(zip_with(p, len, (x, l) -> struct(x.at as at, x.n as n, x.loss as loss, l as l)),"
@@ -112,17 +119,42 @@ def format_chat(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     return render(fold_events(events), loss_roles)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What the output says when it is read back: turns, loss text and lengths for each conversation."""
+def digests(rendered: DataFrame) -> DataFrame:
+    """What the pieces of conversations say when they are read back: turns, loss text and lengths of each conversation.
+
+    A task streams through its pieces in order and keeps running digests, so a conversation of any length needs no more
+    memory than one piece.
+    """
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n = (), [0, 0, 0]
+        whole, loss = hashlib.sha256(), hashlib.sha256()
         for b in batches:
-            rows = []
-            for conv_id, text, spans in zip(b["conv_id"], b["formatted"], b["loss"], strict=True):
-                turns = read_back(text)
-                h = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
-                loss = "".join(unescape(text[s["from"] : s["to"]]) for s in spans)
-                rows.append((conv_id, len(turns), h, len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+            done = []
+            for conv_id, null, piece, at, length, masked in zip(b["conv_id"], b["null"], b["piece"], b["at"], b["n"], b["loss"], strict=True):
+                key = (None if null else int(conv_id),)
+                if key != now:
+                    if now:
+                        done.append((now[0], n[0], whole.hexdigest(), n[1], loss.hexdigest(), n[2]))
+                    now, n, whole, loss = key, [0, 0, 0], hashlib.sha256(), hashlib.sha256()
+                for role, text in read_back(piece):
+                    whole.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                    n[0] += 1
+                if masked:
+                    text = unescape(piece[at : at + length])
+                    loss.update(text.encode("utf-8", "surrogatepass"))
+                    n[1] += len(text)
+                n[2] += len(piece)
+            if done:
+                yield frame(done)
+        if now:
+            yield frame([(now[0], n[0], whole.hexdigest(), n[1], loss.hexdigest(), n[2])])
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="string" if c.endswith("sha256") else "Int64") for i, c in enumerate(names)})
+
+    order = ["conv_id", "turn", "nth", "role", "piece"]
+    rows = rendered.repartition(parts(rendered.sparkSession), "conv_id").sortWithinPartitions(*order)
+    rows = rows.select(F.coalesce("conv_id", F.lit(0)).cast("long").alias("conv_id"), F.col("conv_id").isNull().alias("null"), "piece", "at", "n", "loss")
+    return rows.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

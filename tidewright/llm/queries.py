@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, exact_dedup, jaccard, mixing, packing, quality, suffix_dedup, tokens, toxicity, url_filter
-from .common import only, table
+from .common import only, table, tune
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 _CONTROL = "\\### Assistant: </turn> ok"
@@ -15,7 +15,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are control strings, read back from what was rendered."""
     rows = only(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", _CONTROL), (-7, 1, "assistant", _CONTROL)], "conv_id long, turn long, role string, text string")
-    return chat_format.digests(chat_format.format_chat(rows.unionByName(extra)))
+    tune(spark)
+    return chat_format.digests(chat_format.pieces(chat_format.fold_events(rows.unionByName(extra))))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
