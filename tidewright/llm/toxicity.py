@@ -29,6 +29,7 @@ STANDS_FOR = {
     "0": "oóòôõö", "1": "iíìîïl", "2": "z", "3": "eéèêë", "4": "aáàâãäå", "5": "sß", "6": "gb", "7": "t", "8": "bß", "9": "g",
     "@": "aáàâãäå", "$": "sß", "!": "iíìîïl", "|": "iíìîïl", "+": "t", "(": "cç", "€": "eéèêë",
 }
+LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s"}  # Cyrillic for Latin
 EDGE = ".,;:?!\"'()[]{}<>*#$%&|-_~/\\@+=^`…«»“”„’"
 JOINERS = ".-_*'·/"
 # end of fixed values
@@ -36,7 +37,11 @@ JOINERS = ".-_*'·/"
 N = 64
 _SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
 _FOLD = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüÿßl0123456789@$!|+(€", "aaaaaaceeeeiiiinooooouuuuysioizeasgtbgasiitce", JOINERS)
+_FOLD |= {ord(k): ord(v) for k, v in LOOKALIKES.items()}
+STANDS_FOR |= LOOKALIKES
+_LOOKALIKE = re.compile(f"[{''.join(LOOKALIKES)}]")
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
+_TRIPLE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 #: Costs (negative logs) of the channel: a sign for a letter, a sign that was put in, a letter repeated.
 SUBSTITUTED, INSERTED, KEPT_SIGN, BROKEN = 1.5, 1.0, 1.0, 0.5
@@ -74,7 +79,7 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
     columns: list[list[tuple[str, float]]] = []
     for m in re.finditer(r"(.)\1*", token, re.DOTALL):
         c, n = m[1], len(m[0])
-        if c in _SYMBOL or c.isalpha():
+        if c in _SYMBOL or c.isalpha() and c not in STANDS_FOR:
             columns.append([(c, 0.0)] if n == 1 else [(c, 2.0 if n == 2 else 1.0), (c * 2, 0.0 if n == 2 else 1.5), *([(c * n, 6.0)] if n > 2 else [])])
         elif c == " " and spaced:
             columns.append([("", 0.2), (" ", BROKEN)])
@@ -82,7 +87,7 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
             options = [(x, SUBSTITUTED) for x in STANDS_FOR.get(c, "")]
             if n > 1:
                 options += [(x * 2, SUBSTITUTED + 1) for x in STANDS_FOR.get(c, "")]
-            columns.append([*options, ("", INSERTED if not c.isalnum() else 6.0), (" ", KEPT_SIGN + 2)])
+            columns.append([*options, ("", INSERTED if not c.isalnum() else 6.0), (" ", KEPT_SIGN + 2), *([(c, 3.0)] if c.isalpha() else [])])
     return columns
 
 
@@ -148,7 +153,7 @@ def restore_words(text: str | None, model: CharModel, cache: dict[str, str]) ->
         word = cache.get(token)
         if word is None:
             inner = core(token)
-            word = inner if inner.isalpha() and not re.search(r"(.)\1\1", inner) else decode(inner[:60], model) if any(c.isalpha() for c in inner) else ""
+            word = inner if inner.isalpha() and not _TRIPLE.search(inner) and not _LOOKALIKE.search(inner) else decode(inner[:60], model) if any(c.isalpha() for c in inner) else ""
             cache[token] = word
         if word:
             words.append(word)
