@@ -29,7 +29,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min if keep == "min" else F.max
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_h", F.unhex(F.md5("_text")))
-    groups = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep"))
+    # stored, so that the join at the end is one of two plain shuffles, whose hot keys Spark splits
+    groups, _ = stored(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep")), "groups")
     several = groups.where("_n > 1").select("_h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
     bytes_in = rows.select("_h", salt.alias("_salt"), "_text").join(several, ["_h", "_salt"], "left_semi")
