@@ -609,5 +609,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(spark, members_path)
     settle(spark)
     every = sets.select("s1", "s2", "least").join(joined, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id"))
+    every, _ = stored(every, "classes")  # so that the join below is one of two plain shuffles, whose hot keys Spark splits
     out = light.join(every, ["s1", "s2"])
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
