@@ -445,7 +445,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield blobs(block, found)
         tidy()
 
-    sorted_blocks = placed.repartition(n_parts, "block").sortWithinPartitions("block")
+    # rows without their text only pass through, so they may go anywhere
+    to = F.when(F.col("text").isNull(), F.xxhash64("doc_id", "s1")).otherwise(F.xxhash64("block"))
+    sorted_blocks = placed.repartition(n_parts, to).sortWithinPartitions("block")
     told, told_path = stored(sorted_blocks.mapInArrow(share, "doc_id long, n int, s1 long, s2 long, range int, block int, blob binary"), "shares")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
