@@ -87,11 +87,12 @@ def field_stats(posted: DataFrame, n_rows: DataFrame) -> DataFrame:
     return per_row.groupBy("field", "analyzer").agg(F.avg("dl").alias("avgdl")).crossJoin(F.broadcast(n_rows))
 
 
-def bm25_scores(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], common_share: float = COMMON_SHARE, index: DataFrame | None = None) -> DataFrame:
+def bm25_scores(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], common_share: float = COMMON_SHARE, index: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """(source_id, ref_id, score): the sum over clauses of boost times BM25, for pairs that share a term.
 
     A pair has to share a term of each must clause. Terms that are common in the reference find no candidates and count
     for nothing, which keeps a hot term from pairing everything with everything. The join is on (field, analyzer, term).
+    candidates: (ref_id), if only these rows are to be found; statistics count all rows.
     """
     wanted: dict[str, tuple[str, ...]] = {}
     for c in template:
@@ -104,7 +105,8 @@ def bm25_scores(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str,
     idf = df.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("field", "analyzer", "term", "idf", "avgdl")
     clauses = [F.struct(F.lit(i).alias("clause"), F.lit(c.ref).alias("field"), F.lit(c.analyzer).alias("analyzer"), F.lit(float(c.boost)).alias("boost"), F.array_distinct(analyze(c.source, c.analyzer)).alias("terms")) for i, c in enumerate(template)]
     asked = source.select(F.col(source_id).alias("source_id"), F.inline(F.array(*clauses))).select("source_id", "clause", "field", "analyzer", "boost", F.explode("terms").alias("term"))
-    met = asked.join(idf, ["field", "analyzer", "term"]).join(posted, ["field", "analyzer", "term"])
+    found = posted if candidates is None else posted.join(candidates, "ref_id", "left_semi")
+    met = asked.join(idf, ["field", "analyzer", "term"]).join(found, ["field", "analyzer", "term"])
     part = F.col("boost") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     must = [i for i, c in enumerate(template) if c.kind == "must"]
     out = met.groupBy("source_id", "ref_id").agg(F.sum(part).alias("score"), F.collect_set("clause").alias("clauses"))
@@ -133,17 +135,44 @@ def best_match(scores: DataFrame, thresh: float, exact_pairs: DataFrame | None =
     top = scores.groupBy("source_id").agg(F.max_by(F.struct("ref_id", "score"), F.struct(F.round("score", 9), -F.col("ref_id"))).alias("t"))
     out = top.select("source_id", F.col("t.ref_id").alias("__ID_REF"), F.col("t.score").alias("__ES_SCORE"), F.lit(float(thresh)).alias("__THRESH"), (F.col("t.score") / thresh).alias("__CONFIDENCE"))
     out = out.withColumn("__IS_MATCH", F.col("__CONFIDENCE") >= DECISION)
-    if exact_pairs is not None:
-        forced = exact_pairs.groupBy("source_id").agg(F.min("ref_id").alias("__ID_REF"))
-        forced = forced.select("source_id", "__ID_REF", F.lit(None).cast("double").alias("__ES_SCORE"), F.lit(float(thresh)).alias("__THRESH"), F.lit(MANUAL_CONFIDENCE).alias("__CONFIDENCE"), F.lit(True).alias("__IS_MATCH"))
-        out = out.join(forced.select("source_id"), "source_id", "left_anti").unionByName(forced)
-    return out
+    return with_forced(out, thresh, exact_pairs) if exact_pairs is not None else out
+
+
+def with_forced(out: DataFrame, thresh: float, exact_pairs: DataFrame) -> DataFrame:
+    forced = exact_pairs.groupBy("source_id").agg(F.min("ref_id").alias("__ID_REF"))
+    forced = forced.select("source_id", "__ID_REF", F.lit(None).cast("double").alias("__ES_SCORE"), F.lit(float(thresh)).alias("__THRESH"), F.lit(MANUAL_CONFIDENCE).alias("__CONFIDENCE"), F.lit(True).alias("__IS_MATCH"))
+    return out.join(forced.select("source_id"), "source_id", "left_anti").unionByName(forced)
+
+
+def bm25_best(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], thresh: float, exact_pairs: DataFrame | None = None, non_matching: DataFrame | None = None) -> DataFrame:
+    """best_match over bm25_scores, with equal rows taken together: a query that many source rows ask is answered once,
+    and of reference rows that read alike only the one of the smallest id, which wins ties, is a candidate (statistics
+    count all of them). Source rows with forbidden pairs are scored against every row."""
+    wanted: dict[str, tuple[str, ...]] = {}
+    for c in template:
+        wanted[c.ref] = tuple(dict.fromkeys((*wanted.get(c.ref, ()), c.analyzer)))
+    posted = postings(ref, ref_id, wanted)
+    first = ref.groupBy(*wanted).agg(F.min(ref_id).alias("ref_id")).select("ref_id")
+    asked = list(dict.fromkeys(c.source for c in template))
+    free = source if non_matching is None else source.join(non_matching.select(F.col("source_id").alias(source_id)).distinct(), source_id, "left_anti")
+    same = free.groupBy(*asked).agg(F.min(source_id).alias("_q"))
+    scores = bm25_scores(same.withColumnRenamed("_q", source_id), source_id, ref, ref_id, template, index=posted, candidates=first)
+    best = best_match(scores, thresh).withColumnRenamed("source_id", "_q")
+    on = None
+    for c in asked:
+        test = free[c].eqNullSafe(same[c])
+        on = test if on is None else on & test
+    out = free.join(same, on).select(free[source_id].alias("source_id"), "_q").join(best, "_q").drop("_q")
+    if non_matching is not None:
+        bound = source.join(non_matching.select(F.col("source_id").alias(source_id)).distinct(), source_id, "left_semi")
+        out = out.unionByName(best_match(bm25_scores(bound, source_id, ref, ref_id, template, index=posted), thresh, None, non_matching))
+    return with_forced(out, thresh, exact_pairs) if exact_pairs is not None else out
 
 
 def link(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], thresh: float, must=None, must_not=None, exact_pairs=None, non_matching=None) -> DataFrame:
     """Source rows with the columns of their best reference row (`__REF`) and the link columns; all source rows stay."""
     allowed = with_filters(ref, must, must_not)
-    best = best_match(bm25_scores(source, source_id, allowed, ref_id, template), thresh, exact_pairs, non_matching)
+    best = bm25_best(source, source_id, allowed, ref_id, template, thresh, exact_pairs, non_matching)
     refs = ref.select(*[F.col(c).alias(f"{c}__REF") for c in ref.columns])
     return source.join(best.withColumnRenamed("source_id", source_id), source_id, "left").join(refs, F.col("__ID_REF") == F.col(f"{ref_id}__REF"), "left")
 
