@@ -398,6 +398,15 @@ def test_other_words_do_not_count(written):
     assert small_scorer().features(f"this is {written} here")[2] == 0
 
 
+def test_long_tokens_and_runs_are_decoded_whole():
+    scorer = small_scorer()
+    assert scorer.features("this is moro" + 70 * "o" + "n here")[2] > 0
+    assert scorer.features("this is m" + 70 * "." + "oron here")[2] > 0
+    assert toxicity.restore_words("m" + 70 * "." + "oron", scorer.model, {}) == ["moron"]
+    letters = "theriverandthatregion" * 30
+    assert "".join(toxicity.spaced_runs(" ".join(letters), scorer.model)) == letters
+
+
 def test_decode_is_the_best_path():
     scorer = small_scorer()
     token = "st0p"

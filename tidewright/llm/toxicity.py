@@ -93,15 +93,16 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
 
 def decode(token: str, model: CharModel, known: dict[str, float] | None = None, spaced: bool = False) -> str:
     """The likeliest original of a token (Viterbi over pairs of letters). known: words and their log probabilities,
-    which compete with the character model where the lattice holds them. A lattice of one path gives that path."""
+    which compete with the character model where the lattice holds them. A lattice of one path gives that path.
+    States hold their text as links to what came before, so the time goes with the length of the token."""
     columns = lattice(token, spaced)
     if all(len(c) == 1 for c in columns):
         return "".join(c[0][0] for c in columns)
     log_p = model.log_p
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for column in columns:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, links) in states.items():
             for out, cost in column:
                 x, y, s = a, b, score - cost
                 for ch in out:
@@ -109,9 +110,10 @@ def decode(token: str, model: CharModel, known: dict[str, float] | None = None,
                     s += log_p[x, y, z]
                     x, y = y, z
                 if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = s, text + out
+                    new[x, y] = s, (links, out) if out else links
         states = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:80])
-    best, text = max((s + log_p[a, b, 0], t) for (a, b), (s, t) in states.items())
+    best = max(s + log_p[a, b, 0] for (a, b), (s, _) in states.items())
+    text = max(spelled(links) for (a, b), (s, links) in states.items() if s + log_p[a, b, 0] == best)
     if known and not spaced:
         for word, log_word in known.items():
             cost = fits(columns, word)
@@ -120,6 +122,15 @@ def decode(token: str, model: CharModel, known: dict[str, float] | None = None,
     return text
 
 
+def spelled(links: tuple | None) -> str:
+    """The text of a state's links."""
+    out = []
+    while links:
+        links, last = links
+        out.append(last)
+    return "".join(reversed(out))
+
+
 def fits(columns: list[list[tuple[str, float]]], word: str) -> float | None:
     """The least channel cost at which the lattice gives word, None if it can't."""
     ends = {0: 0.0}
@@ -142,7 +153,7 @@ def core(token: str) -> str:
 
 def spaced_runs(text: str, model: CharModel) -> list[str]:
     """Words out of runs of single characters between spaces."""
-    return [w for run in _SPACED.findall(text) if any(c.isalpha() for c in run) for w in decode(run[:400], model, spaced=True).split()]
+    return [w for run in _SPACED.findall(text) if any(c.isalpha() for c in run) for w in decode(run, model, spaced=True).split()]
 
 
 def restore_words(text: str | None, model: CharModel, cache: dict[str, str]) -> list[str]:
@@ -153,7 +164,7 @@ def restore_words(text: str | None, model: CharModel, cache: dict[str, str]) ->
         word = cache.get(token)
         if word is None:
             inner = core(token)
-            word = inner if inner.isalpha() and not _TRIPLE.search(inner) and not _LOOKALIKE.search(inner) else decode(inner[:60], model) if any(c.isalpha() for c in inner) else ""
+            word = inner if inner.isalpha() and not _TRIPLE.search(inner) and not _LOOKALIKE.search(inner) else decode(inner, model) if any(c.isalpha() for c in inner) else ""
             cache[token] = word
         if word:
             words.append(word)
@@ -193,7 +204,7 @@ class Scorer:
             known = self.by_canon.get(canon(inner)) if inner else None
             if known is None and inner and not inner[0].isalnum():
                 known = self.by_canon.get(canon(inner[1:]))
-            if known and (word := decode(inner[:60], self.model, known)) in self.weights:
+            if known and (word := decode(inner, self.model, known)) in self.weights:
                 self.hits[token] = word
 
     def _inside_runs(self, text: str) -> set[str]:
