@@ -407,6 +407,19 @@ def test_long_tokens_and_runs_are_decoded_whole():
     assert "".join(toxicity.spaced_runs(" ".join(letters), scorer.model)) == letters
 
 
+@pytest.mark.parametrize("written", ["m,o,r,o,n", "m~o~r~o~n", "m#o#r#o#n", "m:o:r:o:n", "m|o|r|o|n", "m+o+r+o+n", "mo\u200bro\u200bn", "\u200bmoron", "i!d!i!o!t", "l0,s3r"])
+def test_words_with_any_signs_inside_count(written):
+    assert small_scorer().features(f"this is {written} here")[2] > 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("morn0idt!|+.,~lse3$\u200bо", min_size=1, max_size=12))
+def test_within_holds_every_word_of_the_lattice(token):
+    scorer = small_scorer()
+    columns = toxicity.lattice(token)
+    assert set(scorer.within(token)) >= {w for w in scorer.weights if toxicity.fits(columns, w) is not None}
+
+
 def test_decode_is_the_best_path():
     scorer = small_scorer()
     token = "st0p"

@@ -39,6 +39,8 @@ _SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
 _FOLD = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüÿßl0123456789@$!|+(€", "aaaaaaceeeeiiiinooooouuuuysioizeasgtbgasiitce", JOINERS)
 _FOLD |= {ord(k): ord(v) for k, v in LOOKALIKES.items()}
 STANDS_FOR |= LOOKALIKES
+#: Letters that a sign may stand for; what a token may lose or put in without its other letters changing.
+_LOOSE = {c for options in STANDS_FOR.values() for c in options}
 _LOOKALIKE = re.compile(f"[{''.join(LOOKALIKES)}]")
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 _TRIPLE = re.compile(r"(.)\1\1")
@@ -52,6 +54,17 @@ def canon(word: str) -> str:
     return _RUNS.sub(r"\1", word.translate(_FOLD).replace("l", "i").replace("b", "g"))
 
 
+def frame(text: str) -> str:
+    """The letters that every path of a token's lattice keeps, runs collapsed: equal for a token and all words that its
+    lattice holds. Signs, digits and the letters that they may stand for are out, whether inserted or substituted."""
+    return _RUNS.sub(r"\1", "".join(c for c in text if fixed(c) and c not in _LOOSE))
+
+
+def fixed(c: str) -> bool:
+    """Whether a character stands for itself only."""
+    return c in _SYMBOL or c.isalpha() and c not in STANDS_FOR
+
+
 @dataclass
 class CharModel:
     """Interpolated trigram model over LETTERS; log_p[a, b, c]."""
@@ -79,7 +92,7 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
     columns: list[list[tuple[str, float]]] = []
     for m in re.finditer(r"(.)\1*", token, re.DOTALL):
         c, n = m[1], len(m[0])
-        if c in _SYMBOL or c.isalpha() and c not in STANDS_FOR:
+        if fixed(c):
             columns.append([(c, 0.0)] if n == 1 else [(c, 2.0 if n == 2 else 1.0), (c * 2, 0.0 if n == 2 else 1.5), *([(c * n, 6.0)] if n > 2 else [])])
         elif c == " " and spaced:
             columns.append([("", 0.2), (" ", BROKEN)])
@@ -140,6 +153,8 @@ def fits(columns: list[list[tuple[str, float]]], word: str) -> float | None:
             for out, c in column:
                 if word.startswith(out, at) and cost + c < new.get(at + len(out), math.inf):
                     new[at + len(out)] = cost + c
+        if not new:
+            return None
         ends = new
     return ends.get(len(word))
 
@@ -184,8 +199,11 @@ class Scorer:
 
     def __post_init__(self) -> None:
         self.by_canon: dict[str, dict[str, float]] = {}
+        self.by_runs: dict[str, dict[str, float]] = {}
+        self.by_frame: dict[str, dict[str, float]] = {}
         for w in self.weights:
-            self.by_canon.setdefault(canon(w), {})[w] = self.log_words[w]
+            for index, key in ((self.by_canon, canon(w)), (self.by_runs, _RUNS.sub(r"\1", w)), (self.by_frame, frame(w))):
+                index.setdefault(key, {})[w] = self.log_words[w]
         self.seen: set[str] = set()
         self.hits: dict[str, str] = {}
 
@@ -201,12 +219,21 @@ class Scorer:
         self.seen |= new
         for token in new:
             inner = core(token)
-            known = self.by_canon.get(canon(inner)) if inner else None
-            if known is None and inner and not inner[0].isalnum():
-                known = self.by_canon.get(canon(inner[1:]))
+            known = self.within(inner) if inner else None
             if known and (word := decode(inner, self.model, known)) in self.weights:
                 self.hits[token] = word
 
+    def within(self, inner: str) -> dict[str, float]:
+        """The learned words that the lattice of a token holds. Where all letters stand for themselves only runs differ;
+        else the words of the token's frame are tried."""
+        if inner.isalpha() and not _LOOKALIKE.search(inner):
+            return self.by_runs.get(_RUNS.sub(r"\1", inner), {})
+        near = self.by_frame.get(frame(inner))
+        if not near:
+            return {}
+        columns = lattice(inner)
+        return {w: p for w, p in near.items() if fits(columns, w) is not None}
+
     def _inside_runs(self, text: str) -> set[str]:
         """Learned words of four letters or more that stand in a run of single characters, whatever is around them."""
         joined = [canon(run.replace(" ", "")) for run in _SPACED.findall(text) if any(c.isalpha() for c in run)]
