@@ -1,5 +1,7 @@
 """Operators over small tables with known results."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,24 @@ def test_links(spark):
     assert link.merge_metrics([{"num_match": 1, "n_rows": 2, "perc_match": 0.5}, {"num_match": 3, "n_rows": 4, "perc_match": 0.75}]) == {"num_match": 4, "n_rows": 6, "perc_match": 0.6875}
 
 
+@pytest.mark.parametrize("slice_rows", [link.SLICE_ROWS, 3])
+def test_common_terms_count(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(link, "SLICE_ROWS", slice_rows)
+    refs = {i: ["small", *(["box"] if i < 6 else []), *(["rare"] if i == 9 else [])] for i in range(10)}
+    asks = {1: ["small"], 2: ["small", "box"], 3: ["rare", "small"]}
+    s = spark.createDataFrame([(k, " ".join(v)) for k, v in asks.items()], "sid long, n string")
+    r = spark.createDataFrame([(k, " ".join(v)) for k, v in refs.items()], "rid long, full string")
+    df = {t: sum(t in v for v in refs.values()) for t in ("small", "box", "rare")}
+    avgdl, want = sum(map(len, refs.values())) / len(refs), {}
+    for a, words in asks.items():
+        for b, has in refs.items():
+            want[a, b] = round(sum(math.log(1 + (10 - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(has) / avgdl)) for t in words if t in has), 9)
+    got = {(x["source_id"], x["ref_id"]): round(x["score"], 9) for x in link.bm25_scores(s, "sid", r, "rid", [link.Clause("must", "n", "full")]).collect()}
+    assert got == want
+    out = {x["sid"]: x["rid__REF"] for x in link.link(s, "sid", r, "rid", [link.Clause("must", "n", "full")], 0.1, must={"full": ["small"]}).collect()}
+    assert out == {1: 6, 2: 0, 3: 9}
+
+
 def test_labeller(spark):
     s = spark.createDataFrame([(1, "lycee hugo", "a"), (2, "college moulin", "b")], "sid long, n string, k string")
     r = spark.createDataFrame([(1, "hugo lycee", "a"), (2, "moulin", "b"), (3, "college x", "c")], "rid long, full string, k string")

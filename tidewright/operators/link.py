@@ -14,8 +14,8 @@ K1, B = 1.2, 0.75
 MANUAL_CONFIDENCE, DECISION, MAX_PAIRS, MAX_SEARCH_VALUES = 999.0, 1.0, 5, 15
 LINK_COLUMNS = ("__ID_REF", "__ES_SCORE", "__THRESH", "__CONFIDENCE", "__IS_MATCH")
 # end of fixed values
-#: A term in more rows of the reference than this share of them (and this many) is left out of candidate search.
-COMMON_SHARE, COMMON_ROWS = 0.2, 10_000
+#: Postings of a term are dealt to tasks in slices of so many rows.
+SLICE_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -87,11 +87,12 @@ def field_stats(posted: DataFrame, n_rows: DataFrame) -> DataFrame:
     return per_row.groupBy("field", "analyzer").agg(F.avg("dl").alias("avgdl")).crossJoin(F.broadcast(n_rows))
 
 
-def bm25_scores(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], common_share: float = COMMON_SHARE, index: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+def bm25_scores(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], common_share: float | None = None, index: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """(source_id, ref_id, score): the sum over clauses of boost times BM25, for pairs that share a term.
 
-    A pair has to share a term of each must clause. Terms that are common in the reference find no candidates and count
-    for nothing, which keeps a hot term from pairing everything with everything. The join is on (field, analyzer, term).
+    A pair has to share a term of each must clause. All terms find candidates and count, however common; the join is on
+    (field, analyzer, term) and slices of a hot term's postings, so that one term fills many tasks. With common_share,
+    terms in more than this share of the reference rows are left out of both, which loses pairs.
     candidates: (ref_id), if only these rows are to be found; statistics count all rows.
     """
     wanted: dict[str, tuple[str, ...]] = {}
@@ -101,12 +102,17 @@ def bm25_scores(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str,
     n_rows = ref.agg(F.count(F.lit(1)).alias("n_docs"))
     stats = field_stats(posted, n_rows)
     df = posted.groupBy("field", "analyzer", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), ["field", "analyzer"])
-    df = df.where((F.col("df") <= common_share * F.col("n_docs")) | (F.col("df") <= F.lit(1)) | (F.col("n_docs") * common_share < 1))
-    idf = df.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("field", "analyzer", "term", "idf", "avgdl")
+    if common_share is not None:
+        df = df.where((F.col("df") <= common_share * F.col("n_docs")) | (F.col("df") <= F.lit(1)) | (F.col("n_docs") * common_share < 1))
+    df = df.withColumn("slices", F.ceil(F.col("df") / SLICE_ROWS))
+    idf = df.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("field", "analyzer", "term", "idf", "avgdl", "slices")
     clauses = [F.struct(F.lit(i).alias("clause"), F.lit(c.ref).alias("field"), F.lit(c.analyzer).alias("analyzer"), F.lit(float(c.boost)).alias("boost"), F.array_distinct(analyze(c.source, c.analyzer)).alias("terms")) for i, c in enumerate(template)]
     asked = source.select(F.col(source_id).alias("source_id"), F.inline(F.array(*clauses))).select("source_id", "clause", "field", "analyzer", "boost", F.explode("terms").alias("term"))
     found = posted if candidates is None else posted.join(candidates, "ref_id", "left_semi")
-    met = asked.join(idf, ["field", "analyzer", "term"]).join(found, ["field", "analyzer", "term"])
+    hot = df.where("slices > 1").select("field", "analyzer", "term", F.col("slices").alias("_n"))
+    found = found.join(F.broadcast(hot), ["field", "analyzer", "term"], "left").withColumn("slice", F.pmod(F.xxhash64("ref_id"), F.coalesce("_n", F.lit(1)))).drop("_n")
+    asked = asked.join(idf, ["field", "analyzer", "term"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    met = asked.join(found, ["field", "analyzer", "term", "slice"])
     part = F.col("boost") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     must = [i for i, c in enumerate(template) if c.kind == "must"]
     out = met.groupBy("source_id", "ref_id").agg(F.sum(part).alias("score"), F.collect_set("clause").alias("clauses"))
@@ -144,7 +150,7 @@ def with_forced(out: DataFrame, thresh: float, exact_pairs: DataFrame) -> DataFr
     return out.join(forced.select("source_id"), "source_id", "left_anti").unionByName(forced)
 
 
-def bm25_best(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], thresh: float, exact_pairs: DataFrame | None = None, non_matching: DataFrame | None = None) -> DataFrame:
+def bm25_best(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], thresh: float, exact_pairs: DataFrame | None = None, non_matching: DataFrame | None = None, common_share: float | None = None) -> DataFrame:
     """best_match over bm25_scores, with equal rows taken together: a query that many source rows ask is answered once,
     and of reference rows that read alike only the one of the smallest id, which wins ties, is a candidate (statistics
     count all of them). Source rows with forbidden pairs are scored against every row."""
@@ -156,7 +162,7 @@ def bm25_best(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, te
     asked = list(dict.fromkeys(c.source for c in template))
     free = source if non_matching is None else source.join(non_matching.select(F.col("source_id").alias(source_id)).distinct(), source_id, "left_anti")
     same = free.groupBy(*asked).agg(F.min(source_id).alias("_q"))
-    scores = bm25_scores(same.withColumnRenamed("_q", source_id), source_id, ref, ref_id, template, index=posted, candidates=first)
+    scores = bm25_scores(same.withColumnRenamed("_q", source_id), source_id, ref, ref_id, template, common_share, posted, first)
     best = best_match(scores, thresh).withColumnRenamed("source_id", "_q")
     on = None
     for c in asked:
@@ -165,7 +171,7 @@ def bm25_best(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, te
     out = free.join(same, on).select(free[source_id].alias("source_id"), "_q").join(best, "_q").drop("_q")
     if non_matching is not None:
         bound = source.join(non_matching.select(F.col("source_id").alias(source_id)).distinct(), source_id, "left_semi")
-        out = out.unionByName(best_match(bm25_scores(bound, source_id, ref, ref_id, template, index=posted), thresh, None, non_matching))
+        out = out.unionByName(best_match(bm25_scores(bound, source_id, ref, ref_id, template, common_share, posted), thresh, None, non_matching))
     return with_forced(out, thresh, exact_pairs) if exact_pairs is not None else out
 
 

@@ -77,6 +77,8 @@ def _bm25_sql(ref_where: str = "", forbid: str = "") -> str:
     )
 
 
+#: The SQL of the next three leaves out terms that more than this share of the reference rows hold.
+_SHARE = 0.2
 _TEMPLATE = [link.Clause("must", "s", "r", "words", 2.0)]
 
 
@@ -86,6 +88,13 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query("link_bm25_top1", _bm25_sql())
 def link_bm25_top1(spark: SparkSession, d: str) -> DataFrame:
+    s, r = _parts(spark, d)
+    return _rounded(link.bm25_best(s, "sid", r, "rid", _TEMPLATE, 3.5, common_share=_SHARE))
+
+
+@query("link_bm25_all_terms", _bm25_sql().replace(" WHERE df <= 0.2 * n OR df <= 1 OR 0.2 * n < 1", ""))
+def link_bm25_all_terms(spark: SparkSession, d: str) -> DataFrame:
+    """link_bm25_top1 over every term, however common."""
     s, r = _parts(spark, d)
     return _rounded(link.bm25_best(s, "sid", r, "rid", _TEMPLATE, 3.5))
 
@@ -93,16 +102,16 @@ def link_bm25_top1(spark: SparkSession, d: str) -> DataFrame:
 @query("link_must_filters", _bm25_sql(f"WHERE list_contains({tokens_sql('r')}, 'small') AND NOT list_contains({tokens_sql('r')}, 'ring')"))
 def link_must_filters(spark: SparkSession, d: str) -> DataFrame:
     s, r = _parts(spark, d)
-    return _rounded(link.bm25_best(s, "sid", link.with_filters(r, {"r": ["small"]}, {"r": ["ring"]}), "rid", _TEMPLATE, 3.5))
+    return _rounded(link.bm25_best(s, "sid", link.with_filters(r, {"r": ["small"]}, {"r": ["ring"]}), "rid", _TEMPLATE, 3.5, common_share=_SHARE))
 
 
 @query("link_forced_pairs", f"WITH base AS ({_bm25_sql(forbid='WHERE NOT (sid % 10 = 0 AND rid % 3 = 0)')}), x AS (SELECT CAST(p_partkey AS BIGINT) AS source_id, CAST(p_partkey + 1 AS BIGINT) AS ref_id FROM part WHERE p_partkey % 20 = 0) SELECT * FROM base WHERE source_id NOT IN (SELECT source_id FROM x) UNION ALL SELECT source_id, ref_id, NULL, 3.5, 999.0, true FROM x")
 def link_forced_pairs(spark: SparkSession, d: str) -> DataFrame:
     s, r = _parts(spark, d)
     forced = read(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("source_id"), (F.col("p_partkey") + 1).alias("ref_id"))
-    scores = link.bm25_scores(s.where("sid % 10 = 0"), "sid", r, "rid", _TEMPLATE)
+    scores = link.bm25_scores(s.where("sid % 10 = 0"), "sid", r, "rid", _TEMPLATE, _SHARE)
     forbidden = scores.where("ref_id % 3 = 0").select("source_id", "ref_id")
-    return _rounded(link.bm25_best(s, "sid", r, "rid", _TEMPLATE, 3.5, forced, forbidden))
+    return _rounded(link.bm25_best(s, "sid", r, "rid", _TEMPLATE, 3.5, forced, forbidden, _SHARE))
 
 
 _LINKED = "linked AS (SELECT CAST(o_orderkey AS BIGINT) AS sid, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE c_name END AS name__REF, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(c_custkey AS BIGINT) END AS \"__ID_REF\", CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS DOUBLE) END AS \"__ES_SCORE\", CAST(3.5 AS DOUBLE) AS \"__THRESH\", CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS DOUBLE) / 3.5 END AS \"__CONFIDENCE\", CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 7 >= 3.5 END AS \"__IS_MATCH\", lower(c_name) AS own FROM orders JOIN customer ON o_custkey = c_custkey)"
