@@ -35,8 +35,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences in bins, packed along the order of the mix."""
-    return packing.pack(docs, tokens.tokenizer_path())
+    """Pieces of token sequences in bins, packed and numbered along the order of the mix. Files don't keep that order
+    (readers take them by size), so it is made again: slots depend on the rows alone."""
+    return packing.pack(mixed(spark, docs, sf_dir), tokens.tokenizer_path())
 
 
 STAGES = [("toxicity", without_toxic), ("exact_dedup", without_copies), ("ngram_jaccard", without_near_copies), ("source_mixing", mixed), ("best_fit_packing", packed)]

@@ -57,7 +57,8 @@ def pack(docs: DataFrame, tokenizer: str, sizes: tuple[int, ...] = SIZES, overhe
 
     A document's tokens (end id included) are cut into pieces of the largest size and one rest. The pieces are packed
     in windows of consecutive rows of a partition, whose order is that of the input: no shuffle, no hot key, memory for
-    one window of lengths. A window is the same when its task is run again, and so are its bin ids. Every token of
+    one window of lengths. Bins are numbered along that order: by partition, window and their first piece; inside a
+    window a bin may also hold later pieces. A window is the same when its task is run again, and so are its bin ids. Every token of
     every row is in exactly one piece; null texts have one token, the end id. An empty table gives no rows.
     """
     if not sizes or min(sizes) < 1:
@@ -74,7 +75,8 @@ def pack(docs: DataFrame, tokenizer: str, sizes: tuple[int, ...] = SIZES, overhe
         def packed(pieces):
             nonlocal first
             bins, offsets, final, used = best_fit([p[3] for p in pieces], permitted, overhead)
-            rows = sorted(((first + k, final[k], used[k], o, *p) for k, o, p in zip(bins, offsets, pieces, strict=True)), key=lambda r: (r[0], r[3]))
+            nth = {k: i for i, k in enumerate(dict.fromkeys(bins))}
+            rows = sorted(((first + nth[k], final[k], used[k], o, *p) for k, o, p in zip(bins, offsets, pieces, strict=True)), key=lambda r: (r[0], r[3]))
             first += len(final)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
