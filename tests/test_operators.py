@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import checks, fuzz, text
 from tidewright.operators import column_types as ct
 from tidewright.operators import grid, joins, link, missing, names, recode, sampling
-from tidewright.plans import project
+from tidewright.plans import project, q_link, q_types
 from tidewright.plans.q_missing import CASES
 from tidewright.sources import tables
 from tidewright.streaming import transforms
@@ -89,6 +89,24 @@ def test_edit_join_equals_brute_force(spark):
     assert got == {(a, b): d for a in words for b in words if (d := distance(a, b)) <= 2}
 
 
+def test_edit_join2_names_takes_every_name(spark, tmp_path):
+    rows = [(1, "red box", "TIN"), (2, "red bax", "TON"), (3, "rad bax", "TIN"), (49, "green ring", "red bo"), (51, "green rung", "COPPER")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    names, both = {r[1] for r in rows}, {r[1] for r in rows} | {r[2] for r in rows}
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(last[j] + 1, new[-1] + 1, last[j - 1] + (x != y)))
+            last = new
+        return last[-1]
+
+    got = {tuple(r) for r in q_types.edit_join2_names(spark, str(tmp_path)).select("a", "b", "distance").collect()}
+    assert got == {(a, b, distance(a, b)) for a in names for b in both if distance(a, b) <= 2}
+
+
 def test_phrases_and_variants(spark):
     t = spark.createDataFrame([(1, "la tour de lyon"), (2, "rien")], "id long, v string")
     p = spark.createDataFrame([("tour", "x"), ("tour lyon", "x"), ("lyon", "y")], "phrase string, type string")

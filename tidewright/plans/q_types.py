@@ -152,6 +152,14 @@ def edit_join2(spark: SparkSession, d: str) -> DataFrame:
     return joins.edit_join(part.select(F.col("p_name").alias("a")), b, "a", "b").withColumn("distance", F.col("distance").cast("long"))
 
 
+@query("edit_join2_names")
+def edit_join2_names(spark: SparkSession, d: str) -> DataFrame:
+    """edit_join2 with every part name on both sides; a nested loop in SQL is too slow for it."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    b = part.select(F.col("p_type").alias("b")).unionByName(part.select(F.col("p_name").alias("b")))
+    return joins.edit_join(part.select(F.col("p_name").alias("a")), b, "a", "b").withColumn("distance", F.col("distance").cast("long"))
+
+
 @query("edit_score", f"WITH p AS (SELECT DISTINCT n_name AS a FROM nation), r AS (SELECT DISTINCT n_name AS b FROM nation UNION SELECT DISTINCT r_name FROM region), e AS (SELECT a, b, levenshtein(a, b) AS d, length(b) AS n FROM p, r) SELECT a, b, {_SIM} AS score FROM e WHERE d <= 2")
 def edit_score(spark: SparkSession, d: str) -> DataFrame:
     n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("a"))
