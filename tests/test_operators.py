@@ -227,6 +227,15 @@ def test_institutions(spark):
     assert out["parent_grid"] == "g1" and out["grid_label"] == "Lyon Hospital"
 
 
+def test_grid_best_ranks_other_institutions(spark, data, monkeypatch):
+    seen = []
+    best = grid.best_items
+    monkeypatch.setattr(grid, "best_items", lambda source, i, ref, pairs: seen.append(pairs) or best(source, i, ref, pairs))
+    got = {r["source_id"]: r["grid_id"] for r in q_link.grid_best(spark, data).collect()}
+    n = spark.read.parquet(f"{data}/supplier.parquet").count()
+    assert seen[0].count() > n and got == {k: f"grid.{k}" for k in got} and len(got) == n
+
+
 def test_sources(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_bytes('nom;"ville (x)"\n"a;b";Orléans\nNA;\n'.encode("windows-1252"))

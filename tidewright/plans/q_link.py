@@ -203,11 +203,15 @@ def grid_gridded(spark: SparkSession, d: str) -> DataFrame:
 
 @query("grid_best")
 def grid_best(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers to institution items made of the same table: names written otherwise, scored and ranked."""
+    """Suppliers to institution items made of the same table: names written otherwise, scored and ranked. Candidates come
+    from the whole table by the number in the name and the number without its last digit, which ten names share; words
+    that all names share are too wide for candidates() and would end its search."""
     s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     empty = F.array().cast("array<string>")
     ref = s.select(F.concat(F.lit("grid."), F.col("s_suppkey").cast("string")).alias("grid_id"), F.concat(F.lit("University of "), F.replace("s_name", F.lit("#"), F.lit(" number "))).alias("label"), F.lit(None).cast("string").alias("city"), F.col("n_name").alias("country"))
     ref = ref.withColumn("variants", F.array("label", F.concat_ws(" ", "label", "country"))).withColumn("acros", empty).withColumn("urls", empty).withColumn("parents", empty)
     source = s.select("s_suppkey", F.concat(F.lit("Univ. "), F.replace("s_name", F.lit("#"), F.lit(" number "))).alias("label"), F.lit(None).cast("string").alias("city"), F.col("n_name").alias("country"))
-    pairs = s.select(F.col("s_suppkey").alias("source_id"), F.concat(F.lit("grid."), F.col("s_suppkey").cast("string")).alias("ref_id"))
+    number = F.regexp_extract("label", "([0-9]+)", 1)
+    words = F.array(number, F.expr("left(regexp_extract(label, '([0-9]+)', 1), length(regexp_extract(label, '([0-9]+)', 1)) - 1)"))
+    pairs = grid.candidates(source, "s_suppkey", words, ref, "grid_id", words)
     return grid.best_items(source, "s_suppkey", ref, pairs)
