@@ -1,11 +1,11 @@
-"""Removal of byte strings that occur before: shard Burrows-Wheeler transforms over sampled suffixes, merged by refinement.
+"""Removal of byte strings that occur before: sampled suffixes in buckets by minimizer, sorted inside each bucket.
 
 A suffix is sampled where the window of 100 bytes that begins in front of it has its minimizer: of the 80 substrings of
 21 bytes of a window the one of least hash, the first of equal ones. Equal windows have it at the same place, so equal
-windows meet at equal anchors, and one suffix in forty is enough to find all of them. Each shard sorts its sampled
-suffixes by anchor; anchors that occur once in all shards end there. For the rest the interleave of the shards is
-refined: in suffix direction eight bytes at a round (the round in which two neighbours part gives their common prefix),
-then one Burrows-Wheeler symbol, the byte in front, at a round. Rows that are alone in their interval leave; nothing
+windows meet at equal anchors, and one suffix in forty is enough to find all of them. Rows are dealt by the hash of their
+anchor, and all of one anchor are sorted in one task; no shard order or Burrows-Wheeler transform is built or merged.
+Anchors that occur once end there. The rest is refined: in suffix direction eight bytes at a round (the round in which two neighbours part gives their common prefix),
+then by the byte in front, one at a round. Rows that are alone in their interval leave; nothing
 that has been told apart is sorted again. A window of a bytes in front of the anchor and 100 - a from it on is repeated
 where two rows share the interval of a symbols and that of a common prefix of 100 - a.
 """
