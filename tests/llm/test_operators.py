@@ -472,11 +472,45 @@ def test_large_regions_are_split_exactly(spark, monkeypatch):
             rows.append((k, " ".join(w)))
             k += 1
     want = near_brute(rows)
-    for sets, rounds, pivots in ((15, 8, 8), (15, 0, 8), (15, 1, 2), (40, 8, 3)):
+    for sets, size, pivots in ((15, 1 << 26, 8), (1000, 8000, 4)):
         monkeypatch.setattr(jaccard, "REGION_SETS", sets)
-        monkeypatch.setattr(jaccard, "PART_SETS", 12)
-        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        monkeypatch.setattr(jaccard, "REGION_BYTES", size)
         monkeypatch.setattr(jaccard, "PIVOTS", pivots)
         got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-        assert sorted(tuple(r) for r in got) == want, (sets, rounds, pivots)
+        assert sorted(tuple(r) for r in got) == want, (sets, size, pivots)
     assert 3 < len({c for *_, c in want}) < len(want) - 60
+
+
+def test_regions_without_near_pivots_are_split_by_shingles(spark, monkeypatch):
+    """Texts that share passages, so that all are one region, but most of which are far from each other."""
+    rng = np.random.default_rng(13)
+    passages = [[f"p{i}w{j}" for j in range(9)] for i in range(14)]
+    rows = [(k, " ".join(w for i in rng.choice(14, 5, replace=False) for w in passages[i])) for k in range(60)]
+    rows += [(100 + k, f"{rows[k][1]} tail{k}") for k in range(0, 60, 4)] + [(200 + k, f"x{k} {rows[k][1]}") for k in range(0, 60, 6)]
+    want = near_brute(rows)
+    split = []
+    plain = jaccard.split_by_shingles
+    monkeypatch.setattr(jaccard, "split_by_shingles", lambda *a: split.append(1) or plain(*a))
+    monkeypatch.setattr(jaccard, "REGION_SETS", 6)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == want and split
+    assert len({c for *_, c in want}) < len(want) - 15
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(1, 25), min_size=1, max_size=14), min_size=2, max_size=25))
+def test_shingle_prefixes_of_any_depth_hold_linked_pairs(found):
+    """Of linked sets the first k common shingles stand among the first n - overlap + k of each."""
+    sets = [sorted(x) for x in {frozenset(x) for x in found}]
+    for a, b in combinations(sets, 2):
+        both = sorted(set(a) & set(b))
+        if 100 * len(both) >= 80 * len(set(a) | set(b)):
+            for k, s in enumerate(both, 1):
+                assert all(x.index(s) < len(x) - jaccard.overlap_size(len(x)) + k for x in (a, b))
+
+
+def test_counts_round_trip():
+    h = np.sort(np.random.default_rng(1).integers(0, 500, 900).astype(np.uint32))
+    found, n = jaccard.from_counts(jaccard.to_counts(h))
+    assert (np.repeat(found, n) == h).all() and len(jaccard.from_counts(jaccard.to_counts(h[:0]))[0]) == 0

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join as a join in a metric space: regions around pivots, windows from the triangle inequality.
+"""N-gram Jaccard join as a join in a metric space: Voronoi regions around pivots, windows of the triangle inequality.
 
 The distance of two documents is 1 - Jaccard similarity of their sets of word shingles. Unrelated documents are at
 distance 1 from any document, so the first level takes sets of one shingle as pivots: the region of a pivot holds the
@@ -8,6 +8,10 @@ at most a fifth of the shingles, so it is in one of these regions too, and its s
 single document has an empty region besides, so documents with a fifth of such shingles leave at once. Regions that
 share documents are joined to one. Inside, documents are pivots of balls of radius 0.2; a document at distance d > 0.2
 from a pivot can only be linked with members of that ball at distance d - 0.2 or more, and with none if d > 0.4.
+
+A region too large for one task is split again and again until its regions fit, see split_by_documents (Voronoi regions
+of pivots that are documents, whose dense cores are linked at once) and split_by_shingles (pivots of one shingle more,
+for regions whose documents are so far from each other that no document is near a pivot).
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ SHINGLE, PERCENT = 5, 80
 #: Sets that a task remembers as seen; blocks of documents for each shuffle partition.
 MOST_SEEN, BLOCKS = 200_000, 4
 
-#: Sets and bytes of a region that one task joins; larger ones are split. Pivots of a round, rounds, members of a part.
-REGION_SETS, REGION_BYTES = 20_000, 64 << 20
-PIVOTS, ROUNDS, PART_SETS = 8, 8, 5_000
+#: Sets and bytes of a region that one task joins; larger ones are split. Pivots that are documents, in a split.
+REGION_SETS, REGION_BYTES, PIVOTS = 20_000, 64 << 20, 8
+#: Documents beyond this distance from all pivots have a region of their own.
+FAR = 0.4
 #: Bytes that are hashed at once.
 SLICE = 4 << 20
 
@@ -98,9 +103,14 @@ def signatures(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
+def overlap_size(n: np.ndarray | int, percent: int = PERCENT):
+    """So many shingles at least has a set of n in common with any at the similarity or above."""
+    return (n * percent + 99) // 100
+
+
 def prefix_size(n: np.ndarray | int, percent: int = PERCENT):
     """So many first pivots of a set of n shingles hold one of any set at the similarity or above."""
-    return n - (n * percent + 99) // 100 + 1
+    return n - overlap_size(n, percent) + 1
 
 
 def in_order(values: np.ndarray, off: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -109,19 +119,34 @@ def in_order(values: np.ndarray, off: np.ndarray, rank: np.ndarray) -> np.ndarra
     return np.argsort(owner * 256 + rank, kind="stable")
 
 
-def to_blob(hashes: np.ndarray, ranks: np.ndarray | None = None) -> bytes:
-    """Ascending 32-bit numbers as differences of two bytes (four if one is larger), with a byte of rank each."""
+def to_blob(hashes: np.ndarray, beside: bytes = b"") -> bytes:
+    """Ascending 32-bit numbers as differences of two bytes (four if one is larger), and what goes beside them."""
     step = np.diff(hashes.astype(np.int64), prepend=hashes[:1].astype(np.int64))
     wide = len(step) and int(step.max()) > 0xFFFF
     head = np.array([len(hashes), hashes[0] if len(hashes) else 0, bool(wide)], "<u4").tobytes()
-    return head + step.astype("<u4" if wide else "<u2").tobytes() + (b"" if ranks is None else ranks.astype(np.uint8).tobytes())
+    return head + step.astype("<u4" if wide else "<u2").tobytes() + beside
 
 
-def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def from_blob(blob: bytes) -> tuple[np.ndarray, bytes]:
     n, first, wide = np.frombuffer(blob, "<u4", 3)
     kind = np.dtype("<u4" if wide else "<u2")
     step = np.frombuffer(blob, kind, n, 12)
-    return (np.cumsum(step, dtype=np.int64) + first).astype(np.uint32), np.frombuffer(blob, np.uint8, offset=12 + int(n) * kind.itemsize)
+    return (np.cumsum(step, dtype=np.int64) + first).astype(np.uint32), blob[12 + int(n) * kind.itemsize :]
+
+
+def to_counts(hashes: np.ndarray) -> bytes:
+    """Ascending numbers, repeated ones as one with its count: places and counts of those go beside the numbers."""
+    found, n = np.unique(hashes, return_counts=True)
+    more = np.flatnonzero(n > 1)
+    return to_blob(found, np.stack([more, n[more]]).astype("<u4").tobytes())
+
+
+def from_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    found, beside = from_blob(blob)
+    at, n = np.frombuffer(beside, "<u4").reshape(2, -1)
+    counts = np.ones(len(found), np.int64)
+    counts[at] = n
+    return found, counts
 
 
 def ranks_of(short: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -148,32 +173,46 @@ def stars(pairs: dict) -> dict[int, int]:
     return {x: r for x in list(up) if (r := find(x)) != x}
 
 
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links (a, b) as stars, each node once. The memory goes with the task's distinct nodes."""
+    met: dict[tuple[int, int], None] = {}
+    most = 500_000
+    for b in batches:
+        met.update(dict.fromkeys(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+        if len(met) > most:
+            met = dict.fromkeys(stars(met).items())
+            most = max(most, 2 * len(met))
+    out = stars(met)
+    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["a", "b"])
+    tidy()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links to (node, root), root the least node of its component.
+    """(a, b) links to (node, root), root the least node of its component; nodes without a link have no row.
 
-    In a round each link goes to the partitions of both its nodes, where the links that meet are contracted to stars:
-    what a node is linked with meets there, so the way to the least node shortens until all stars are whole. Each
-    round is written to the shared folder; nothing but two sums comes to the driver.
+    Each task contracts its links to stars first, so a hub has few links left. Then in rounds: a node keeps the least
+    node that it is linked with, its other ones are linked with that one instead (a pre-aggregated minimum for each
+    node), and each node goes on to what its own least one keeps. That last join has the stars of hubs on one side and
+    each node once on the other, both plain stored tables, so adaptive execution splits a hub over tasks. Each round
+    is written to the shared folder; nothing but counts comes to the driver.
     """
     spark = edges.sparkSession
-
-    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[tuple[int, int], None] = {}
-        for b in batches:
-            met.update(dict.fromkeys(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
-        out = stars(met)
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["a", "b"])
-        tidy()
-
-    now, path = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    while (total := tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())) != before and total[0]:
-        before = total
-        both = now.select("a", "b", F.explode(F.array("a", "b")).alias("at")).repartition(parts(spark), "at").select("a", "b")
-        new, new_path = stored(both.mapInArrow(contract, "a long, b long").distinct(), "links")
-        drop(spark, path)
-        now, path = new, new_path
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    ordered = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now, path = stored(ordered.mapInArrow(contract, "a long, b long").distinct(), "links")
+    while True:
+        kept, kept_path = stored(now.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n")), "kept")
+        several, on = kept.where("n > 1"), kept.select(F.col("a").alias("least"), F.col("least").alias("next"))
+        jumped, jumped_path = stored(kept.select("a", "least").join(on, "least", "left").select("a", F.coalesce("next", "least").alias("b"), F.col("next").isNotNull().alias("moved")), "jumped")
+        open_ = several.limit(1).count() or jumped.where("moved").limit(1).count()
+        if not open_:
+            drop(spark, path, kept_path)
+            break
+        hooked = now.join(several.select("a", "least"), "a").where("b != least").select(F.greatest("b", "least").alias("a"), F.least("b", "least").alias("b"))
+        both = jumped.select("a", "b").unionByName(hooked).mapInArrow(contract, "a long, b long").distinct()
+        after, after_path = stored(both, "links")
+        drop(spark, path, kept_path, jumped_path)
+        now, path = after, after_path
+    return jumped.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(jumped.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 class Union:
@@ -254,12 +293,16 @@ def join_region(sets: list[np.ndarray], pivots: list[np.ndarray], percent: int =
 
 
 def solve(percent: int):
-    """A function for mapInArrow over rows (region, id, set, first) by region: links (a, b) of each id with the least one
-    of its component in the region."""
+    """A function for mapInArrow over rows (region, id, set, low, depth) by region: links (a, b) of each id with the least
+    one of its component in the region."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(group: list) -> pa.RecordBatch:
-            comp = join_region([np.frombuffer(r[2], np.uint64) for r in group], [np.array(r[3], np.int64).view(np.uint64) for r in group], percent)
+            ordered = [np.frombuffer(r[2], np.uint64) for r in group]
+            pivots = [x[r[3] : len(x) - overlap_size(len(x), percent) + r[4]] for x, r in zip(ordered, group, strict=True)]
+            # sets that may have nothing in common but the region's own shingles meet by the region itself
+            pivots = [np.append(p, np.uint64(0)) if r[4] > overlap_size(len(x), percent) else p for p, x, r in zip(pivots, ordered, group, strict=True)]
+            comp = join_region([np.sort(x) for x in ordered], pivots, percent)
             least: dict[int, int] = {}
             for c, r in zip(comp, group, strict=True):
                 least[c] = min(least.get(c, r[1]), r[1])
@@ -268,115 +311,156 @@ def solve(percent: int):
 
         group: list = []
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if group and group[0][0] != r[0]:
-                    yield solved(group)
+                    if len(group) > 1:
+                        yield solved(group)
                     group = []
                 group.append(r)
-        if group:
+        if len(group) > 1:
             yield solved(group)
-            del group
+        del group
         tidy()
 
     return links
 
 
-def region_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) links between ids that connect the components of each region. members: (region, id, set, first), stored.
-
-    A region that fits one task is joined there. Of a larger one, in parts: each round takes PIVOTS of the documents
-    that are in no ball yet and measures all members against them. Members of a ball are linked with its pivot; balls
-    that share a member are one group. Of a group only its boundary goes on: members whose distance to each of their
-    pivots is within the radius of the least distance that any document outside the group has (triangle inequality).
-    So tight groups of any size vanish in a round. What is still too large after ROUNDS rounds is joined exactly by
-    pairs of its parts.
+MEMBERS = "region long, id long, set binary, low int, depth int"
+
+
+def split_by_documents(rows: DataFrame, turn: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Voronoi regions of PIVOTS documents for each region of rows; (parts with column `outside`, links, paths made).
+
+    Every document is measured against the pivots of its region, in slices of it. With r = 0.2 the radius of links, d
+    the distance from a pivot and n that from the nearest one: a document is at home with its nearest pivot, or in the
+    far region if n > FAR. It is replicated to the regions of pivots at d <= min(n + 2r, FAR + r) and to the far region
+    if n > FAR - r; by the triangle inequality two linked documents then meet in the home of one of them. Documents
+    at d <= r are a pivot's core: they are linked with it and need not meet each other. Of a core only what may be
+    linked with others goes on: its members at d >= m - r, m being the least distance of a document outside the core.
+    So tight groups of any size vanish.
     """
-    spark = members.sparkSession
-    n_parts, radius = parts(spark), 1 - percent / 100
-    schema = "region long, id long, set binary, first array<long>"
-    columns = ["region", "id", "set", "first"]
-    links: DataFrame | None = None
-    left = members.select(*columns).withColumn("outside", F.lit(True))
-    made: list[str] = []
+    spark = rows.sparkSession
+    n_parts, r, eps, slack = parts(spark), 1 - percent / 100, 1e-9, 1e-8
+    order = Window.partitionBy("region").orderBy(F.desc("outside"), F.xxhash64("id", F.lit(turn)), "id")
+    first = rows.groupBy("region").agg(F.max("parts").alias("parts")).join(
+        # the pivots: few rows for each task and region go to the window
+        rows.groupBy("region", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(64 * PIVOTS)).alias("_s")).agg(F.max(F.struct("outside", "id")).alias("_m")).select("region", "_m.outside", "_m.id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS),
+        "region",
+    )
+    pivots, pivots_path = stored(rows.select("region", "id", "set").join(first, ["region", "id"]), "pivots")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Parts come with their pivots first (kind 0, in order), then their members: distances and a mask of balls."""
-        at, pivots = None, []
+        """Slices come with their pivots first (kind 0, in order), then their members: the distances of each."""
+        at, own = None, []
         for b in batches:
             region, part, kind = (b.column(i).to_pylist() for i in range(3))
-            masks, distances, rows = [], [], []
+            distances, taken = [], []
             for i in range(b.num_rows):
                 if (region[i], part[i]) != at:
-                    at, pivots = (region[i], part[i]), []
-                own = np.frombuffer(b.column(4)[i].as_py(), np.uint64)
+                    at, own = (region[i], part[i]), []
+                x = np.sort(np.frombuffer(b.column(4)[i].as_py(), np.uint64))
                 if kind[i] == 0:
-                    pivots.append(own)
+                    own.append(x)
                     continue
-                n = [int(shared(p, own, np.array([0, len(own)]))[0]) for p in pivots]
-                both = [len(p) + len(own) - x for p, x in zip(pivots, n, strict=True)]
-                masks.append(sum(1 << k for k, (x, y) in enumerate(zip(n, both, strict=True)) if 100 * x >= percent * y))
-                distances.append([1 - x / y for x, y in zip(n, both, strict=True)])
-                rows.append(i)
-            if rows:
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), *(b.column(i).take(take) for i in (3, 4, 5)), pa.array(masks, pa.int32()), pa.array(distances, pa.list_(pa.float64()))], names=[*columns, "mask", "d"])
+                n = [int(shared(p, x, np.array([0, len(x)]))[0]) for p in own]
+                both = [len(p) + len(x) - k for p, k in zip(own, n, strict=True)]
+                # links are told in whole numbers: what is linked is within the radius also after rounding
+                distances.append([min(1 - k / m, r) if 100 * k >= percent * m else max(1 - k / m, r + eps) for k, m in zip(n, both, strict=True)])
+                taken.append(i)
+            if taken:
+                take = pa.array(taken)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), *(b.column(i).take(take) for i in (3, 4, 5, 6)), pa.array(distances, pa.list_(pa.float64()))], names=["region", "id", "set", "low", "depth", "d"])
         tidy()
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The group of each pivot, from the masks that occur in a region."""
+    sent = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "id", "set", F.lit(0).alias("low"), F.lit(0).alias("depth"), "k")
+    asked = rows.select("region", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "set", "low", "depth", F.lit(0).alias("k"))
+    both = sent.unionByName(asked).repartition(n_parts, "region", "part").sortWithinPartitions("region", "part", "kind", "k")
+    measured, measured_path = stored(both.drop("k").mapInArrow(measure, f"{MEMBERS}, d array<double>"), "measured")
+    core = measured.select("region", "id", F.posexplode("d").alias("k", "x")).where(F.col("x") <= r).withColumn("k", F.col("k") + 1)
+    links = core.join(pivots.select("region", "k", F.col("id").alias("pivot")), ["region", "k"]).where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    nearest = measured.groupBy("region").agg(F.array(*[F.min(F.when(F.get("d", F.lit(k)) > r, F.get("d", F.lit(k)))) for k in range(PIVOTS)]).alias("others"))
+    placed = measured.join(nearest, "region").withColumn("near", F.array_min("d")).where("near > 0")  # pivots have met all
+    homes = F.expr(
+        f"array_append(filter(transform(d, (x, k) -> if(x <= least(near + {2 * r + slack}D, {FAR + r + slack}D)"
+        f" and (x > {r}D or coalesce(x >= others[k] - {r + slack}D, false)), k, null)), k -> k is not null), if(near > {FAR - r - slack}D, -1, null))"
+    )
+    parts_of = placed.select("region", "id", "set", "low", "depth", "near", F.explode(homes).alias("home")).where("home is not null")
+    out = parts_of.select(F.xxhash64("region", "home", F.lit(turn)).alias("region"), "id", "set", "low", "depth", (F.col("near") > r).alias("outside"), F.col("region").alias("of"))
+    return out, links, [pivots_path, measured_path]
+
+
+def split_by_shingles(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Regions of one shingle more: of two linked sets the first k common shingles, in the global order, stand among the
+    first n - overlap + k of each (n its size, overlap the least number of common ones). So a set whose region has
+    pivots of k shingles already goes to a region for each later one of its first n - overlap + k + 1. Sets whose k
+    shingles may be all that they have in common with another meet in one region more."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for masks in b.column(1).to_pylist():
-                u = Union(PIVOTS)
-                for m in masks:
-                    inside = [k for k in range(PIVOTS) if m >> k & 1]
-                    for k in inside[1:]:
-                        u.join(inside[0], k)
-                out.append([u.find(k) for k in range(PIVOTS)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["region", "groups"])
-
-    def solved(rows: DataFrame) -> DataFrame:
-        rows = rows.select(*columns).repartition(n_parts, "region").sortWithinPartitions("region", "id")
-        return rows.mapInArrow(solve(percent), "a long, b long")
-
-    for turn in range(ROUNDS + 1):
-        sizes = left.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("set")).alias("bytes"))
-        large = sizes.where((F.col("n") > REGION_SETS) | (F.col("bytes") > REGION_BYTES))
-        large, path = stored(large.select("region", "n", F.greatest(F.ceil(F.col("n") / PART_SETS), F.lit(1)).cast("int").alias("parts")), "large")
+            region, ids, sets, low, depth = (b.column(i).to_pylist() for i in range(5))
+            for i in range(b.num_rows):
+                x = np.frombuffer(sets[i], np.uint64)
+                at = np.arange(low[i], min(len(x), len(x) - overlap_size(len(x), percent) + depth[i]))
+                own = mix(np.array([region[i]], np.int64).view(np.uint64))
+                new, after, deeper = mix(x[at] ^ own).view(np.int64), at + 1, np.full(len(at), depth[i] + 1)
+                if depth[i] > overlap_size(len(x), percent):
+                    new, after, deeper = np.append(new, own.view(np.int64)), np.append(after, low[i]), np.append(deeper, depth[i])
+                for j in range(0, len(new), 256):
+                    m = slice(j, j + 256)
+                    k = len(new[m])
+                    yield pa.RecordBatch.from_arrays([pa.array(new[m]), pa.array([ids[i]] * k, pa.int64()), pa.array([sets[i]] * k, pa.binary()), pa.array(after[m].astype(np.int32)), pa.array(deeper[m].astype(np.int32))], names=["region", "id", "set", "low", "depth"])
+
+    return rows.select("region", "id", "set", "low", "depth").mapInArrow(each, MEMBERS).select("*", F.lit(True).alias("outside"), F.lit(None).cast("long").alias("of"))
+
+
+def region_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) links between ids that connect the components of each region. members: (region, id, set, low), stored.
+
+    A region that fits one task is joined there. Larger ones are split by documents; what is still more than half of
+    the region that it came from is split by shingles next, and so on in turn until all regions fit. Both splits are
+    exact: each linked pair is linked at once, or meets in one region at least. Every split by documents takes its
+    pivots out, every split by shingles goes one shingle on, so it ends.
+    """
+    spark = members.sparkSession
+    n_parts = parts(spark)
+    columns = ["region", "id", "set", "low", "depth"]
+    left = members.select("region", "id", "set", "low", F.lit(1).alias("depth"), F.lit(True).alias("outside"), F.lit(None).cast("long").alias("of"))
+    links: DataFrame | None = None
+    made: list[str] = []
+    earlier: DataFrame | None = None
+    turn = 0
+    while True:
+        sizes = left.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("set")).alias("bytes"), F.min("of").alias("of"))
+        large = sizes.where((F.col("n") > 1) & ((F.col("n") > REGION_SETS) | (F.col("bytes") > REGION_BYTES)))
+        need = F.ceil(F.greatest(F.col("n") / (REGION_SETS / 4), F.col("bytes") / (REGION_BYTES / 4))).cast("int")
+        if earlier is None:
+            stuck = F.lit(False)
+        else:
+            large = large.join(earlier, "of", "left")
+            stuck = F.coalesce(2 * F.col("n") > F.col("n_of"), F.lit(False))
+        large, path = stored(large.select("region", "n", F.least(need, F.col("n")).cast("int").alias("parts"), stuck.alias("stuck")), "large")
         made.append(path)
-        here = solved(left.join(large.select("region"), "region", "left_anti"))
-        links = here if links is None else links.unionByName(here)
-        if not large.limit(1).count():
+        here = left.join(large.select("region"), "region", "left_anti").select(*columns).repartition(n_parts, "region").sortWithinPartitions("region", "id")
+        found, _ = stored(here.mapInArrow(solve(percent), "a long, b long"), "region-links")
+        links = found if links is None else links.unionByName(found)
+        kinds = {r[0] for r in large.select("stuck").distinct().collect()}
+        if not kinds:
             break
-        rest = left.join(large.select("region", "parts"), "region")
-        if turn == ROUNDS:
-            # each pair of parts is a region of its own
-            each = rest.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            pairs = each.select(F.xxhash64("region", F.least("p", "q"), F.greatest("p", "q")).alias("region"), "id", "set", "first")
-            links = links.unionByName(solved(pairs))
-            break
-        nth = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("outside"), F.xxhash64("id", F.lit(turn)), "id"))
-        pivots = rest.withColumn("k", nth).where(F.col("k") <= PIVOTS)
-        no_first = F.lit(None).cast("array<long>")
-        sent = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("id"), "set", no_first.alias("first"), "k")
-        asked = rest.select("region", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "set", "first", F.lit(0).alias("k"))
-        both = sent.unionByName(asked).repartition(n_parts, "region", "part").sortWithinPartitions("region", "part", "kind", "k")
-        measured, path = stored(both.drop("k").mapInArrow(measure, f"{schema}, mask int, d array<double>"), "measured")
-        made.append(path)
-        named, path = stored(pivots.select("region", "k", F.col("id").alias("pivot")), "pivots")
+        rest, after = left.join(large.select("region", "parts", "stuck"), "region"), None
+        if False in kinds:
+            after, near, paths = split_by_documents(rest.where("not stuck"), turn, percent)
+            near, _ = stored(near, "region-links")
+            made += paths
+            links = links.unionByName(near)
+        if True in kinds:
+            by_shingle = split_by_shingles(rest.where("stuck"), percent)
+            after = by_shingle if after is None else after.unionByName(by_shingle)
+        earlier = large.select(F.col("region").alias("of"), F.col("n").alias("n_of"))
+        left, path = stored(after, "left")
         made.append(path)
-        near = measured.where("mask > 0").select("region", "id", F.explode(F.sequence(F.lit(1), F.lit(PIVOTS))).alias("k"), "mask").where("shiftright(mask, k - 1) % 2 = 1")
-        links = links.unionByName(near.join(named, ["region", "k"]).where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        groups = measured.groupBy("region").agg(F.collect_set("mask").alias("masks")).mapInArrow(group, "region long, groups array<int>")
-        placed = measured.join(groups, "region").withColumn("own", F.when(F.col("mask") == 0, -1).otherwise(F.expr("groups[cast(round(log2(mask & -mask)) as int)]")))
-        nearest = placed.groupBy("region").agg(F.array(*[F.min(F.when(F.col("own") != F.col("groups")[k], F.get("d", F.lit(k)))) for k in range(PIVOTS)]).alias("nearest"))
-        boundary = " and ".join(f"((mask >> {k}) % 2 = 0 or coalesce(get(d, {k}) >= nearest[{k}] - {radius + 1e-9}, false))" for k in range(PIVOTS))
-        on = placed.join(nearest, "region").where(f"own = -1 or ({boundary})").select(*columns, (F.col("own") == -1).alias("outside"))
-        left, path = stored(on, "left")
-        made.append(path)
-    out, _ = stored(links, "region-links")
+        turn += 1
     drop(spark, *made)
-    return out
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
@@ -387,7 +471,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with nothing: component_id is their own id. Null ids are ignored for the smallest id unless a component has
     no other. Other columns are ignored. An empty table gives no rows.
     What travels: texts twice (one of a task's equal sets) to blocks by the signature of their sets; two bytes for each
-    shingle of a block, to be counted by ranges of hashes, and three back for each that others have too; then the sets,
+    distinct shingle of a block, to be counted by ranges of hashes, and three back for each that others have too; then the sets,
     and few pivots each, of texts four fifths of whose shingles occur elsewhere.
     """
     spark = tune(docs.sparkSession)
@@ -416,13 +500,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = base.mapInArrow(to_blocks, "block int, doc_id long, n int, s1 long, s2 long, text string")
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Passes the light rows on, and for each range of hashes the sorted upper halves of the block's shingles."""
+        """Passes the light rows on, and for each range of hashes the upper halves of the block's shingles and their counts."""
         names = ["doc_id", "n", "s1", "s2", "range", "block", "blob"]
 
         def blobs(block: int, found: list[np.ndarray]) -> pa.RecordBatch:
             h = np.sort(np.concatenate(found))
             edges = np.searchsorted(h, (np.arange(n_parts + 1) * (1 << 32) // n_parts).astype(np.uint64))
-            out = [(i, to_blob(h[x:y])) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+            out = [(i, to_counts(h[x:y])) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
             none = pa.nulls(len(out), pa.int64())
             return pa.RecordBatch.from_arrays([none, pa.nulls(len(out), pa.int32()), none, none, pa.array([i for i, _ in out], pa.int32()), pa.array([block] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=names)
 
@@ -453,15 +537,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts the shingles of a range over all blocks and answers each block with its repeated ones and their ranks."""
 
-        def answers(got: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate([x for _, x in got]), return_counts=True)
-            h, rank = h[n > 1], np.minimum(255, 1 + (4 * np.log2(n[n > 1])).astype(np.int64))
+        def answers(got: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            every = np.concatenate([x for _, x, _ in got])
+            order = np.argsort(every)
+            every = every[order]
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            n = np.add.reduceat(np.concatenate([c for *_, c in got])[order], first)
+            h, rank = every[first][n > 1], np.minimum(255, 1 + (4 * np.log2(n[n > 1])).astype(np.int64))
+            del every, order
             out = []
-            for block, x in got:
+            for block, x, _ in got:
                 r = ranks_of(x, h, rank)
-                x, at = np.unique(x[r > 0], return_index=True)
-                if len(x):
-                    out.append((block, to_blob(x, r[r > 0][at])))
+                if r.any():
+                    out.append((block, to_blob(x[r > 0], r[r > 0].astype(np.uint8).tobytes())))
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "blob"])
 
         last, got = None, []
@@ -471,7 +559,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     if got:
                         yield answers(got)
                     last, got = part, []
-                got.append((block, from_blob(blob)[0]))
+                got.append((block, *from_counts(blob)))
         if got:
             yield answers(got)
             del got
@@ -485,7 +573,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     settle(spark)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks come with their ranks first, then their texts: sets one of whose first pivots others have too."""
+        """Blocks come with their ranks first, then their texts: sets one of whose first pivots others have too, in the
+        global order, and how many shingles at their begin nobody else has."""
         block, blobs, known, ranks, seen = None, [], None, None, set()
         for b in batches:
             blocks, is_text = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -503,31 +592,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if known is None:
                     parts_ = sorted((from_blob(z) for z in blobs), key=lambda z: int(z[0][0]))
                     known = np.concatenate([z[0] for z in parts_]) if parts_ else np.zeros(0, np.uint32)
-                    ranks = np.concatenate([z[1] for z in parts_]) if parts_ else np.zeros(0, np.uint8)
+                    ranks = np.frombuffer(b"".join(z[1] for z in parts_), np.uint8)
                     blobs = []
                 v, o = values[off[first_text] : off[y]], off[first_text : y + 1] - off[first_text]
                 rank = ranks_of((v >> np.uint64(32)).astype(np.uint32), known, ranks)
                 order = in_order(v, o, rank)
                 size = np.diff(o)
                 in_prefix = np.arange(len(v)) - np.repeat(o[:-1], size) < np.repeat(prefix_size(size, percent), size)
-                shared_ = in_prefix & (rank[order] > 0)
+                alone = rank[order] == 0
                 owner = np.repeat(np.arange(len(size)), size)
-                for i in np.flatnonzero(np.bincount(owner[shared_], minlength=len(size))).tolist():
+                low = np.bincount(owner[alone], minlength=len(size))
+                for i in np.flatnonzero(np.bincount(owner[in_prefix & ~alone], minlength=len(size))).tolist():
                     j = first_text + i
                     if (z := (int(s1[j]), int(s2[j]))) not in seen:
                         seen.add(z)
-                        mine = slice(o[i], o[i + 1])
-                        first = v[order[mine][shared_[mine]]]
-                        rows.append((*z, b.column(2)[j].as_py(), v[mine].tobytes(), first.view(np.int64)))
+                        rows.append((*z, v[order[o[i] : o[i + 1]]].tobytes(), int(low[i])))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))], names=["s1", "s2", "doc_id", "set", "first"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int32())], names=["s1", "s2", "set", "low"])
         tidy()
 
     texts = placed.where("text is not null").select("block", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("blob"))
     ranked = answered.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob")
     both = texts.unionByName(ranked).repartition(n_parts, "block").sortWithinPartitions("block", "kind")
-    made, made_path = stored(both.mapInArrow(candidates, "s1 long, s2 long, doc_id long, set binary, first array<long>"), "candidates")
+    made, made_path = stored(both.mapInArrow(candidates, "s1 long, s2 long, set binary, low int"), "candidates")
     del both, texts, ranked, placed, answered
     drop(spark, answered_path)
     settle(spark)
@@ -555,9 +643,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return pa.RecordBatch.from_arrays([*map(pa.array, cols), other], names=["pivot", "low", "high", "node", "head"])
 
         for b in batches:
-            lists = b.column(2)
-            k = np.diff(lists.offsets.to_numpy())
-            rows.append((lists.flatten().to_numpy(), np.repeat(b.column(1).to_numpy(), k), np.repeat(b.column(0).to_numpy(), k)))
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            first = [x[i : prefix_size(len(x), percent)] for x, i in zip(sets, b.column(2).to_pylist(), strict=True)]
+            k = np.array([len(x) for x in first])
+            rows.append((np.concatenate(first), np.repeat([len(x) for x in sets], k), np.repeat(b.column(0).to_numpy(), k)))
             n += int(k.sum())
             if n > 2_000_000:
                 yield packed()
@@ -593,14 +682,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # texts of several blocks' tasks may bring an equal set twice
     sets = light.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    rows = made.select(F.col("s1"), F.expr("octet_length(set) div 8").alias("n"), "first").mapInArrow(chains, "pivot long, low long, high long, node long, head long")
+    rows = made.select("s1", "set", "low").mapInArrow(chains, "pivot long, low long, high long, node long, head long")
     rows = rows.repartition(n_parts, "pivot").sortWithinPartitions("pivot", "low", "node")
     links, links_path = stored(rows.mapInArrow(overlapping, "a long, b long"), "links")
     regions, regions_path = stored(components(links), "regions")
     drop(spark, links_path)
     least = sets.select(F.col("s1").alias("_a"), F.col("s2").alias("_b"), "least")
-    in_region = made.join(regions, made["s1"] == regions["node"]).drop("doc_id").join(least, (F.col("s1") == F.col("_a")) & (F.col("s2") == F.col("_b")))
-    in_region = in_region.select(F.col("root").alias("region"), F.monotonically_increasing_id().alias("id"), "s1", "s2", F.col("least").alias("doc_id"), "set", "first")
+    in_region = made.join(regions, made["s1"] == regions["node"]).join(least, (F.col("s1") == F.col("_a")) & (F.col("s2") == F.col("_b")))
+    in_region = in_region.select(F.col("root").alias("region"), F.monotonically_increasing_id().alias("id"), "s1", "s2", F.col("least").alias("doc_id"), "set", "low")
     members, members_path = stored(in_region, "members")
     drop(spark, regions_path, made_path)
     settle(spark)
