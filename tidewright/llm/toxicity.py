@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_col, keeps, tidy, tune
+from .common import drop, held_out_col, keeps, stored, tidy, tune
 
-#: Labelled rows that the classifier is fitted on at most; words of its lexicon at most.
-FIT_ROWS, MOST_WORDS = 30_000, 4000
-#: Least texts and share of the toxic texts that a word of the lexicon is in, least log odds.
-MIN_TEXTS, MIN_SHARE, MIN_ODDS = 3, 0.004, 2.5
+#: Labelled rows that the classifier is fitted on at most.
+FIT_ROWS = 30_000
+#: Least texts that a word of the lexicon is in; what cross-validation chooses from: least share of the toxic texts that
+#: it is in, least log odds. Inner folds.
+MIN_TEXTS, SHARES, ODDS, INNER = 3, (0.002, 0.004, 0.008), (2.0, 2.5, 3.5), 3
 
 #: Tokens that a worker remembers as decoded; beyond it starts anew.
 MOST_SEEN = 300_000
@@ -29,35 +32,35 @@ STANDS_FOR = {
     "0": "oóòôõö", "1": "iíìîïl", "2": "z", "3": "eéèêë", "4": "aáàâãäå", "5": "sß", "6": "gb", "7": "t", "8": "bß", "9": "g",
     "@": "aáàâãäå", "$": "sß", "!": "iíìîïl", "|": "iíìîïl", "+": "t", "(": "cç", "€": "eéèêë",
 }
-LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s"}  # Cyrillic for Latin
+LOOKALIKES = {  # Cyrillic and Greek for Latin, also by their capitals
+    "а": "a", "в": "b", "е": "e", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "с": "c",
+    "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "α": "a", "β": "b", "ε": "e", "η": "hn", "ι": "i", "κ": "k", "μ": "mu", "ν": "nv",
+    "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "uy", "χ": "x", "γ": "y", "ω": "w", "ζ": "z",
+}
 EDGE = ".,;:?!\"'()[]{}<>*#$%&|-_~/\\@+=^`…«»“”„’"
-JOINERS = ".-_*'·/"
 # end of fixed values
 
 N = 64
 _SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
-_FOLD = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüÿßl0123456789@$!|+(€", "aaaaaaceeeeiiiinooooouuuuysioizeasgtbgasiitce", JOINERS)
-_FOLD |= {ord(k): ord(v) for k, v in LOOKALIKES.items()}
 STANDS_FOR |= LOOKALIKES
-#: Letters that a sign may stand for; what a token may lose or put in without its other letters changing.
-_LOOSE = {c for options in STANDS_FOR.values() for c in options}
 _LOOKALIKE = re.compile(f"[{''.join(LOOKALIKES)}]")
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
+_TWICE = re.compile(r"(.)\1", re.DOTALL)
 _TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
-#: Costs (negative logs) of the channel: a sign for a letter, a sign that was put in, a letter repeated.
-SUBSTITUTED, INSERTED, KEPT_SIGN, BROKEN = 1.5, 1.0, 1.0, 0.5
-
-
-def canon(word: str) -> str:
-    """One form for all words that the channel could confuse: signs and accents folded, joiners out, runs collapsed."""
-    return _RUNS.sub(r"\1", word.translate(_FOLD).replace("l", "i").replace("b", "g"))
+#: Neighbours of up to three characters, one of them a single one: a word may be spread over them.
+_SPREAD = re.compile(r"(?<!\S)(?:\S{1,3}\s+)+\S{1,3}(?!\S)")
+_SINGLE = re.compile(r"(?<!\S)\S(?!\S)")
+_GAP = re.compile(r"\s+")
+#: Costs (negative logs) of the channel: a sign for a letter, a sign that was put in or stood between words.
+SUBSTITUTED, INSERTED, KEPT_SIGN = 1.5, 1.0, 3.0
+#: Costs of (nothing, a space) for a gap beside a single character, behind a part that ends in a sign, for other gaps.
+GAP_AT_SINGLE, GAP_AT_SIGN, GAP = (0.2, 0.5), (1.0, 0.1), (3.0, 0.1)
 
 
-def frame(text: str) -> str:
-    """The letters that every path of a token's lattice keeps, runs collapsed: equal for a token and all words that its
-    lattice holds. Signs, digits and the letters that they may stand for are out, whether inserted or substituted."""
-    return _RUNS.sub(r"\1", "".join(c for c in text if fixed(c) and c not in _LOOSE))
+def normal(text: str | None) -> str:
+    """Lower case of the compatibility form: full-width letters, ligatures and wide spaces are plain ones then."""
+    text = text or ""
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
 def fixed(c: str) -> bool:
@@ -87,52 +90,111 @@ class CharModel:
         return float(sum(self.log_p[s[i - 2], s[i - 1], s[i]] for i in range(2, len(s))))
 
 
-def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
-    """Columns of (text, cost): what each run of equal characters of the token may stand for."""
-    columns: list[list[tuple[str, float]]] = []
-    for m in re.finditer(r"(.)\1*", token, re.DOTALL):
+Columns = list[list[tuple[str, float]]]
+
+
+def lattice(token: str) -> Columns:
+    """Columns of (text, cost): what each run of equal characters of the token may stand for. Gaps between the parts of
+    a spread word are nothing or a space."""
+    columns: Columns = []
+    for m in re.finditer(r"\s+|(\S)\1*", token):
         c, n = m[1], len(m[0])
-        if fixed(c):
+        if c is None:
+            before, after = m.start() < 2 or token[m.start() - 2].isspace(), m.end() + 1 >= len(token) or token[m.end() + 1].isspace()
+            sign = m.start() > 1 and not before and not token[m.start() - 1].isalnum()
+            joined, apart = GAP_AT_SIGN if sign else GAP_AT_SINGLE if before or after else GAP
+            columns.append([("", joined), (" ", apart)])
+        elif fixed(c):
             columns.append([(c, 0.0)] if n == 1 else [(c, 2.0 if n == 2 else 1.0), (c * 2, 0.0 if n == 2 else 1.5), *([(c * n, 6.0)] if n > 2 else [])])
-        elif c == " " and spaced:
-            columns.append([("", 0.2), (" ", BROKEN)])
         else:
             options = [(x, SUBSTITUTED) for x in STANDS_FOR.get(c, "")]
             if n > 1:
                 options += [(x * 2, SUBSTITUTED + 1) for x in STANDS_FOR.get(c, "")]
-            columns.append([*options, ("", INSERTED if not c.isalnum() else 6.0), (" ", KEPT_SIGN + 2), *([(c, 3.0)] if c.isalpha() else [])])
+            columns.append([*options, ("", INSERTED if not c.isalnum() else 6.0), (" ", KEPT_SIGN), *([(c, 3.0)] if c.isalpha() else [])])
     return columns
 
 
-def decode(token: str, model: CharModel, known: dict[str, float] | None = None, spaced: bool = False) -> str:
-    """The likeliest original of a token (Viterbi over pairs of letters). known: words and their log probabilities,
-    which compete with the character model where the lattice holds them. A lattice of one path gives that path.
-    States hold their text as links to what came before, so the time goes with the length of the token."""
-    columns = lattice(token, spaced)
+class Lexicon:
+    """Words with log probabilities, as a trie that is walked along a lattice."""
+
+    def __init__(self, log_words: dict[str, float]):
+        self.log_words = log_words
+        self.root: dict = {}
+        for word in log_words:
+            node = self.root
+            for c in word:
+                node = node.setdefault(c, {})
+            node[""] = word
+
+    def reach(self, columns: Columns, start: int = 0) -> Iterator[tuple[int, str, float]]:
+        """(end, word, least cost) of all words that the columns from start to end hold, with a break or the lattice's
+        end behind them."""
+        at: dict[int, tuple[dict, float]] = {id(self.root): (self.root, 0.0)}
+        for i in range(start, len(columns)):
+            new: dict[int, tuple[dict, float]] = {}
+            for node, cost in at.values():
+                for out, c in columns[i]:
+                    to = node
+                    for ch in out:
+                        to = to.get(ch)
+                        if to is None:
+                            break
+                    if to is not None and cost + c < new.get(id(to), (None, math.inf))[1]:
+                        new[id(to)] = to, cost + c
+            if not new:
+                return
+            at = new
+            if i + 1 == len(columns) or any(out == " " for out, _ in columns[i + 1]):
+                for node, cost in at.values():
+                    if "" in node:
+                        yield i + 1, node[""], cost
+
+    def touches(self, columns: Columns) -> bool:
+        """Whether some word lies between two breaks of the lattice."""
+        starts = [0, *(i + 1 for i, column in enumerate(columns) if any(out == " " for out, _ in column))]
+        return any(True for i in starts for _ in self.reach(columns, i))
+
+
+def decode(columns: Columns, model: CharModel, known: Lexicon | None = None) -> str:
+    """The likeliest original of a lattice (Viterbi over pairs of letters, all of them kept; exact).
+
+    The words between breaks are rated by the character model, or, where known holds them, by their log probability
+    (the character model begins anew behind such a word). A lattice of one path gives that path. States hold their text
+    as links to what came before, so the time goes with the length of the token.
+    """
     if all(len(c) == 1 for c in columns):
         return "".join(c[0][0] for c in columns)
-    log_p = model.log_p
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for column in columns:
-        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (score, links) in states.items():
-            for out, cost in column:
+    log_p, n = model.log_p, len(columns)
+    # a state is the last two symbols and whether a word may begin
+    states: list[dict[tuple[int, int, bool], tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
+    states[0][0, 0, True] = 0.0, None
+    ends: list[tuple[float, tuple | None]] = []
+
+    def put(i: int, key: tuple[int, int, bool], score: float, links: tuple | None) -> None:
+        if key not in states[i] or score > states[i][key][0]:
+            states[i][key] = score, links
+
+    for i in range(n):
+        if known is not None and (edge := [v for k, v in states[i].items() if k[2]]):
+            before, links = max(edge, key=lambda v: v[0])
+            for j, word, cost in known.reach(columns, i):
+                score = before + known.log_words[word] - cost
+                if j == n:
+                    ends.append((score, (links, word)))
+                else:
+                    put(j + 1, (0, 0, True), score - min(c for out, c in columns[j] if out == " "), ((links, word), " "))
+        for (a, b, edge), (score, links) in states[i].items():
+            for out, cost in columns[i]:
                 x, y, s = a, b, score - cost
                 for ch in out:
                     z = _SYMBOL.get(ch, 0)
                     s += log_p[x, y, z]
                     x, y = y, z
-                if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = s, (links, out) if out else links
-        states = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:80])
-    best = max(s + log_p[a, b, 0] for (a, b), (s, _) in states.items())
-    text = max(spelled(links) for (a, b), (s, links) in states.items() if s + log_p[a, b, 0] == best)
-    if known and not spaced:
-        for word, log_word in known.items():
-            cost = fits(columns, word)
-            if cost is not None and max(log_word, model.word(word)) - cost > best:
-                best, text = max(log_word, model.word(word)) - cost, word
-    return text
+                put(i + 1, (x, y, out == " " or edge and not out), s, (links, out) if out else links)
+        states[i].clear()
+    ends += [(s + log_p[a, b, 0], links) for (a, b, _), (s, links) in states[n].items()]
+    best = max(s for s, _ in ends)
+    return max(spelled(links) for s, links in ends if s == best)
 
 
 def spelled(links: tuple | None) -> str:
@@ -144,21 +206,6 @@ def spelled(links: tuple | None) -> str:
     return "".join(reversed(out))
 
 
-def fits(columns: list[list[tuple[str, float]]], word: str) -> float | None:
-    """The least channel cost at which the lattice gives word, None if it can't."""
-    ends = {0: 0.0}
-    for column in columns:
-        new: dict[int, float] = {}
-        for at, cost in ends.items():
-            for out, c in column:
-                if word.startswith(out, at) and cost + c < new.get(at + len(out), math.inf):
-                    new[at + len(out)] = cost + c
-        if not new:
-            return None
-        ends = new
-    return ends.get(len(word))
-
-
 def core(token: str) -> str:
     """A token without the signs around it; one sign before it that may stand for a letter stays."""
     inner = token.strip(EDGE)
@@ -166,31 +213,53 @@ def core(token: str) -> str:
     return token[0] + inner if at == 1 and token[0] in "$@(" and inner else inner
 
 
-def spaced_runs(text: str, model: CharModel) -> list[str]:
-    """Words out of runs of single characters between spaces."""
-    return [w for run in _SPACED.findall(text) if any(c.isalpha() for c in run) for w in decode(run, model, spaced=True).split()]
+def plain(inner: str) -> bool:
+    """Whether only the runs of a token can be read in several ways."""
+    return inner.isalpha() and not _LOOKALIKE.search(inner)
+
+
+def spread(text: str) -> list[str]:
+    """Stretches of short neighbours with single characters among them, over which a word may be spread."""
+    return [run for run in _SPREAD.findall(text) if _SINGLE.search(run) and any(c.isalpha() for c in run)]
 
 
-def restore_words(text: str | None, model: CharModel, cache: dict[str, str]) -> list[str]:
-    """All words of a whole text as the channel decodes them (lower case)."""
-    text = (text or "").lower()
-    words = []
+def restore_words(text: str | None, model: CharModel, cache: dict[str, tuple[str, ...]], known: Lexicon | None = None) -> list[str]:
+    """All words of a whole text as the channel decodes them (lower case), in order: spread words, then tokens.
+
+    A token without a letter is no word. The stretches that a word may be spread over are decoded as a whole, and their
+    tokens count by themselves only where that leaves them as they are.
+    """
+    text = normal(text)
+    words: list[str] = []
+    if _SINGLE.search(text):
+        for run in spread(text):
+            found = decode(lattice(run), model, known).split()
+            apart = set(run.split())
+            words += [w for w in found if w not in apart]
     for token in text.split():
-        word = cache.get(token)
-        if word is None:
+        got = cache.get(token)
+        if got is None:
             inner = core(token)
-            word = inner if inner.isalpha() and not _TRIPLE.search(inner) and not _LOOKALIKE.search(inner) else decode(inner, model) if any(c.isalpha() for c in inner) else ""
-            cache[token] = word
-        if word:
-            words.append(word)
-    if _SPACED.search(text):
-        words += spaced_runs(text, model)
+            if plain(inner) and not _TRIPLE.search(inner) and known is None:
+                got = (inner,)
+            elif any(c.isalpha() for c in inner):
+                got = tuple(decode(lattice(inner), model, known).split())
+            else:
+                got = ()
+            cache[token] = got
+        words += got
     return words
 
 
+def features_of(found: dict[str, int], weights: dict[str, float], n_tokens: int) -> tuple[float, float, float, float]:
+    """What the logistic model sees of a restored text: the weights of its learned words, how many, and how dense."""
+    n = sum(found.values())
+    return 1.0, min(sum(weights[w] for w in found), 60.0), math.log1p(n), math.log1p(1000 * n / (n_tokens + 50))
+
+
 @dataclass
 class Scorer:
-    """Learned words with their weights and the logistic model over a text's hits."""
+    """Learned words with their weights and the logistic model over the learned words of a restored text."""
 
     model: CharModel
     weights: dict[str, float]
@@ -198,79 +267,66 @@ class Scorer:
     coef: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.5, 0.5, 0.0]))
 
     def __post_init__(self) -> None:
-        self.by_canon: dict[str, dict[str, float]] = {}
-        self.by_runs: dict[str, dict[str, float]] = {}
-        self.by_frame: dict[str, dict[str, float]] = {}
-        for w in self.weights:
-            for index, key in ((self.by_canon, canon(w)), (self.by_runs, _RUNS.sub(r"\1", w)), (self.by_frame, frame(w))):
-                index.setdefault(key, {})[w] = self.log_words[w]
+        self.lexicon = Lexicon({w: max(p, self.model.word(w)) for w, p in self.log_words.items()})
+        self.by_runs = {_RUNS.sub(r"\1", w) for w in self.weights}
         self.seen: set[str] = set()
-        self.hits: dict[str, str] = {}
+        self.hits: dict[str, list[str]] = {}
 
     def forget(self) -> None:
         self.seen.clear()
         self.hits.clear()
 
-    def _learn(self, tokens: set[str]) -> None:
-        """Decodes tokens that were not met before; a token whose lattice holds no learned word can have no weight."""
+    def learned_in(self, token: str) -> list[str]:
+        """The learned words of a token's restored text. A lattice that holds no learned word between two breaks can't
+        give one, so it isn't decoded; where all letters stand for themselves, that is told by its runs."""
+        inner = core(token)
+        if plain(inner):
+            if _TWICE.search(inner) is None:
+                return [inner] if inner in self.weights else []
+            if _RUNS.sub(r"\1", inner) not in self.by_runs:
+                return []
+            columns = lattice(inner)
+        elif any(c.isalpha() for c in inner):
+            columns = lattice(inner)
+            if not self.lexicon.touches(columns):
+                return []
+        else:
+            return []
+        return [w for w in decode(columns, self.model, self.lexicon).split() if w in self.weights]
+
+    def found(self, text: str) -> Counter:
+        """The learned words of a whole text (in its normal form) as it is restored, with their numbers."""
+        tokens = text.split()
+        unique = set(tokens)
         if len(self.seen) > MOST_SEEN:
             self.seen.clear()
-        new = tokens - self.seen
+        new = unique - self.seen
         self.seen |= new
         for token in new:
-            inner = core(token)
-            known = self.within(inner) if inner else None
-            if known and (word := decode(inner, self.model, known)) in self.weights:
-                self.hits[token] = word
-
-    def within(self, inner: str) -> dict[str, float]:
-        """The learned words that the lattice of a token holds. Where all letters stand for themselves only runs differ;
-        else the words of the token's frame are tried."""
-        if inner.isalpha() and not _LOOKALIKE.search(inner):
-            return self.by_runs.get(_RUNS.sub(r"\1", inner), {})
-        near = self.by_frame.get(frame(inner))
-        if not near:
-            return {}
-        columns = lattice(inner)
-        return {w: p for w, p in near.items() if fits(columns, w) is not None}
-
-    def _inside_runs(self, text: str) -> set[str]:
-        """Learned words of four letters or more that stand in a run of single characters, whatever is around them."""
-        joined = [canon(run.replace(" ", "")) for run in _SPACED.findall(text) if any(c.isalpha() for c in run)]
-        return {w for c, words in self.by_canon.items() if len(c) >= 4 and any(c in j for j in joined) for w in words}
-
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        text = (text or "").lower()
-        tokens = text.split()
-        unique = set(tokens)
-        self._learn(unique)
-        hit = [t for t in unique if t in self.hits] if len(unique) < len(self.hits) else [t for t in self.hits if t in unique]
+            if words := self.learned_in(token):
+                self.hits[token] = words
+        wanted = unique.intersection(self.hits) if len(unique) < len(self.hits) else {t for t in self.hits if t in unique}
         found: Counter = Counter()
-        if hit:
-            wanted = set(hit)
+        if wanted:
             for t in tokens:
                 if t in wanted:
-                    found[self.hits[t]] += 1
-        if _SPACED.search(text):
-            found.update(w for w in spaced_runs(text, self.model) if w in self.weights)
-            found.update(self._inside_runs(text).difference(found))
-        n = sum(found.values())
-        return 1.0, min(sum(self.weights[w] for w in found), 60.0), math.log1p(n), math.log1p(1000 * n / (len(tokens) + 50))
+                    found.update(self.hits[t])
+        if _SINGLE.search(text):
+            for run in spread(text):
+                columns = lattice(run)
+                if self.lexicon.touches(columns):
+                    apart = set(run.split())
+                    found.update(w for w in decode(columns, self.model, self.lexicon).split() if w in self.weights and w not in apart)
+        return found
+
+    def features(self, text: str | None) -> tuple[float, float, float, float]:
+        text = normal(text)
+        found = self.found(text)
+        return features_of(found, self.weights, len(text.split()) if found else 0)
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + math.exp(-min(max(float(np.dot(self.features(text), self.coef)), -30), 30))))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> None:
-        """Logistic regression by Newton steps."""
-        coef, reg = np.zeros(x.shape[1]), np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + reg, x.T @ (p - y) + reg @ coef)
-            coef -= step
-            if np.abs(step).max() < 1e-8:
-                break
-        self.coef = coef
-
 
 def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(code, n) of the letter trigrams of all whole texts: at most 64 ** 3 rows, summed in each task first."""
@@ -282,7 +338,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         keeps()
         total = np.zeros(N**3, np.int64)
         for b in batches:
-            text = "  ".join(["", *(t.lower() for t in b.column(0).to_pylist() if t), ""])
+            text = "  ".join(["", *(normal(t) for t in b.column(0).to_pylist() if t), ""])
             points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
             s = np.where(points < 0x250, table[np.minimum(points, 0x24F)], 0)
             total += np.bincount(s[:-2] * N * N + s[1:-1] * N + s[2:], minlength=N**3)
@@ -292,11 +348,60 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def lexicon_of(counts: dict[str, tuple[int, int]], total: tuple[int, int], share: float, odds: float) -> dict[str, float]:
+    """Words to log odds, of those that stand in enough toxic texts and are likely enough there. counts: (toxic, other)."""
+    least = max(MIN_TEXTS, share * total[0])
+    base = math.log(total[1] + 1) - math.log(total[0] + 1)
+    found = {w: math.log((bad + 0.5) / (fine + 0.5)) + base for w, (bad, fine) in counts.items() if bad >= least}
+    return {w: x for w, x in sorted(found.items()) if x >= odds}
+
+
+def choose(rows: list[tuple[int, int, int, dict[str, int]]]) -> tuple[float, float]:
+    """Share and odds of the fewest errors, then the least loss, on inner folds that words and model were not fitted on.
+    rows: (toxic, inner fold, tokens, candidate words with their numbers). Of equal ones the strictest."""
+    best = None
+    for share in sorted(SHARES, reverse=True):
+        for odds in sorted(ODDS, reverse=True):
+            errors, loss = 0, 0.0
+            for fold in range(INNER):
+                counts: dict[str, list[int]] = {}
+                total = [0, 0]
+                for toxic, f, _, found in rows:
+                    if f != fold:
+                        total[1 - toxic] += 1
+                        for w in found:
+                            counts.setdefault(w, [0, 0])[1 - toxic] += 1
+                weights = lexicon_of(counts, tuple(total), share, odds)
+                x = np.array([features_of({w: n for w, n in found.items() if w in weights}, weights, n_tokens) for _, _, n_tokens, found in rows]).reshape(-1, 4)
+                y, inside = np.array([r[0] for r in rows], float), np.array([r[1] == fold for r in rows], bool)
+                if not inside.any() or len(set(y[~inside])) < 2:
+                    continue
+                p = 1 / (1 + np.exp(-np.clip(x[inside] @ logistic(x[~inside], y[~inside]), -30, 30)))
+                errors += int(((p >= 0.5) != y[inside]).sum())
+                loss -= float(np.log(np.where(y[inside] == 1, p, 1 - p)).sum())
+            if best is None or (errors, loss) < best[0]:
+                best = (errors, loss), (share, odds)
+    return best[1]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+    """Logistic regression by Newton steps."""
+    coef, reg = np.zeros(x.shape[1]), np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + reg, x.T @ (p - y) + reg @ coef)
+        coef -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return coef
+
+
 def fit_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, folds: int = 5) -> Scorer:
     """Character model from all texts, words and logistic model from at most fit_rows labelled rows (a documented bound).
 
-    Rows whose crc32(doc_id as text) mod folds is 0 are never learned from. The rows of least crc32 are taken. Words
-    are counted once per distinct text, so copies don't make a word look toxic.
+    Rows whose crc32(doc_id as text) mod folds is 0 are never learned from. The rows of least crc32 are taken, a text
+    that occurs in several of them once. What makes a word one of the lexicon is chosen by cross-validation among those
+    rows. All words that pass belong to it: their number is bounded by the rows, not by itself.
     """
     spark = docs.sparkSession
     got = char_counts(docs, text_col).collect()
@@ -304,42 +409,54 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     picked = labels.where("toxic is not null and doc_id is not null").where(~held_out_col("doc_id", folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = picked.orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "doc_id").select("toxic", "_text")
-    rows = rows.groupBy(F.md5(F.coalesce("_text", F.lit(""))).alias("_h")).agg(F.max("toxic").alias("toxic"), F.first("_text").alias("_text")).select("toxic", "_text").persist()
+    # of an id with many rows, and of a text with many ids, one text each: at most fit_rows rows from here on
+    rows = rows.groupBy(F.md5(F.coalesce("_text", F.lit(""))).alias("_h")).agg(F.max("toxic").alias("toxic"), F.first("_text").alias("_text"))
+    rows, rows_path = stored(rows.orderBy("_h").limit(fit_rows).select("toxic", "_h", "_text"), "fit")
     shared = spark.sparkContext.broadcast(model)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, str] = {}
+        cache: dict[str, tuple[str, ...]] = {}
         for b in batches:
-            n: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n[int(toxic == 1)].update(set(restore_words(text, shared.value, cache)))
-                n[int(toxic == 1)][""] += 1
-            every = list(n[0].keys() | n[1].keys())
+            found = [Counter(w for w in restore_words(t, shared.value, cache) if len(w) > 2) for t in b.column(2).to_pylist()]
+            n = [len((t or "").split()) for t in b.column(2).to_pylist()]
+            fold = [zlib.crc32(h.encode()) % INNER for h in b.column(1).to_pylist()]
+            toxic = [int(t == 1) for t in b.column(0).to_pylist()]
+            pairs = pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(fold, pa.int32()), pa.array(n, pa.int32()), pairs], names=["toxic", "fold", "n", "words"])
             if len(cache) > MOST_SEEN:
                 cache.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[1][w] for w in every], pa.int64()), pa.array([n[0][w] for w in every], pa.int64())], names=["word", "bad", "fine"])
-
-    counted = rows.mapInArrow(words, "word string, bad long, fine long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")).persist()
-    total = {r[0]: (r[1], r[2]) for r in counted.where("word = ''").collect()}.get("", (0, 0))
-    least = max(MIN_TEXTS, MIN_SHARE * total[0])
-    odds = F.log((F.col("bad") + 0.5) / (total[0] + 1)) - F.log((F.col("fine") + 0.5) / (total[1] + 1))
-    found = counted.where("word != ''").withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") >= MIN_ODDS) & (F.length("word") >= 3))
-    top = found.orderBy(F.desc("odds"), "word").limit(MOST_WORDS).collect()
-    n_all = max(1, sum(total))
-    scorer = Scorer(model, {r["word"]: float(r["odds"]) for r in top}, {r["word"]: math.log((r["bad"] + r["fine"]) / n_all / 300) for r in top})
+        tidy()
+
+    restored, restored_path = stored(rows.mapInArrow(words, "toxic int, fold int, n int, words map<string,int>"), "restored")
+    n_bad, n_fine = (int(x or 0) for x in restored.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    counted = restored.select("toxic", F.explode("words").alias("word", "_n")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
+    likelier = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("fine") + 0.5) / (n_fine + 1))
+    # what no choice below can take needn't come to the driver
+    counts = {r["word"]: (r["bad"], r["fine"]) for r in counted.where((F.col("bad") >= 2) & (likelier >= min(ODDS) - 1.5)).collect()}
+    wanted = spark.sparkContext.broadcast(frozenset(counts))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [[(w, n) for w, n in found if w in wanted.value] for found in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(pairs, pa.map_(pa.string(), pa.int32()))], names=["toxic", "fold", "n", "words"])
+
+    seen = sorted(((r[0], r[1], r[2], dict(r[3])) for r in restored.mapInArrow(candidates, restored.schema).collect()), key=lambda r: (*r[:3], sorted(r[3].items())))
+    drop(spark, restored_path)
+    weights = lexicon_of(counts, (n_bad, n_fine), *choose(seen)) if n_bad and n_fine else {}
+    scorer = Scorer(model, weights, {w: math.log(sum(counts[w]) / (n_bad + n_fine) / 300) for w in weights})
     sent = spark.sparkContext.broadcast(scorer)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [sent.value.features(t) for t in b.column(1).to_pylist()]
+            x = [sent.value.features(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), *(pa.array([r[i] for r in x], pa.float64()) for i in (1, 2, 3))], names=["toxic", "a", "b", "c"])
+        sent.value.forget()
+        tidy()
 
     seen = sorted(tuple(r) for r in rows.mapInArrow(measure, "toxic int, a double, b double, c double").collect())
-    counted.unpersist()
-    rows.unpersist()
-    if seen and 0 < sum(r[0] == 1 for r in seen) < len(seen):
-        x = np.array([[1.0, *r[1:]] for r in seen])
-        scorer.fit(x, np.array([float(r[0] == 1) for r in seen]))
+    drop(spark, rows_path)
+    if n_bad and n_fine:
+        scorer.coef = logistic(np.array([[1.0, *r[1:]] for r in seen]), np.array([float(r[0] == 1) for r in seen]))
     return scorer
 
 
@@ -348,12 +465,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     A score depends on the text alone: null and empty texts get that of a text without hits; repeated rows get equal
     scores; without usable labels nothing is predicted. Whole texts are read. An empty table gives no rows. Scoring
-    needs no shuffle; the model (MOST_WORDS words and a 1 MB table) goes out once per executor.
+    needs no shuffle; the model (the learned words, as many as the fitted rows give, and a 1 MB table) goes out once per executor.
     """
     spark = tune(docs.sparkSession)
     sent = spark.sparkContext.broadcast(fit_scorer(docs, labels, id_col, text_col, fit_rows, folds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps()
         for b in batches:
             score = [sent.value.score(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], names=["doc_id", "score", "predicted"])
@@ -371,6 +489,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", fit_r
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps()
         for b in batches:
             yield b.filter(pa.array([sent.value.score(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
         sent.value.forget()
