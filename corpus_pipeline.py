@@ -31,7 +31,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows in mixing order: ranges of slots, sorted inside."""
-    return mixing.in_order(mixing.mix(docs), parts(spark)).select(*docs.columns)
+    return mixing.in_order(docs, parts(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
