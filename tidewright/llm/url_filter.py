@@ -86,8 +86,9 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], url_col: str
     """Adds host, path, rule and verdict to each row; a url that no rule fits gets the default and a null rule.
 
     The trie's size is checked (BROADCAST_ROWS rules at most); it goes out once per executor. No shuffle; no row is
-    dropped. Null urls and those without `://` have an empty host and path and so the default verdict. Columns of
-    pages named host, path, rule or verdict are replaced.
+    dropped, repeated ones are judged each, urls of any length whole. Null urls and those without `://` have an empty
+    host and path and so the default verdict. Of two rules of the same length one only fits; given twice, a block wins.
+    Columns of pages named host, path, rule or verdict are replaced, others stay. An empty table gives no rows.
     """
     spark = pages.sparkSession
     trie = spark.sparkContext.broadcast(Trie(rules))
@@ -104,5 +105,6 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], url_col: str
                 rows.append((host, path, rule, verdict))
             yield pd.DataFrame(rows, columns=out.names, dtype=object)
 
-    kept = [F.col(c) for c in pages.columns if c not in out.names]
-    return pages.select(*kept, judge(F.col(url_col)).alias("_judged")).select(*[c for c in pages.columns if c not in out.names], "_judged.*")
+    kept = [c for c in pages.columns if c.lower() not in out.names]
+    judged = "judged_" + "_" * max((len(c) for c in pages.columns), default=0)  # longer than any other name
+    return pages.select(*[F.col(f"`{c}`") for c in kept], judge(F.col(url_col)).alias(judged)).select(*[F.col(f"`{c}`") for c in kept], f"{judged}.*")
