@@ -41,7 +41,9 @@ def fold_events(events: DataFrame) -> DataFrame:
     empty; null role: that of the turn's earlier events, else empty. Rows of a plain table (one message for each
     turn) pass unchanged, repeated ones too: several `message` events of one seq and turn are several messages.
 
-    The fold needs a window by (conv_id, turn), not by conversation: a long conversation spreads over tasks.
+    A conversation is the partition, in order of seq, for what reaches over turns (regenerations); the rest of the fold
+    goes by (conv_id, turn), so that a conversation of any length spreads over tasks. Long texts are folded whole,
+    other columns are ignored, an empty log gives no rows.
     """
     plain = "kind" not in events.columns
     at = F.col("seq") if "seq" in events.columns else F.col("turn")
@@ -50,9 +52,11 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.coalesce(F.col("turn"), at, F.lit(0)).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"),
     )
     if not plain:
-        again = e.where("kind = 'regenerate'").groupBy("conv_id").agg(F.collect_set(F.struct("turn", "seq")).alias("again"))
-        dropped = F.exists("again", lambda a: (a["turn"] <= F.col("turn")) & (a["seq"] > F.col("seq")))
-        e = e.join(again.withColumnRenamed("conv_id", "_c"), e["conv_id"].eqNullSafe(F.col("_c")), "left").where(~F.coalesce(dropped, F.lit(False)))
+        # the last regeneration of this turn or an earlier one; a conversation's turns go through a window, not its events
+        upto = Window.partitionBy("_conv").orderBy("_turn").rowsBetween(Window.unboundedPreceding, 0)
+        turns = e.groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn")).agg(F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("_again"))
+        turns = turns.withColumn("_again", F.max("_again").over(upto))
+        e = e.join(turns, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("turn") == F.col("_turn"))).where("_again is null or seq >= _again")
     by_turn = Window.partitionBy("conv_id", "turn")
     in_order = by_turn.orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     # the last event that sets or removes the text; further messages of that same seq stand beside it
@@ -85,7 +89,8 @@ def pieces(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
 def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Messages to one row per conversation: conv_id, formatted, loss (spans of formatted, from and to code point).
 
-    A row holds a whole conversation; where that is too much for one, pieces() is the same output in parts.
+    A row holds a whole conversation, its longest texts and repeated messages included; where that is too much for one,
+    pieces() is the same output in parts. Null roles and texts are empty; no messages give no rows.
     """
     rows = pieces(messages, loss_roles).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "nth", "role", "piece", "at", "n", "loss"))).alias("p"))
     lengths = F.transform("p", lambda x: F.length(x["piece"]))
