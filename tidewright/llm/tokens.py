@@ -17,11 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEPT, keeps, new_path, parts, stored, tidy, tune
+from .common import BATCH_ROWS, KEPT, keeps, new_path, parts, stored, tidy, tune
 
 END_ID = 1
 #: Words of a generation: a worker keeps the ids of the last one and of this one.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Stands between new words that are encoded together: one id of its own, and no word with it is encoded so.
 _MARK, _TOGETHER = "~", 2000
 _MASK = 0xA282EAD8
@@ -59,8 +59,9 @@ def words_of(text: str | None) -> list[str]:
 class Encoder:
     """Whole texts to token ids with the tokenizers library.
 
-    This vocabulary's normalizer and splitter never join anything across a space or a line feed, so each word is
-    encoded once and its ids are kept; the ids of a text are those of its words in order.
+    A vocabulary whose normalizer and splitter never join anything across a space or a line feed is encoded by words:
+    each word once, its ids are kept, and the ids of a text are those of its words in order. Whether a vocabulary is of
+    that kind is tried on texts of all sorts of joints; any other is encoded by whole texts.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -74,9 +75,25 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
+        self.by_words = self.mark is not None and self._splits()
+
+    def _splits(self) -> bool:
+        signs = [chr(c) for c in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127))]
+        texts = ["Two words\nand  a line\n\n end ", " a", "it's 12.5 (x) <b> É\u0301 ßtraße\tñ", " ".join(signs), " ".join(f"a{x} {x}b a{x}b 1{x}2" for x in signs), "\n".join(signs), "a\u00a0b\u2003c \u4e2d\u6587 \U0001f600x", "~ ~x x~ ~"]
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        try:
+            got = [np.frombuffer(x, self.width).tolist() for x in self._by_words(texts)]
+        except ValueError:
+            return False
+        return got == whole
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: empty), packed in self.width."""
+        if self.by_words:
+            return self._by_words(texts)
+        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+    def _by_words(self, texts: list[str | None]) -> list[bytes]:
         split = [words_of(t) for t in texts]
         cache = self.cache
         if len(cache) > self.cache_words:
@@ -156,7 +173,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
     A file `part-N.rec` holds the records of one range of ids, `part-N.idx` the offset (u64) and number of ids (u64)
     of each, for reads in any order. A payload is a null flag, the id (i64) and the token ids (2 bytes each if the
     vocabulary allows, else 4), end_id last. Files appear under their names when they are whole, so a task that is
-    run again replaces its file. Null ids come first; of equal ids texts go by hash. Null texts are empty: one end id.
+    run again replaces its file. Null ids come first; of equal ids texts go by hash; repeated rows are records each. Null
+    and empty texts are one end id; long texts are one record. Other columns are ignored. An empty table has no files.
     """
     spark = tune(docs.sparkSession)
     fs, root = _fs(path)
@@ -211,6 +229,10 @@ def read_records(manifest: DataFrame, path: str, tokenizer: str) -> DataFrame:
                 with fs.open_input_stream(f"{root}/{m['file']}.idx") as f:
                     index = np.frombuffer(f.read(), "<u8").reshape(-1, 2)
                 start, rows = m["start"], []
+
+                def batch(rows):
+                    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+
                 with fs.open_input_stream(f"{root}/{m['file']}.rec", buffer_size=1 << 20) as f:
                     for offset, n in index.tolist():
                         payload = read_frame(f)
@@ -219,15 +241,21 @@ def read_records(manifest: DataFrame, path: str, tokenizer: str) -> DataFrame:
                         ids = np.frombuffer(payload, width, offset=ID_BYTES)
                         rows.append((id_of(payload), start, n, zlib.crc32(ids.astype("<u4").tobytes()), m["file"], offset))
                         start += n
+                        if len(rows) == BATCH_ROWS:
+                            yield batch(rows)
+                            rows = []
                     if read_frame(f) is not None:
                         raise ValueError(f"{m['file']} has more records than its index")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+                if rows:
+                    yield batch(rows)
+        tidy()
 
     one_each = manifest.repartition(parts(spark), "part")
     return one_each.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, offset long")
 
 
 def tokenize_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes docs to record files in the shared folder and returns what read_records finds there."""
+    """Writes docs to record files in the shared folder and returns what read_records finds there; nulls, long texts,
+    ties, repeated rows, other columns and empty tables as in write_records."""
     path = new_path(docs.sparkSession, "records")
     return read_records(write_records(docs, path, tokenizer, id_col, text_col), path, tokenizer)
