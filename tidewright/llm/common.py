@@ -36,9 +36,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where none is named, as in tests, one of our own."""
+    """The cluster's shared folder (spark.checkpoint.dir); on a local master that names none, as in tests, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = f"file://{os.path.join(tempfile.gettempdir(), 'tidewright-shared')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
