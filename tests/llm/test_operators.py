@@ -265,21 +265,48 @@ def test_mixing_keeps_every_prefix_within_a_block(spark):
 
 
 def test_mixing_rows(spark):
-    rows = odd_rows(spark).drop("h", "n")
+    rows = odd_rows(spark)
     got = mixing.mix(rows, block_rows=2).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(len(ODD))) and len({(r["mix_slot"], r["mix_rank"]) for r in got}) == len(ODD)
     own = spark.createDataFrame([("s", 3)], "source string, weight long")
     assert mixing.mix(rows, own).count() == len(ODD) and mixing.mix(empty(spark)).count() == 0
     assert mixing.mix(odd_rows(spark, [None] * len(ODD))).count() == len(ODD)
-    order = [(r["mix_slot"], r["mix_rank"]) for r in mixing.in_order(mixing.mix(rows, block_rows=2), 3).collect()]
+    at = {r["doc_id"]: (r["mix_slot"], r["mix_rank"]) for r in got}
+    order = [at[r["doc_id"]] for r in mixing.in_order(rows, 3, block_rows=2).collect()]
     assert order == sorted(order)
 
 
+def test_mixing_leaves_columns_of_any_name_alone(spark):
+    names = ["row", "key", "bucket", "n", "before", "nth", "block", "rank", "slot", "a", "q", "slots", "s", "c", "t", "_key", "mix_slot", "Mix_Rank", "x.y"]
+    rows = spark.createDataFrame([(i, f"s{i % 3}", *[100 * i + k for k in range(len(names))]) for i in range(30)], ["doc_id", "source", *names])
+    for out in (mixing.mix(rows, block_rows=4), mixing.in_order(rows, 3, block_rows=4)):
+        kept = [c for c in rows.columns if c in out.columns and c != "mix_slot"]
+        want = {tuple(r) for r in rows.select(*[f"`{c}`" for c in kept]).collect()}
+        assert {tuple(r) for r in out.select(*[f"`{c}`" for c in kept]).collect()} == want
+    assert mixing.in_order(rows, 3).columns == rows.columns
+    assert [c for c in mixing.mix(rows).columns if c.lower().startswith("mix")] == list(mixing.ADDED)
+
+
+def test_schedules_in_steps_and_of_any_length(spark, monkeypatch):
+    weights = spark.createDataFrame([(f"s{i:02}", 1 + i * i % 7) for i in range(12)], "source string, weight long")
+    whole = sorted(tuple(r) for r in mixing.schedule(weights).collect())
+    monkeypatch.setattr(mixing, "STEP", 9)
+    assert sorted(tuple(r) for r in mixing.schedule(weights).collect()) == whole
+    common = weights.selectExpr("source", "weight * 50000 as weight")  # what all have in common makes no difference
+    assert sorted(tuple(r) for r in mixing.schedule(common).collect()) == whole
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
+    rows = spark.range(500).selectExpr("id as doc_id", "concat('s', id % 3) as source")
+    got = {r["doc_id"]: r["mix_slot"] for r in mixing.mix(rows, block_rows=8).collect()}
+    monkeypatch.undo()
+    assert got == {r["doc_id"]: r["mix_slot"] for r in mixing.mix(rows, block_rows=8).collect()}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_best_fit(lengths):
     sizes = (8, 32, 64)
-    bins, offsets, final, used = packing.best_fit(lengths, sizes)
+    opening = packing.opening_sizes(lengths, sizes, 5)
+    bins, offsets, final, used = packing.best_fit(lengths, sizes, opening)
     inside = {}
     for n, b, o in zip(lengths, bins, offsets, strict=True):
         inside.setdefault(b, []).append((o, n))
@@ -292,6 +319,67 @@ def test_best_fit(lengths):
     assert sum(used) == sum(lengths) and set(inside) == set(range(len(final)))
 
 
+def best_fit_brute(lengths, sizes, size_of):
+    """Contents of the bins, by looking through all of them."""
+    open_ = []
+    for n in sorted(lengths, reverse=True):
+        room = [(s - sum(c), i) for i, (s, c) in enumerate(open_) if s - sum(c) >= n]
+        if room:
+            least = min(r for r, _ in room)
+            open_[max(i for r, i in room if r == least)][1].append(n)
+        else:
+            open_.append((size_of(n), [n]))
+    return sorted(sum(c) for _, c in open_)
+
+
+def bins_cost(used, sizes, overhead):
+    return sum(overhead + min(s for s in sizes if s >= u) for u in used)
+
+
+def least_cost(lengths, sizes, overhead):
+    """Over all ways to put the pieces into bins."""
+    best = [10**9]
+
+    def put(i, bins):
+        if i == len(lengths):
+            best[0] = min(best[0], bins_cost(bins, sizes, overhead))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= sizes[-1]:
+                put(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        put(i + 1, [*bins, lengths[i]])
+
+    put(0, [])
+    return best[0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 32), min_size=1, max_size=7), st.integers(0, 12))
+def test_sizes_are_chosen_jointly(lengths, overhead):
+    sizes = (8, 16, 32)
+    plan = packing.opening_sizes(lengths, sizes, overhead)
+    ends = sorted(plan)
+    size_of = lambda n: plan[next(e for e in ends if e >= n)]
+    cost = packing.cost_of(sorted(lengths, reverse=True), sizes, plan, overhead)
+    _, _, final, used = packing.best_fit(lengths, sizes, plan)
+    assert cost == sum(overhead + s for s in final) == bins_cost(used, sizes, overhead) == bins_cost(best_fit_brute(lengths, sizes, size_of), sizes, overhead)
+    for fixed in (lambda n: 32, lambda n: min(s for s in sizes if s >= n)):
+        assert cost <= bins_cost(best_fit_brute(lengths, sizes, fixed), sizes, overhead)
+    assert least_cost(lengths, sizes, overhead) <= cost <= 1.5 * least_cost(lengths, sizes, overhead)
+
+
+def test_joint_sizes_beat_both_fixed_plans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    lengths = []
+    for e in tokens.encoder_of(tokens.tokenizer_path()).encode([r["text"] for r in docs]):
+        n = len(e) // 2 + 1
+        lengths += [4096] * (n // 4096) + [n % 4096] * (n % 4096 > 0)
+    ordered, sizes = sorted(lengths, reverse=True), packing.SIZES
+    cost = packing.cost_of(ordered, sizes, packing.opening_sizes(lengths), packing.OVERHEAD)
+    fixed = [packing.cost_of(ordered, sizes, {e: f(e) for e in packing.classes(sizes)}, packing.OVERHEAD) for f in (lambda e: 4096, lambda e: min(s for s in sizes if s >= e))]
+    assert cost < min(fixed), (cost, fixed)
+
+
 def test_pack_has_every_token_once(spark):
     path = tokens.tokenizer_path()
     lengths = {i: len(e) // 2 + 1 for i, e in enumerate(tokens.Encoder(path).encode(ODD))}
@@ -364,6 +452,47 @@ def test_quality_keeps_good_rows_and_finds_bad_ones(spark):
     assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_on_rows_that_were_not_fitted_on(spark):
+    data = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    rows = quality.judge_quality(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).join(labels, "doc_id").where("not base_failed").collect()
+    rows = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % quality.FOLDS == 0]
+    good, bad = [r["kept"] for r in rows if r["quality"] == 1], [r["kept"] for r in rows if r["quality"] == 0]
+    assert len(good) > 100 and sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(0, 6)] * 3), min_size=2, max_size=30), st.integers(0, 5))
+def test_forest_scores_are_those_of_a_walk_through_its_trees(rows, seed):
+    x = np.array(rows, float)
+    forest = quality.Forest.fit(x, trees=5, rows=16, seed=seed)
+    want = []
+    for row in x:
+        total = 0.0
+        for feature, cut, length in zip(forest.feature, forest.cut, forest.length, strict=True):
+            k = 1
+            while feature[k] >= 0:
+                k = 2 * k + int(row[feature[k]] >= cut[k])
+            total += length[k]
+        want.append(2 ** (-total / 5 / forest.norm))
+    assert np.allclose(forest.score(x), want)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.booleans()), max_size=40), st.sampled_from([0.0, 0.1, 0.3]))
+def test_threshold_is_the_best_of_all(rows, loss):
+    scores, good = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], bool)
+    forest = quality.Forest.fit(np.zeros((2, 1)))
+    forest.calibrate(scores, good, loss)
+
+    def right(threshold):
+        gone = scores > threshold
+        return int((gone & ~good).sum() - (gone & good).sum()) if (gone & good).sum() <= loss * good.sum() else -1
+
+    best = max((right(t) for t in [np.inf, *(scores - 0.5)]), default=0) if len(rows) and good.any() and not good.all() else 0
+    assert right(forest.threshold) == max(best, 0)
+
+
 def test_quality_odd_rows(spark):
     got = {r["doc_id"]: r for r in quality.judge_quality(odd_rows(spark), labels_of(spark)).collect()}
     assert len(got) == len(ODD) and not got[0]["kept"] and got[0]["n_words"] == 0 and got[6]["n_words"] == 40_000
@@ -398,13 +527,19 @@ def test_other_words_do_not_count(written):
     assert small_scorer().features(f"this is {written} here")[2] == 0
 
 
+@pytest.mark.parametrize("written", ["m  o  r  o  n", "mo r on", "m\to\nr o n", "m\u03bfron", "\uff4d\uff4f\uff52\uff4f\uff4e", "\u039coron", "m o r 0 n", "m - o - r - o - n", "mo%ron", "m?oron"])
+def test_spread_and_foreign_forms_count(written):
+    assert small_scorer().features(f"this is {written} here")[2] > 0
+
+
 def test_long_tokens_and_runs_are_decoded_whole():
     scorer = small_scorer()
     assert scorer.features("this is moro" + 70 * "o" + "n here")[2] > 0
     assert scorer.features("this is m" + 70 * "." + "oron here")[2] > 0
+    assert scorer.features("x " + "q w " * 120 + "m o r o n s")[2] > 0
     assert toxicity.restore_words("m" + 70 * "." + "oron", scorer.model, {}) == ["moron"]
     letters = "theriverandthatregion" * 30
-    assert "".join(toxicity.spaced_runs(" ".join(letters), scorer.model)) == letters
+    assert toxicity.decode(toxicity.lattice(" ".join(letters)), scorer.model).replace(" ", "") == letters
 
 
 @pytest.mark.parametrize("written", ["m,o,r,o,n", "m~o~r~o~n", "m#o#r#o#n", "m:o:r:o:n", "m|o|r|o|n", "m+o+r+o+n", "mo\u200bro\u200bn", "\u200bmoron", "i!d!i!o!t", "l0,s3r"])
@@ -412,23 +547,66 @@ def test_words_with_any_signs_inside_count(written):
     assert small_scorer().features(f"this is {written} here")[2] > 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("morn0idt!|+.,~lse3$\u200bо", min_size=1, max_size=12))
-def test_within_holds_every_word_of_the_lattice(token):
+def paths_of(columns):
+    paths = [("", 0.0)]
+    for column in columns:
+        paths = [(p + o, c + k) for p, c in paths for o, k in column]
+    return paths
+
+
+def rated(text, model, known):
+    """The best rating of a text: each word between spaces by the known words' probabilities or by the letters."""
+    best = {(0, 0): 0.0}
+    parts = text.split(" ")
+    for i, word in enumerate(parts):
+        last, new = i + 1 == len(parts), {}
+        for (a, b), s in best.items():
+            x, y, t = a, b, s
+            for z in [*(toxicity._SYMBOL.get(c, 0) for c in word), 0]:
+                t += model.log_p[x, y, z]
+                x, y = y, z
+            new[x, y] = max(new.get((x, y), -1e9), t)
+            if word in known:
+                new[0, 0] = max(new.get((0, 0), -1e9), s + known[word])
+        best = new if not last else {0: max(new.values())}
+    return best[0]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text("morn0!|ids 3.t", min_size=1, max_size=6), st.booleans())
+def test_decode_is_the_best_of_all_paths(token, with_words):
     scorer = small_scorer()
-    columns = toxicity.lattice(token)
-    assert set(scorer.within(token)) >= {w for w in scorer.weights if toxicity.fits(columns, w) is not None}
+    columns = toxicity.lattice(token.strip() or "m0")
+    known = scorer.lexicon if with_words else None
+    words = known.log_words if known else {}
+    paths = paths_of(columns)
+    best = max(rated(p, scorer.model, words) - c for p, c in paths)
+    got = toxicity.decode(columns, scorer.model, known)
+    assert max(rated(p, scorer.model, words) - c for p, c in paths if p == got) >= best - 1e-3
 
 
-def test_decode_is_the_best_path():
+@settings(max_examples=100, deadline=None)
+@given(st.text("morn0idt!|+.,~lse3$\u200bо ", min_size=1, max_size=10))
+def test_scored_are_the_words_of_the_restored_text(token):
     scorer = small_scorer()
-    token = "st0p"
-    paths = [("", 0.0)]
-    for column in toxicity.lattice(token):
-        paths = [(p + o, c + k) for p, c in paths for o, k in column]
-    best = max(scorer.model.word(p) - c for p, c in paths if " " not in p)
-    got = toxicity.decode(token, scorer.model)
-    assert " " in got or abs(scorer.model.word(got) - toxicity.fits(toxicity.lattice(token), got) - best) < 1e-3
+    text = toxicity.normal(f"the {token} there")
+    words = toxicity.restore_words(text, scorer.model, {}, scorer.lexicon)
+    assert sorted(scorer.found(text).elements()) == sorted(w for w in words if w in scorer.weights)
+
+
+def test_thresholds_come_from_inner_folds():
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        toxic = int(i % 3 == 0)
+        found = {"bad": 1} if toxic else {}
+        for w in range(40):  # words of either kind that one fold's rows alone make look toxic
+            if rng.random() < 0.02:
+                found[f"n{w}"] = 1
+        rows.append((toxic, i % 7 % toxicity.INNER, 100, found))
+    share, odds = toxicity.choose(rows)
+    assert share in toxicity.SHARES and odds in toxicity.ODDS
+    assert set(toxicity.lexicon_of({"bad": (100, 0), "n1": (1, 5), "rare": (2, 0)}, (100, 200), share, odds)) == {"bad"}
 
 
 def test_toxicity_odd_rows(spark):
@@ -514,3 +692,39 @@ def test_counts_round_trip():
     h = np.sort(np.random.default_rng(1).integers(0, 500, 900).astype(np.uint32))
     found, n = jaccard.from_counts(jaccard.to_counts(h))
     assert (np.repeat(found, n) == h).all() and len(jaccard.from_counts(jaccard.to_counts(h[:0]))[0]) == 0
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["message", "delta", "edit", "regenerate", "delete", None]), st.integers(0, 3), st.sampled_from(["a", "b#", None])), min_size=1, max_size=14))
+def test_chat_events_against_a_plain_fold(spark, log):
+    """One event after the other, over the turns of one conversation."""
+    turns = {}
+    for kind, turn, text in log:
+        text = text or ""
+        if kind in ("message", None, "edit"):
+            turns[turn] = text
+        elif kind == "delta":
+            turns[turn] = (turns.get(turn) or "") + text
+        elif kind == "regenerate":
+            for t in [t for t in turns if t >= turn]:
+                del turns[t]
+    gone = {t for k, t, _ in log if k == "delete"}
+    rows = [(7, i, k, t, "user", x) for i, (k, t, x) in enumerate(log) if t not in gone or k == "delete" or k == "regenerate"]
+    df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string")
+    got = {r["turn"]: r["text"] for r in chat_format.fold_events(df).collect()}
+    assert got == {t: x for t, x in turns.items() if t not in gone}
+
+
+def test_url_filter_keeps_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "x://net/es/", 5, 6, 7)], ["page_id", "url", "_judged", "judged_", "a.b"])
+    row = url_filter.filter_urls(pages, queries.URL_RULES).collect()[0]
+    assert (row["_judged"], row["judged_"], row["a.b"], row["verdict"]) == (5, 6, 7, "block")
+
+
+def test_other_vocabularies_are_encoded_by_whole_texts():
+    texts = ["Two  words, it's\n\n ~ end", None, " a~b ~", "x" * 50 + " \u4e2d"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = tokens.Encoder(tokens.tokenizer_path(name))
+        want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [np.frombuffer(x, e.width).tolist() for x in e.encode(texts)] == want
+        assert e.by_words == (name == "word_bpe_49k.json")
