@@ -36,7 +36,7 @@ REGION_SETS, REGION_BYTES, PIVOTS = 20_000, 64 << 20, 8
 #: Documents beyond this distance from all pivots have a region of their own.
 FAR = 0.4
 #: Bytes that are hashed at once.
-SLICE = 4 << 20
+SLICE = 512 << 10
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
