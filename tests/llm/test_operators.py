@@ -171,6 +171,34 @@ def test_common_prefixes(rows, cut):
             assert x <= y and lcp[i] == n
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.binary(min_size=24, max_size=24), st.integers(0, 24)), min_size=2, max_size=25))
+def test_interleave_merges_shards_as_a_sort_would(rows):
+    group, shard = (np.array([r[i] for r in rows]) for i in range(2))
+    words = np.frombuffer(b"".join(b"q" * r[3] + r[2][r[3] :] for r in rows), ">u8").reshape(len(rows), 3).astype(np.uint64)
+    nth, own = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for k in set(shard.tolist()):
+        mine = np.flatnonzero(shard == k)
+        order, lcp = suffix_dedup.common_prefixes(group[mine], words[mine])
+        nth[mine[order]], own[mine[order]] = np.arange(len(mine)), lcp
+    order, lcp = suffix_dedup.interleave(group, words, shard, nth, own)
+    want, want_lcp = suffix_dedup.common_prefixes(group, words)
+    assert (lcp == want_lcp).all() and (words[order] == words[want]).all() and (group[order] == group[want]).all()
+
+
+def test_anchors_with_many_surroundings_are_split(spark, monkeypatch):
+    """One passage of 60 bytes amid others, so that its anchor has many surroundings; and many copies of one text."""
+    rng = np.random.default_rng(17)
+    letters = np.array(list("abcdefghij "))
+    some = lambda n: "".join(rng.choice(letters, n))
+    passage, sides = some(60), [some(90) for _ in range(6)]
+    rows = [(k, sides[rng.integers(6)] + passage + sides[rng.integers(6)] + some(30)) for k in range(60)]
+    rows += [(100 + k, "same " + passage * 3 + "x" * (k % 3)) for k in range(20)]
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs).drop("spans").collect()) == repeats_brute(rows)
+
+
 def test_exact_dedup(spark):
     rows = odd_rows(spark, [5, 5, 2, None, None, 9, 10, 11, 12, 13, 14])
     for keep, best in (("min", min), ("max", max)):

@@ -1,13 +1,21 @@
-"""Removal of byte strings that occur before: sampled suffixes in buckets by minimizer, sorted inside each bucket.
+"""Removal of byte strings that occur before: transforms of shards over sampled suffixes, merged by interleave refinement.
 
 A suffix is sampled where the window of 100 bytes that begins in front of it has its minimizer: of the 80 substrings of
 21 bytes of a window the one of least hash, the first of equal ones. Equal windows have it at the same place, so equal
-windows meet at equal anchors, and one suffix in forty is enough to find all of them. Rows are dealt by the hash of their
-anchor, and all of one anchor are sorted in one task; no shard order or Burrows-Wheeler transform is built or merged.
-Anchors that occur once end there. The rest is refined: in suffix direction eight bytes at a round (the round in which two neighbours part gives their common prefix),
-then by the byte in front, one at a round. Rows that are alone in their interval leave; nothing
-that has been told apart is sorted again. A window of a bytes in front of the anchor and 100 - a from it on is repeated
-where two rows share the interval of a symbols and that of a common prefix of 100 - a.
+windows meet at equal anchors, and one suffix in forty is enough to find all of them. An anchor that occurs once can't be
+in a repeated interval and ends there.
+
+The shards are a task's chunks of the other suffixes. A shard sorts its own: their order, the common prefix of each with
+the one before, and the bytes in front of each (what a Burrows-Wheeler transform has one of, here up to 79) are its
+transform. Transforms are merged for ranges of anchors, all shards of a range at once: the interleave begins with one
+interval for each anchor, in which the shards follow each other, and is refined by eight bytes at a round. Only
+intervals that hold several shards are refined, and in them each shard's part is in order already, so shards are merged
+and no suffix is sorted anew; inside an interval of one shard, order and common prefixes are those of the shard. The
+round in which neighbours of two shards part gives their common prefix. Then the intervals are refined backwards, by
+the symbol in front, one at a round; rows alone in their interval leave. A window of a bytes in front of the anchor and
+100 - a from it on is repeated where two rows share the interval of a symbols and that of a common prefix of 100 - a.
+
+An anchor with too many surroundings for one task is split, see halves.
 """
 
 from __future__ import annotations
@@ -17,16 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, _powers, keeps, mix, parts, stored, tidy, tune, utf8
+from .common import BYTE_CODES, _powers, binary, drop, keeps, mix, parts, stored, tidy, tune, utf8
 
 #: Bytes of a match, of an anchor, and anchors of a window.
 LENGTH, ANCHOR = 100, 21
 WINDOW = LENGTH - ANCHOR + 1
-#: Rows that are refined together at most, unless one anchor has more.
-TOGETHER = 100_000
+#: Rows that are merged together at most; anchors with more are split. Suffixes of a shard.
+TOGETHER, SHARD = 100_000, 20_000
 #: Bytes in which anchors are looked for at once.
 SLICE = 4 << 20
 _INDEX_BITS = np.uint64(28)
@@ -122,7 +131,50 @@ def common_prefixes(block: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, n
     return order, lcp
 
 
-def repeated(group: np.ndarray, context: np.ndarray, off: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+def right_words(context: np.ndarray, off: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Of each row the bytes from its anchor to its nearest window's end, as big-endian words, zeros behind."""
+    padded = np.concatenate([context, np.zeros(LENGTH + 8, np.uint8)])
+    width = -(-LENGTH // 8) * 8
+    right = padded[(off[:-1] + far)[:, None] + np.arange(width)]
+    right[np.arange(width) >= (LENGTH - near)[:, None]] = 0
+    return right.view(">u8").astype(np.uint64)
+
+
+def interleave(group: np.ndarray, words: np.ndarray, shard: np.ndarray, nth: np.ndarray, shard_lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merges shards: the order of all rows by group, then words, and the common prefix of each with the one before (-1
+    at the first row of a group). nth and shard_lcp are a row's place in its shard and its common prefix with the row
+    before it there."""
+    n, most = len(group), words.shape[1] * 8
+    order = np.lexsort((nth, shard, group))
+    lcp = np.full(n, most, np.int64)
+    lcp[0] = -1
+    lcp[1:][group[order][1:] != group[order][:-1]] = -1
+    for k in range(words.shape[1] + 1):
+        start = lcp < most
+        ident = np.cumsum(start) - 1
+        of = shard[order]
+        mixed = np.zeros(int(ident[-1]) + 1, bool)
+        mixed[ident[1:][(ident[1:] == ident[:-1]) & (of[1:] != of[:-1])]] = True
+        mixed = mixed[ident]
+        alone = np.flatnonzero(~mixed & ~start)
+        lcp[alone] = shard_lcp[order[alone]]
+        active = np.flatnonzero(mixed)
+        if not len(active) or k == words.shape[1]:
+            break
+        w = words[order[active], k]
+        inner = np.lexsort((w, ident[active]))  # stable, so that the parts of a shard stay in order
+        order[active] = order[active][inner]
+        w, b = w[inner], ident[active]
+        split = np.flatnonzero((b[1:] == b[:-1]) & (w[1:] != w[:-1]))
+        differ = w[split + 1] ^ w[split]
+        lead = np.zeros(len(differ), np.int64)
+        for byte in range(8):
+            lead += (differ >> np.uint64(8 * (7 - byte))) == 0
+        lcp[active[split + 1]] = 8 * k + lead
+    return order, lcp
+
+
+def repeated(group: np.ndarray, context: np.ndarray, off: np.ndarray, near: np.ndarray, far: np.ndarray, shard: np.ndarray, nth: np.ndarray, shard_lcp: np.ndarray) -> np.ndarray:
     """rows x WINDOW: whether the window that begins a bytes before the anchor occurs in an earlier row.
 
     Rows are in the order of the texts. context holds each row's bytes from its farthest window's begin to its nearest
@@ -132,14 +184,8 @@ def repeated(group: np.ndarray, context: np.ndarray, off: np.ndarray, near: np.n
     out = np.zeros((n, WINDOW), bool)
     if n < 2:
         return out
-    padded = np.concatenate([context, np.zeros(LENGTH + 8, np.uint8)])
+    order, lcp = interleave(group, right_words(context, off, near, far), shard, nth, shard_lcp)
     at = off[:-1] + far
-    width = -(-LENGTH // 8) * 8
-    right = padded[at[:, None] + np.arange(width)]
-    reach = LENGTH - near
-    right[np.arange(width) >= reach[:, None]] = 0
-    order, lcp = common_prefixes(group, right.view(">u8").astype(np.uint64))
-    del right
     # symbols in front, one at a round
     block_of = np.unique(group, return_inverse=True)[1].astype(np.int64)
     active = np.arange(n)
@@ -149,7 +195,7 @@ def repeated(group: np.ndarray, context: np.ndarray, off: np.ndarray, near: np.n
             active = active[far[active] >= a]
             if not len(active):
                 break
-            _, new, count = np.unique(block_of[active] * 256 + padded[at[active] - a], return_inverse=True, return_counts=True)
+            _, new, count = np.unique(block_of[active] * 256 + context[at[active] - a], return_inverse=True, return_counts=True)
             several = count[new] > 1
             active = active[several]
             block_of[active] = new[several]
@@ -164,6 +210,64 @@ def repeated(group: np.ndarray, context: np.ndarray, off: np.ndarray, near: np.n
     return out
 
 
+ROW = "h long, ord long, at long, context binary, shard long, nth int, lcp int"
+
+
+def halves(rows: DataFrame) -> DataFrame:
+    """Splits anchors: rows with (low, high), the windows that meet at h, to rows of their lower and their upper half.
+
+    All windows that begin low to high bytes before an anchor hold the low bytes in front of it and 100 - high from it
+    on; so the halves of equal windows meet at the hash of those, which tell more surroundings apart than the anchor
+    does. A row goes to both halves at most, with what its windows there need. In the end a window meets only equal ones.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for h, ord_, at, context, low, high in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                near, far, pos, middle = at >> 8 & 255, at & 255, at >> 16, (low + high) // 2
+                for first, last in ((low, middle), (middle + 1, high)):
+                    n, f = max(near, first), min(far, last)
+                    if n <= f:
+                        part = context[far - f : far - n + LENGTH]
+                        key = hashlib.blake2b(h.to_bytes(8, "little", signed=True) + bytes((first, last)) + part[f - first : f + LENGTH - last], digest_size=8).digest()
+                        out.append((int.from_bytes(key, "little", signed=True), ord_, pos << 16 | n << 8 | f, part, first, last))
+            if out:
+                cols = list(zip(*out, strict=True))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["h", "ord", "at", "context", "low", "high"])
+
+    return rows.select("h", "ord", "at", "context", "low", "high").mapInArrow(each, "h long, ord long, at long, context binary, low int, high int")
+
+
+def split_hot(found: DataFrame) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """Rows whose anchors fit a task, and the covers (ord, a, b) of windows that have been split to the end."""
+    spark = found.sparkSession
+    rows = found.withColumn("low", F.lit(0)).withColumn("high", F.lit(WINDOW - 1))
+    # after a split the rows of a shard are not neighbours any more: each is a shard of its own
+    alone = {"shard": F.monotonically_increasing_id(), "nth": F.lit(0), "lcp": F.lit(-1)}
+    small: DataFrame | None = None
+    covers: DataFrame | None = None
+    made: list[str] = []
+    while True:
+        rows, path = stored(rows, "halves")
+        made.append(path)
+        large, path = stored(rows.where("context is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("high") - F.col("low")).alias("width")).where(F.col("n") > TOGETHER), "hot")
+        made.append(path)
+        fitting = rows.join(large.select("h"), "h", "left_anti")
+        fitting = fitting.select("h", "ord", "at", "context", "shard", "nth", "lcp")
+        small = fitting if small is None else small.unionByName(fitting)
+        # windows that are all equal: each but the earliest is repeated
+        equal = rows.where("context is not null").join(large.where("width = 0").select("h"), "h").select("h", "ord", (F.shiftright("at", 16) - F.col("low")).alias("a"))
+        first = equal.groupBy("h").agg(F.min(F.struct("ord", "a")).alias("first"))
+        later = equal.join(first, "h").where(F.struct("ord", "a") > F.col("first")).select("ord", "a", (F.col("a") + LENGTH).alias("b"))
+        covers = later if covers is None else covers.unionByName(later)
+        if not large.where("width > 0").limit(1).count():
+            return small, covers, made
+        rows = halves(rows.where("context is not null").join(large.where("width > 0").select("h"), "h"))
+        rows = rows.withColumns(alone).select("h", "ord", "at", "context", "shard", "nth", "lcp", "low", "high")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed, from and to byte).
 
@@ -173,8 +277,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows of their own. Other columns are ignored. An empty table gives no rows.
     What travels: 24 bytes for one byte in 40, the texts twice to be matched with places, and up to 179 bytes around
     each anchor that occurs more than once. Anchors and surroundings that repeat inside a task are taken together before
-    they travel, so copies and common passages don't pile up at one anchor; what then still differs around an anchor is
-    refined in one task.
+    they travel, so copies and common passages don't pile up at one anchor; an anchor that still has more than TOGETHER
+    places is split by its surroundings.
     """
     spark = tune(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -233,11 +337,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone = F.when(F.col("at").bitwiseAND(SURE) != 0, F.xxhash64("ord", "at")).otherwise(F.col("h"))
     sampled = sampled.repartition(parts(spark), alone).sortWithinPartitions("h").mapInArrow(several, "h long, ord long, at long")
     places, _ = stored(sampled.groupBy("ord").agg(F.collect_list(F.struct("h", "at")).alias("places")), "anchors")
+    hot = places.select(F.explode("places.h").alias("h")).groupBy("h").count().where(F.col("count") > TOGETHER).limit(1).count()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What is around each anchor. Texts come in order, so of equal surroundings in a task the first is the earliest:
-        all windows of the others are repeated, and they leave as places (a, b) instead, without surroundings."""
+        """The transforms of the task's shards: what is around each anchor, by anchor and the bytes from it on. Texts come
+        in order, so of equal surroundings in a task the first is the earliest: all windows of the others are repeated,
+        and they leave as places (a, b) instead, without surroundings."""
+        keeps()
         seen: set[tuple[int, bytes]] = set()
+        shard = TaskContext.get().partitionId() << 32
         for b in batches:
             data, off = utf8(b.column(1))
             lists = b.column(2)
@@ -249,8 +357,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             h, at, text = h[order], at[order], text[order]
             ords = b.column(0).to_numpy()[text]
             pos = (at >> 16) + off[text]
-            for i in range(0, len(at), 20_000):
-                k = slice(i, i + 20_000)
+            for i in range(0, len(at), SHARD):
+                k = slice(i, i + SHARD)
                 begin, end = pos[k] - (at[k] & 255), pos[k] - (at[k] >> 8 & 255) + LENGTH
                 bytes_, o = slices(data, begin, end)
                 whole, edges = bytes_.tobytes(), o.tolist()
@@ -259,27 +367,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 keys = zip((at[k] & 0xFFFF).tolist(), (whole[x:y] for x, y in zip(edges, edges[1:], strict=False)), strict=True)
                 new = np.array([x not in seen and not seen.add(x) for x in keys], bool)
                 bytes_, o = slices(bytes_, o[:-1][new], o[1:][new])
-                ctx = pa.Array.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer(o.astype(np.int32)), pa.py_buffer(bytes_)])
-                yield pa.RecordBatch.from_arrays([pa.array(h[k][new]), pa.array(ords[k][new]), pa.array(at[k][new]), ctx], names=names)
+                if new.any():
+                    mine, places_ = h[k][new], at[k][new]
+                    sort, lcp = common_prefixes(mine, right_words(bytes_, o, places_ >> 8 & 255, places_ & 255))
+                    bytes_, o = slices(bytes_, o[:-1][sort], o[1:][sort])
+                    ctx = binary(bytes_, o)
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[sort]), pa.array(ords[k][new][sort]), pa.array(places_[sort]), ctx, pa.array(np.full(len(sort), shard)), pa.array(np.arange(len(sort), dtype=np.int32)), pa.array(lcp.astype(np.int32))], names=names)
+                    shard += 1
                 if not new.all():
                     t, x, y, r = text[k][~new], (begin - off[text[k]])[~new], (end - off[text[k]])[~new], ords[k][~new]
                     # runs of places that touch, each text for itself
                     starts = np.concatenate([[True], (t[1:] != t[:-1]) | (x[1:] > np.maximum.accumulate(y + t * (1 << 40))[:-1] - t[1:] * (1 << 40))])
                     x, r, y = x[starts], r[starts], np.maximum.reduceat(y, np.flatnonzero(starts))
-                    yield pa.RecordBatch.from_arrays([pa.array(mix((r * 31 + x).view(np.uint64)).view(np.int64)), pa.array(r), pa.array(x << 31 | y), pa.nulls(len(r), pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(mix((r * 31 + x).view(np.uint64)).view(np.int64)), pa.array(r), pa.array(x << 31 | y), pa.nulls(len(r), pa.binary()), *(pa.nulls(len(r), t) for t in (pa.int64(), pa.int32(), pa.int32()))], names=names)
         tidy()
 
-    names = ["h", "ord", "at", "context"]
+    names = ["h", "ord", "at", "context", "shard", "nth", "lcp"]
     near_text = base.select("ord", "text").join(places, "ord").sortWithinPartitions("ord")
-    found = near_text.mapInArrow(contexts, "h long, ord long, at long, context binary")
-    found = found.repartition(parts(spark), "h").sortWithinPartitions("h", "ord", "at")
+    found, split, made = near_text.mapInArrow(contexts, ROW), None, []
+    if hot:
+        found, split, made = split_hot(found)
+    found = found.repartition(parts(spark), "h").sortWithinPartitions("h", "shard", "nth")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
+            t = t.take(pa.array(np.lexsort((t.column("at").to_numpy(), t.column("ord").to_numpy(), t.column("h").to_numpy()))))
             at = t.column("at").to_numpy()
             near, far, pos = at >> 8 & 255, at & 255, at >> 16
-            rem = repeated(t.column("h").to_numpy(), *utf8(t.column("context")), near, far)
+            rem = repeated(t.column("h").to_numpy(), *utf8(t.column("context")), near, far, *(t.column(c).to_numpy() for c in ("shard", "nth", "lcp")))
             edge = np.diff(np.pad(rem, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             row, low = np.nonzero(edge == 1)
             _, high = np.nonzero(edge == -1)
@@ -307,7 +423,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         waiting = []
         tidy()
 
-    covers, _ = stored(found.mapInArrow(merge, "ord long, a long, b long").groupBy("ord").agg(F.collect_list(F.struct("a", "b")).alias("covers")), "repeats")
+    merged = found.mapInArrow(merge, "ord long, a long, b long")
+    if split is not None:
+        merged = merged.unionByName(split)
+    covers, _ = stored(merged.groupBy("ord").agg(F.collect_list(F.struct("a", "b")).alias("covers")), "repeats")
+    drop(spark, *made)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))])
