@@ -23,6 +23,8 @@ FIT_ROWS = 30_000
 #: it is in, least log odds. Inner folds.
 MIN_TEXTS, SHARES, ODDS, INNER = 3, (0.002, 0.004, 0.008), (2.0, 2.5, 3.5), 3
 
+#: The weights of a text's learned words add up to so much at most.
+MOST_WEIGHT = 60.0
 #: Tokens that a worker remembers as decoded; beyond it starts anew.
 MOST_SEEN = 300_000
 
@@ -47,10 +49,8 @@ _LOOKALIKE = re.compile(f"[{''.join(LOOKALIKES)}]")
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 _TWICE = re.compile(r"(.)\1", re.DOTALL)
 _TRIPLE = re.compile(r"(.)\1\1")
-#: Neighbours of up to three characters, one of them a single one: a word may be spread over them.
-_SPREAD = re.compile(r"(?<!\S)(?:\S{1,3}\s+)+\S{1,3}(?!\S)")
-_SINGLE = re.compile(r"(?<!\S)\S(?!\S)")
-_GAP = re.compile(r"\s+")
+#: Neighbours of so many characters at most, one of them a single one, may be parts of one word.
+PART = 3
 #: Costs (negative logs) of the channel: a sign for a letter, a sign that was put in or stood between words.
 SUBSTITUTED, INSERTED, KEPT_SIGN = 1.5, 1.0, 3.0
 #: Costs of (nothing, a space) for a gap beside a single character, behind a part that ends in a sign, for other gaps.
@@ -151,8 +151,8 @@ class Lexicon:
 
     def touches(self, columns: Columns) -> bool:
         """Whether some word lies between two breaks of the lattice."""
-        starts = [0, *(i + 1 for i, column in enumerate(columns) if any(out == " " for out, _ in column))]
-        return any(True for i in starts for _ in self.reach(columns, i))
+        starts = [0, *(i + 1 for i, column in enumerate(columns) if len(column) > 1 and any(out == " " for out, _ in column))]
+        return any(next(self.reach(columns, i), None) is not None for i in starts)
 
 
 def decode(columns: Columns, model: CharModel, known: Lexicon | None = None) -> str:
@@ -215,12 +215,24 @@ def core(token: str) -> str:
 
 def plain(inner: str) -> bool:
     """Whether only the runs of a token can be read in several ways."""
-    return inner.isalpha() and not _LOOKALIKE.search(inner)
-
-
-def spread(text: str) -> list[str]:
-    """Stretches of short neighbours with single characters among them, over which a word may be spread."""
-    return [run for run in _SPREAD.findall(text) if _SINGLE.search(run) and any(c.isalpha() for c in run)]
+    return inner.isalpha() and (inner.isascii() or not _LOOKALIKE.search(inner))
+
+
+def spread(tokens: list[str]) -> list[str]:
+    """Stretches of short neighbours with single characters among them, over which a word may be spread, with one space
+    for each gap."""
+    runs, end = [], 0
+    for i in [i for i, t in enumerate(tokens) if len(t) == 1]:
+        if i < end:
+            continue
+        start, end = i, i + 1
+        while start and len(tokens[start - 1]) <= PART:
+            start -= 1
+        while end < len(tokens) and len(tokens[end]) <= PART:
+            end += 1
+        if end - start > 1 and any(c.isalpha() for t in tokens[start:end] for c in t):
+            runs.append(" ".join(tokens[start:end]))
+    return runs
 
 
 def restore_words(text: str | None, model: CharModel, cache: dict[str, tuple[str, ...]], known: Lexicon | None = None) -> list[str]:
@@ -229,14 +241,13 @@ def restore_words(text: str | None, model: CharModel, cache: dict[str, tuple[str
     A token without a letter is no word. The stretches that a word may be spread over are decoded as a whole, and their
     tokens count by themselves only where that leaves them as they are.
     """
-    text = normal(text)
+    tokens = normal(text).split()
     words: list[str] = []
-    if _SINGLE.search(text):
-        for run in spread(text):
-            found = decode(lattice(run), model, known).split()
-            apart = set(run.split())
-            words += [w for w in found if w not in apart]
-    for token in text.split():
+    for run in spread(tokens):
+        found = decode(lattice(run), model, known).split()
+        apart = set(run.split())
+        words += [w for w in found if w not in apart]
+    for token in tokens:
         got = cache.get(token)
         if got is None:
             inner = core(token)
@@ -254,7 +265,7 @@ def restore_words(text: str | None, model: CharModel, cache: dict[str, tuple[str
 def features_of(found: dict[str, int], weights: dict[str, float], n_tokens: int) -> tuple[float, float, float, float]:
     """What the logistic model sees of a restored text: the weights of its learned words, how many, and how dense."""
     n = sum(found.values())
-    return 1.0, min(sum(weights[w] for w in found), 60.0), math.log1p(n), math.log1p(1000 * n / (n_tokens + 50))
+    return 1.0, min(sum(weights[w] for w in found), MOST_WEIGHT), math.log1p(n), math.log1p(1000 * n / (n_tokens + 50))
 
 
 @dataclass
@@ -271,15 +282,17 @@ class Scorer:
         self.by_runs = {_RUNS.sub(r"\1", w) for w in self.weights}
         self.seen: set[str] = set()
         self.hits: dict[str, list[str]] = {}
+        self.hit_tokens: set[str] = set()
 
     def forget(self) -> None:
         self.seen.clear()
         self.hits.clear()
+        self.hit_tokens.clear()
 
     def learned_in(self, token: str) -> list[str]:
         """The learned words of a token's restored text. A lattice that holds no learned word between two breaks can't
         give one, so it isn't decoded; where all letters stand for themselves, that is told by its runs."""
-        inner = core(token)
+        inner = token if token.isalpha() else core(token)
         if plain(inner):
             if _TWICE.search(inner) is None:
                 return [inner] if inner in self.weights else []
@@ -294,35 +307,32 @@ class Scorer:
             return []
         return [w for w in decode(columns, self.model, self.lexicon).split() if w in self.weights]
 
-    def found(self, text: str) -> Counter:
-        """The learned words of a whole text (in its normal form) as it is restored, with their numbers."""
-        tokens = text.split()
+    def found(self, tokens: list[str]) -> Counter:
+        """The learned words of a whole text's tokens as they are restored, with their numbers."""
         unique = set(tokens)
         if len(self.seen) > MOST_SEEN:
-            self.seen.clear()
+            self.forget()
         new = unique - self.seen
         self.seen |= new
         for token in new:
             if words := self.learned_in(token):
                 self.hits[token] = words
-        wanted = unique.intersection(self.hits) if len(unique) < len(self.hits) else {t for t in self.hits if t in unique}
+                self.hit_tokens.add(token)
         found: Counter = Counter()
-        if wanted:
+        if wanted := unique & self.hit_tokens:
             for t in tokens:
                 if t in wanted:
                     found.update(self.hits[t])
-        if _SINGLE.search(text):
-            for run in spread(text):
-                columns = lattice(run)
-                if self.lexicon.touches(columns):
-                    apart = set(run.split())
-                    found.update(w for w in decode(columns, self.model, self.lexicon).split() if w in self.weights and w not in apart)
+        for run in spread(tokens):
+            columns = lattice(run)
+            if self.lexicon.touches(columns):
+                apart = set(run.split())
+                found.update(w for w in decode(columns, self.model, self.lexicon).split() if w in self.weights and w not in apart)
         return found
 
     def features(self, text: str | None) -> tuple[float, float, float, float]:
-        text = normal(text)
-        found = self.found(text)
-        return features_of(found, self.weights, len(text.split()) if found else 0)
+        tokens = normal(text).split()
+        return features_of(self.found(tokens), self.weights, len(tokens))
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + math.exp(-min(max(float(np.dot(self.features(text), self.coef)), -30), 30))))
@@ -348,40 +358,40 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def lexicon_of(counts: dict[str, tuple[int, int]], total: tuple[int, int], share: float, odds: float) -> dict[str, float]:
-    """Words to log odds, of those that stand in enough toxic texts and are likely enough there. counts: (toxic, other)."""
-    least = max(MIN_TEXTS, share * total[0])
-    base = math.log(total[1] + 1) - math.log(total[0] + 1)
-    found = {w: math.log((bad + 0.5) / (fine + 0.5)) + base for w, (bad, fine) in counts.items() if bad >= least}
-    return {w: x for w, x in sorted(found.items()) if x >= odds}
+def log_odds(bad: np.ndarray, fine: np.ndarray, total: tuple[int, int]) -> np.ndarray:
+    return np.log((bad + 0.5) / (fine + 0.5)) + math.log(total[1] + 1) - math.log(total[0] + 1)
+
+
+def in_lexicon(bad: np.ndarray, odds: np.ndarray, n_bad: int, share: float, least_odds: float) -> np.ndarray:
+    """Which words belong: those that stand in enough toxic texts and are likely enough there."""
+    return (bad >= max(MIN_TEXTS, share * n_bad)) & (odds >= least_odds)
 
 
-def choose(rows: list[tuple[int, int, int, dict[str, int]]]) -> tuple[float, float]:
+def choose(toxic: np.ndarray, fold: np.ndarray, tokens: np.ndarray, row: np.ndarray, word: np.ndarray, times: np.ndarray) -> tuple[float, float]:
     """Share and odds of the fewest errors, then the least loss, on inner folds that words and model were not fitted on.
-    rows: (toxic, inner fold, tokens, candidate words with their numbers). Of equal ones the strictest."""
-    best = None
-    for share in sorted(SHARES, reverse=True):
-        for odds in sorted(ODDS, reverse=True):
-            errors, loss = 0, 0.0
-            for fold in range(INNER):
-                counts: dict[str, list[int]] = {}
-                total = [0, 0]
-                for toxic, f, _, found in rows:
-                    if f != fold:
-                        total[1 - toxic] += 1
-                        for w in found:
-                            counts.setdefault(w, [0, 0])[1 - toxic] += 1
-                weights = lexicon_of(counts, tuple(total), share, odds)
-                x = np.array([features_of({w: n for w, n in found.items() if w in weights}, weights, n_tokens) for _, _, n_tokens, found in rows]).reshape(-1, 4)
-                y, inside = np.array([r[0] for r in rows], float), np.array([r[1] == fold for r in rows], bool)
-                if not inside.any() or len(set(y[~inside])) < 2:
-                    continue
-                p = 1 / (1 + np.exp(-np.clip(x[inside] @ logistic(x[~inside], y[~inside]), -30, 30)))
-                errors += int(((p >= 0.5) != y[inside]).sum())
-                loss -= float(np.log(np.where(y[inside] == 1, p, 1 - p)).sum())
-            if best is None or (errors, loss) < best[0]:
-                best = (errors, loss), (share, odds)
-    return best[1]
+
+    toxic, fold and tokens of each row; row, word and times: which candidate words each row has, and how often. Of equal
+    ones the strictest.
+    """
+    n_rows, n_words = len(toxic), int(word.max()) + 1 if len(word) else 0
+    result: dict[tuple[float, float], list[float]] = {(s, o): [0, 0.0] for s in sorted(SHARES, reverse=True) for o in sorted(ODDS, reverse=True)}
+    for f in range(INNER):
+        inside = fold == f
+        if not inside.any() or len(set(toxic[~inside].tolist())) < 2:
+            continue
+        total = int((toxic[~inside] == 1).sum()), int((toxic[~inside] == 0).sum())
+        train = ~inside[row]
+        bad = np.bincount(word[train & (toxic[row] == 1)], minlength=n_words)
+        odds = log_odds(bad, np.bincount(word[train & (toxic[row] == 0)], minlength=n_words), total)
+        for (share, least), sums in result.items():
+            mine = in_lexicon(bad, odds, total[0], share, least)[word] if n_words else np.zeros(0, bool)
+            n = np.bincount(row[mine], weights=times[mine], minlength=n_rows)
+            weight = np.bincount(row[mine], weights=odds[word[mine]], minlength=n_rows)
+            x = np.stack([np.ones(n_rows), np.minimum(weight, MOST_WEIGHT), np.log1p(n), np.log1p(1000 * n / (tokens + 50))], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(x[inside] @ logistic(x[~inside], toxic[~inside].astype(float)), -30, 30)))
+            sums[0] += int(((p >= 0.5) != (toxic[inside] == 1)).sum())
+            sums[1] -= float(np.log(np.where(toxic[inside] == 1, p, 1 - p)).sum())
+    return min(result, key=lambda k: tuple(result[k]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -431,18 +441,25 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     n_bad, n_fine = (int(x or 0) for x in restored.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     counted = restored.select("toxic", F.explode("words").alias("word", "_n")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
     likelier = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("fine") + 0.5) / (n_fine + 1))
-    # what no choice below can take needn't come to the driver
-    counts = {r["word"]: (r["bad"], r["fine"]) for r in counted.where((F.col("bad") >= 2) & (likelier >= min(ODDS) - 1.5)).collect()}
-    wanted = spark.sparkContext.broadcast(frozenset(counts))
+    # what no choice below is likely to take needn't come to the driver
+    counts = {r["word"]: (r["bad"], r["fine"]) for r in counted.where((F.col("bad") >= MIN_TEXTS - 1) & (likelier >= min(ODDS) - 0.7)).collect()}
+    numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(sorted(counts))})
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = [[(w, n) for w, n in found if w in wanted.value] for found in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(pairs, pa.map_(pa.string(), pa.int32()))], names=["toxic", "fold", "n", "words"])
+            pairs = [[(numbers.value[w], n) for w, n in found if w in numbers.value] for found in b.column(3).to_pylist()]
+            lists = [pa.array([[p[i] for p in x] for x in pairs], pa.list_(pa.int32())) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *lists], names=["toxic", "fold", "n", "words", "times"])
 
-    seen = sorted(((r[0], r[1], r[2], dict(r[3])) for r in restored.mapInArrow(candidates, restored.schema).collect()), key=lambda r: (*r[:3], sorted(r[3].items())))
+    seen = sorted(tuple(r) for r in restored.mapInArrow(candidates, "toxic int, fold int, n int, words array<int>, times array<int>").collect())
     drop(spark, restored_path)
-    weights = lexicon_of(counts, (n_bad, n_fine), *choose(seen)) if n_bad and n_fine else {}
+    weights = {}
+    if n_bad and n_fine:
+        flat = [np.array([x for r in seen for x in r[i]], np.int64) for i in (3, 4)]
+        share, least = choose(*(np.array([r[i] for r in seen]) for i in range(3)), np.repeat(np.arange(len(seen)), [len(r[3]) for r in seen]), *flat)
+        names, (bad, fine) = sorted(counts), np.array([counts[w] for w in sorted(counts)], np.int64).reshape(-1, 2).T
+        odds = log_odds(bad, fine, (n_bad, n_fine))
+        weights = {names[i]: float(odds[i]) for i in np.flatnonzero(in_lexicon(bad, odds, n_bad, share, least))}
     scorer = Scorer(model, weights, {w: math.log(sum(counts[w]) / (n_bad + n_fine) / 300) for w in weights})
     sent = spark.sparkContext.broadcast(scorer)
 
