@@ -619,22 +619,22 @@ def test_scored_are_the_words_of_the_restored_text(token):
     scorer = small_scorer()
     text = toxicity.normal(f"the {token} there")
     words = toxicity.restore_words(text, scorer.model, {}, scorer.lexicon)
-    assert sorted(scorer.found(text).elements()) == sorted(w for w in words if w in scorer.weights)
+    assert sorted(scorer.found(text.split()).elements()) == sorted(w for w in words if w in scorer.weights)
 
 
 def test_thresholds_come_from_inner_folds():
     rng = np.random.default_rng(2)
-    rows = []
+    toxic, fold, row, word = np.arange(300) % 3 == 0, np.arange(300) % 7 % toxicity.INNER, [], []
     for i in range(300):
-        toxic = int(i % 3 == 0)
-        found = {"bad": 1} if toxic else {}
-        for w in range(40):  # words of either kind that one fold's rows alone make look toxic
-            if rng.random() < 0.02:
-                found[f"n{w}"] = 1
-        rows.append((toxic, i % 7 % toxicity.INNER, 100, found))
-    share, odds = toxicity.choose(rows)
+        found = ([0] if toxic[i] else []) + [w for w in range(1, 40) if rng.random() < 0.02]  # words of either kind beside the toxic one
+        row += [i] * len(found)
+        word += found
+    share, odds = toxicity.choose(toxic.astype(int), fold, np.full(300, 100), np.array(row), np.array(word), np.ones(len(row), int))
     assert share in toxicity.SHARES and odds in toxicity.ODDS
-    assert set(toxicity.lexicon_of({"bad": (100, 0), "n1": (1, 5), "rare": (2, 0)}, (100, 200), share, odds)) == {"bad"}
+    bad, fine = np.array([100, 1, 2]), np.array([0, 5, 0])
+    assert toxicity.in_lexicon(bad, toxicity.log_odds(bad, fine, (100, 200)), 100, share, odds).tolist() == [True, False, False]
+    none = np.zeros(0, np.int64)
+    assert toxicity.choose(np.array([0, 1]), np.array([0, 0]), np.ones(2), none, none, none) == (max(toxicity.SHARES), max(toxicity.ODDS))
 
 
 def test_toxicity_odd_rows(spark):
