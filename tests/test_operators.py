@@ -1,6 +1,7 @@
 """Operators over small tables with known results."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tidewright.streaming import transforms
 
 EXPECTED = {
     "case_len_ratio": {"NA": 0.7}, "case_letters": {"000": 0.7}, "case_letters_none": {}, "case_punctuation": {"-": 1.0}, "case_punctuation_none": {},
-    "case_not_digit": {"dontknow": 1.0}, "case_not_digit_none": {}, "case_len_diff": {"00000": 0.3}, "case_usual": {"nan": 0.5}, "case_usual_none": {},
+    "case_not_digit": {"dontknow": 1.0}, "case_not_digit_none": {}, "case_len_diff": {"00000": 0.3}, "case_usual": {"nan": 0.5}, "case_usual_twice": {"nan": 0.5}, "case_usual_none": {},
 }
 
 
@@ -89,7 +90,7 @@ def test_edit_join_equals_brute_force(spark):
     assert got == {(a, b): d for a in words for b in words if (d := distance(a, b)) <= 2}
 
 
-def test_edit_join2_names_takes_every_name(spark, tmp_path):
+def test_edit_join2_takes_every_name(spark, tmp_path):
     rows = [(1, "red box", "TIN"), (2, "red bax", "TON"), (3, "rad bax", "TIN"), (49, "green ring", "red bo"), (51, "green rung", "COPPER")]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     names, both = {r[1] for r in rows}, {r[1] for r in rows} | {r[2] for r in rows}
@@ -103,7 +104,7 @@ def test_edit_join2_names_takes_every_name(spark, tmp_path):
             last = new
         return last[-1]
 
-    got = {tuple(r) for r in q_types.edit_join2_names(spark, str(tmp_path)).select("a", "b", "distance").collect()}
+    got = {tuple(r) for r in q_types.edit_join2(spark, str(tmp_path)).select("a", "b", "distance").collect()}
     assert got == {(a, b, distance(a, b)) for a in names for b in both if distance(a, b) <= 2}
 
 
@@ -332,3 +333,180 @@ def test_run_sample_over_chunks(spark):
     for chunk in (1, 6, 7, 1000):
         got = sorted((r["val"], r["row_id"]) for r in missing.run_sample(df, {"c": ["x", "b"]}, "row_id", 3, chunk).collect())
         assert got == [("b", 21), ("x", 0), ("x", 9), ("x", 15)]
+
+
+def bm25_by_hand(asks, refs):
+    df = {t: sum(t in v for v in refs.values()) for v in [*asks.values(), *refs.values()] for t in v}
+    avgdl = sum(map(len, refs.values())) / len(refs)
+    score = lambda words, has: sum(math.log(1 + (len(refs) - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 * has.count(t) / (has.count(t) + 1.2 * (0.25 + 0.75 * len(has) / avgdl)) for t in set(words) if t in has)
+    return {a: {b: s for b, has in refs.items() if (s := score(words, has)) > 0} for a, words in asks.items()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_best_pairs_are_those_of_all_pairs(spark, monkeypatch, seed):
+    """Ids are text; few first rows and terms, so that bounds are loose and the other terms have to be looked at."""
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "theta", "kappa"]
+    some = lambda n: [rng.choice(words[: rng.randint(2, 8)]) for _ in range(rng.randint(1, n))]
+    refs, asks = {f"{i:04d}A": some(6) for i in range(60)}, {f"q{i}": some(5) for i in range(40)}
+    monkeypatch.setattr(link, "FIRST_ROWS", 2)
+    monkeypatch.setattr(link, "FIRST_TERMS", 1)
+    monkeypatch.setattr(link, "SLICE_ROWS", 7)
+    s = spark.createDataFrame([(k, " ".join(v)) for k, v in asks.items()], "sid string, n string")
+    r = spark.createDataFrame([(k, " ".join(v)) for k, v in refs.items()], "rid string, full string")
+    no = [(f"q{i}", f"{j:04d}A") for i in range(0, 40, 5) for j in range(0, 60, 2)]
+    t = [link.Clause("must", "n", "full")]
+    scores = bm25_by_hand(asks, refs)
+    for banned in (None, no):
+        want = {}
+        for a, found in scores.items():
+            left = {b: x for b, x in found.items() if not banned or (a, b) not in set(banned)}
+            if left:
+                best = min(left, key=lambda b: (-round(left[b], 9), b))
+                want[a] = (best, round(left[best], 6))
+        non = spark.createDataFrame(banned, "source_id string, ref_id string") if banned else None
+        got = {x["source_id"]: (x["__ID_REF"], round(x["__ES_SCORE"], 6)) for x in link.bm25_best(s, "sid", r, "rid", t, 1.0, None, non).collect()}
+        assert got == want
+    overlaps = {a: {b: len(set(x) & set(y)) for b, y in refs.items()} for a, x in asks.items()}
+    want = {a: min(((-n, b) for b, n in o.items() if n), default=None) for a, o in overlaps.items()}
+    got = {x["source_id"]: (-x["overlap"], x["ref_id"]) for x in link.token_overlap_top1(s, "sid", "n", r, "rid", "full").collect()}
+    assert got == {a: w for a, w in want.items() if w}
+
+
+def test_links_with_two_must_clauses_and_flags(spark):
+    s = spark.createDataFrame([("a", "lycee hugo", "paris"), ("b", "lycee hugo", "lyon"), ("c", "lycee", "nice")], "sid string, n string, city string")
+    r = spark.createDataFrame([("0750001A", "lycee hugo", "paris"), ("0690001B", "lycee hugo", "lyon"), ("X", "lycee hugo", "rennes")], "rid string, full string, town string")
+    out = {x["sid"]: x for x in link.link(s, "sid", r, "rid", [link.Clause("must", "n", "full"), link.Clause("must", "city", "town")], 0.1).collect()}
+    assert {k: x["__ID_REF"] for k, x in out.items()} == {"a": "0750001A", "b": "0690001B", "c": None}
+    assert out["a"]["town__REF__MODIFIED"] and not out["c"]["town__REF__MODIFIED"]
+
+
+def test_analyzers(spark):
+    assert value(spark, link.analyze("v", "establishment"), "Lycées municipaux") == ["lyc", "municip"] or value(spark, link.analyze("v", "establishment"), "Lycées") == value(spark, link.analyze("v", "establishment"), "lycée")
+    assert value(spark, link.analyze("v", "city", ("Saint-Denis", "Paris", "Le Mans")), "mairie de saint denis, paris 3") == ["saint denis", "paris"]
+    assert link.columns_to_index(["a", "b"], {"a": "Commune"}, ["a"]) == {"a": ("establishment", "n_grams", "city"), "b": ("keyword",)}
+
+
+def test_labeller_asks_searches_and_fits_a_threshold(spark):
+    s = spark.createDataFrame([("1", "lycee hugo"), ("2", "college moulin"), ("3", "ecole verne")], "sid string, n string")
+    r = spark.createDataFrame([("A", "hugo lycee"), ("B", "moulin college"), ("C", "ecole zola"), ("D", "verne ecole")], "rid string, full string")
+    lab = link.Labeller(s, "sid", r, "rid", [[link.Clause("must", "n", "full")]])
+    asked = lab.to_emit()
+    assert (asked["source_id"], asked["ref_id"]) == ("1", "A") and asked["ref"]["full"] == "hugo lycee"
+    lab.update("1", "A", "y")
+    assert lab.to_emit()["source_id"] == "2"
+    lab.update("2", "B", "y")
+    lab.update("3", "D", "n")
+    assert (lab.to_emit()["source_id"], lab.to_emit()["ref_id"]) == ("3", "C")
+    lab.add_custom_search({"full": ["zola"]})
+    assert lab.to_emit()["ref_id"] == "C"
+    lab.clear_custom_search()
+    best = lab.export_best_params()
+    assert best["thresh"] > 0 and lab.quality()[0][:2] == (1.0, 1.0)
+
+
+def test_bail_out_by_rate_equals_a_loop(spark):
+    ok = [i % 6 != 0 if i < 150 else i % 3 != 0 for i in range(400)]
+    df = spark.createDataFrame([(i, "a@b.org" if o else "no") for i, o in enumerate(ok)], "row_id long, c string")
+    cells = ct.cells_of(df, ["c"])
+    hits = ct.expression_hits(cells, [m for m in ct.matchers(0) if m.type == "Email"])
+    want, failed = set(), 0
+    for i, o in enumerate(ok):
+        if i >= 100 and failed * 100 > i * 20:
+            break
+        if o:
+            want.add(i)
+        failed += not o
+    assert {r["row_id"] for r in ct.bail_out(cells, hits, fatal=False).collect()} == want and 150 < max(want) < 390
+
+
+def test_inference_uses_all_matchers(spark):
+    cities = ["Paris", "Lyon", "Nice", "Lille", "Brest", "Dijon", "Nantes", "Reims", "Tours", "Metz"]
+    rows = [(i, "Paris", cities[i % 10], ["Jean Martin", "Marie Curie", "Dr Paul Durand"][i % 3], f"dept of {cities[i % 10]} north", "institut zola") for i in range(50)]
+    df = spark.createDataFrame(rows, "row_id long, one string, many string, who string, note string, org string")
+    lex = spark.createDataFrame([("Commune", c) for c in cities], "type string, label string")
+    res = ct.Resources(labels=lex, phrases=lex, vocabularies={"Etablissement": ["institut"]})
+    got = ct.infer(df, ["one", "many", "who", "note", "org"], level=2, resources=res)
+    assert got["column_types"] == {"many": "Commune", "note": "Commune", "who": "Nom de personne", "org": "Etablissement"}
+    assert "Ville" in got["type_tags"]["Commune"] and ct.infer(df, ["who"], level=1)["column_types"] == {}
+    assert ct.label_diversity(10) == 4 and ct.label_diversity(1) == 1
+
+
+def test_usual_forms_of_a_user_in_any_case(spark):
+    df = spark.createDataFrame([(v,) for v in ["nd", "ND", "some", "words", "here"]], "c string")
+    assert {r["val"] for r in missing.infer(df, usual=("Nd",)).collect()} >= {"nd", "ND"}
+
+
+def test_csv_with_and_without_broken_cells(spark, tmp_path):
+    for text_, broken, n in (('a,b\n1,"x ""y"""\n2,z\n', False, 2), ('a,b\n1,"x\ny"\n2,z\n', True, 2)):
+        p = tmp_path / f"{broken}.csv"
+        p.write_text(text_)
+        assert tables.has_broken_cells(spark, f"file://{p}") is broken
+        assert tables.read_csv(spark, f"file://{p}", "utf-8", ",").count() == n
+
+
+def ratio_by_hand(a, b):
+    """Twice the characters of the longest common stretch, then left and right of it, over all characters."""
+    def common(a, b):
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        return k + common(a[:i], b[:j]) + common(a[i + k :], b[j + k :]) if k else 0
+
+    return round(200 * common(a, b) / (len(a) + len(b))) if a and b else 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_fuzz_ratios_by_hand(seed):
+    rng = random.Random(seed)
+    a, b = ("".join(rng.choice("abc d") for _ in range(rng.randint(0, 12))) for _ in range(2))
+    assert fuzz.ratio(a, b) == ratio_by_hand(a, b)
+    assert fuzz.token_sort_ratio(a, b) == ratio_by_hand(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def test_fuzz_query_equals_the_functions(spark, data):
+    rows = q_types.fuzz_ratios(spark, data).limit(50).collect()
+    part = {r["p_partkey"]: r for r in spark.read.parquet(f"{data}/part.parquet").select("p_partkey", "p_name", text.case_phrase("p_type").alias("t")).collect()}
+    assert all(r["ratio"] == ratio_by_hand(part[r["p_partkey"]]["p_name"], part[r["p_partkey"]]["t"]) for r in rows)
+
+
+def test_names_query(spark, data):
+    got = {}
+    for r in q_types.names_parse(spark, data).collect():
+        got.setdefault(r["c_custkey"], set()).add((r["first"], r["last"], r["title"]))
+    assert got and all(v == {("Jean", f"Dupont{k}", ""), ("Marie", "CURIE", "Dr"), ("A.", "Martin", "")} for k, v in got.items())
+
+
+@pytest.mark.parametrize(("person", "shown"), [(("jean-luc", "Martin", "monsieur"), "M. Jean-Luc MARTIN"), (("J.P.", "Poly|Poli", ""), "J.P. POLY (POLI)"), (("A", "b", "Prof"), "Pr A. B"), (("", "Curie", "Dr Madame"), "Dr Mme CURIE")])
+def test_names_are_shown_in_main_forms(person, shown):
+    assert names.display(person) == shown
+
+
+def test_institutions_by_all_ways(spark):
+    empty = F.array().cast("array<string>")
+    ref = spark.createDataFrame([("g1", "University of Lyon", "France", "http://www.lyon-one.fr/", "UMR 5205"), ("g2", "Hospital of Lyon", "France", "", ""), ("g3", "Bakery Guild", "Spain", "", "")], "grid_id string, name string, country string, url string, unit string")
+    ref = ref.select("grid_id", F.trim(F.concat_ws(" ", "name", "unit")).alias("label"), F.lit(None).cast("string").alias("city"), "country", F.array("name").alias("variants"), empty.alias("acros"), F.array("url").alias("urls"), empty.alias("parents"))
+    src = spark.createDataFrame([(1, "lyon one", None), (2, "Laboratoire LIRIS UMR 5205", None), (3, "hospital of lyon france", None), (4, "boulangerie guild", "Spain")], "sid long, label string, country string").withColumn("city", F.lit(None).cast("string"))
+    src = grid.with_country(src, "sid", ref.select("country"))
+    assert {r["sid"]: r["country"] for r in src.collect()} == {1: None, 2: None, 3: "France", 4: "Spain"}
+    pairs = src.select(F.col("sid").alias("source_id")).join(ref.select(F.col("grid_id").alias("ref_id")))
+    got = {r["source_id"]: (r["grid_id"], r["reason"]) for r in grid.best_items(src, "sid", ref, pairs, {"boulangerie": "bakery"}).collect()}
+    assert {k: g for k, (g, _) in got.items()} == {1: "g1", 2: "g1", 3: "g2", 4: "g3"}
+    assert got[1][1] == "Matching URL" and got[2][1] == "Matching research unit IDs UMR 5205" and "Matching countries France / France" in got[3][1]
+    assert 4 not in {r["source_id"] for r in grid.best_items(src, "sid", ref, pairs).collect()}
+
+
+def test_grid_best_equals_all_pairs(spark, data):
+    """Each supplier against every institution of the query, with the functions that score one pair."""
+    n = [r[0] for r in spark.read.parquet(f"{data}/supplier.parquet").select("s_suppkey").collect()]
+    got = {r["source_id"]: r["score"] for r in q_link.grid_best(spark, data).collect()}
+    norm = lambda k, w: f"{w} supplier number {k:09d}"
+    for k in n:
+        best = max(n, key=lambda j: grid.string_score(norm(k, "univ"), norm(j, "university of")))
+        assert best == k and abs(got[k] - grid.string_score(norm(k, "univ"), norm(k, "university of")) * 100 * 50 / 10000) < 25

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 STRIP_CHARS = " -_.,'?!"
 PUNCTUATION = r"[\{\}\[\](),.\"';:!?&^/*-]"
 STOP_WORDS = (
-    "au", "aux", "avec", "ce", "ces", "dans", "de", "des", "du", "en", "et", "la", "le", "les", "leur", "ou", "par", "pas",
-    "pour", "que", "qui", "sa", "ses", "son", "sur", "un", "une",
+    "a", "au", "aux", "de", "des", "du", "par", "pour", "sur", "chez", "dans", "sous", "vers", "le", "la", "les", "l", "c", "ce", "ca",
+    "mais", "et", "ou", "donc", "or", "ni", "car",
 )
 STOP_WORDS_EN = ("and", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
 ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"

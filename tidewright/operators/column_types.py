@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..functions.fuzz import address_udf
 from ..functions.text import case_phrase, cover_score, fast_similarity, inner_acronyms, to_ascii, tokens
+from . import grid
 from .joins import dictionary_join, edit_join, expand_variants, phrase_windows
+from .names import parser as person_parser
 
 # fixed values
-MAX_FATAL, COLUMN_SCORE, SUBTYPING_RATIO, MIN_SHARE = 5, 10.0, 2.0, 10.0
+MAX_FATAL, MAX_ERROR_RATE, ERROR_RATE_FROM, COLUMN_SCORE, SUBTYPING_RATIO, MIN_SHARE = 5, 20, 100, 10.0, 2.0, 10.0
+#: A lexicon's least number of distinct hits is the logarithm of its size to these bases.
+LABEL_BASE, PHRASE_BASE = 1.8, 1.5
 SAMPLE_ROWS, CHUNK_ROWS = 3000, 3000
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL = r"https?://[^\s<>\"]+"
@@ -33,7 +37,26 @@ PARENTS = {
     "Publication": ("DOI", "ISSN", "Titre de revue", "Article"),
 }
 OTHERS = "Autres types"
+#: Words that a type is also found by.
+TAGS = {
+    "Nom de personne": ("Nom", "Nom de personne"), "Prénom": ("Nom de personne",), "Nom": ("Patronyme", "Nom de personne"),
+    "Email": ("Adresse", "Courriel"), "URL": ("Adresse",), "Code INSEE": ("ID", "Code", "Numéro"), "NIF": ("ID",), "NIR": ("ID",),
+    "Numéro National de Structure": ("Numéro National de Structure", "NumNatStruct", "RNSR"), "TVA": ("ID",),
+    "Intitulé GRID": ("ID", "GRID", "Recherche", "Index"), "Année": ("Date",), "Mois": ("Date",), "Téléphone": ("Numéro",), "Adresse": ("Entité Géo",),
+    "Code Postal": ("CP", "Code", "Adresse", "Entité Géo"), "Pays": ("Adresse", "Entité Géo"), "Commune": ("Ville", "Adresse", "Entité Géo"),
+    "Voie": ("Rue", "Adresse", "Entité Géo"), "Département": ("Adresse", "Entité Géo"), "Région": ("Adresse", "Entité Géo"),
+    "ID": ("Identifiant", "Code", "Numéro"), "ID organisation": ("Organisation", "Structure", "Identifiant", "Code", "Numéro"),
+    "ID personne": ("Personne", "Individu", "Identifiant", "Code", "Numéro"), "Entreprise": ("Société", "Organisation"),
+    "SIREN": ("Identifiant", "Numéro"), "SIRET": ("Identifiant", "Numéro"), "ID publication": ("Publication", "Identifiant", "Numéro"),
+    "DOI": ("Identifiant", "Numéro"), "UAI": ("Identifiant", "Numéro"), "Numéro UMR": ("Identifiant", "Numéro", "Recherche"),
+    "Structure de recherche": ("Organisation", "Structure", "Recherche"), "Partenaire de recherche": ("Organisation", "Structure", "Recherche"),
+    "Institution de recherche": ("Recherche",), "Education Nationale": ("Education", "Enseignement"), "Académie": ("Enseignement",),
+    "Etablissement": ("Enseignement",), "Etablissement des premier et second degrés": ("Primaire", "Secondaire", "Lycée", "Collège"),
+    "Etablissement d'Enseignement Supérieur": ("Enseignement supérieur",), "Corps et Grades": ("Corps", "Grade", "Fonction publique"),
+}
 # end of fixed values
+#: Rows of a bucket in which failures are counted in order.
+BUCKET_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -170,35 +193,51 @@ def header_types(headers: list[str], names: DataFrame) -> DataFrame:
     return hits.withColumn("n", F.row_number().over(w)).where("n = 1").select(F.col("value").alias("header"), "type", "score")
 
 
-def bail_out(cells: DataFrame, hits: DataFrame, max_fatal: int = MAX_FATAL, chunk_rows: int | None = None) -> DataFrame:
-    """Hits that a matcher finds before it gives up on the column: after max_fatal + 1 cells without a match, in row order.
+def bail_out(cells: DataFrame, hits: DataFrame, max_fatal: int = MAX_FATAL, chunk_rows: int | None = None, fatal: bool = True) -> DataFrame:
+    """Hits that a matcher finds before it gives up on the column, in row order.
 
-    Order-dependent, for comparison with sequential runs; without it whole columns are judged.
+    It gives up after max_fatal + 1 cells without a match; where failures aren't fatal, as soon as they are more than
+    MAX_ERROR_RATE percent of ERROR_RATE_FROM cells or more. Order-dependent, for comparison with sequential runs;
+    without it whole columns are judged. Failures are counted in buckets of row ids, then in order inside each bucket,
+    so no task sorts a column.
     """
     kinds = hits.select("col", "matcher").distinct()
     hit = hits.select("row_id", "col", "matcher").distinct().withColumn("ok", F.lit(1))
+    chunk = F.floor(F.col("row_id") / chunk_rows) if chunk_rows else F.lit(0).cast("long")
     every = cells.select("row_id", "col").join(kinds, "col").join(hit, ["row_id", "col", "matcher"], "left")
-    chunk = [F.floor(F.col("row_id") / chunk_rows)] if chunk_rows else []
-    w = Window.partitionBy("matcher", "col", *chunk).orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
-    failed = F.coalesce(F.sum((F.col("ok").isNull()).cast("int")).over(w), F.lit(0))
-    live = every.withColumn("failed", failed).where(F.col("ok").isNotNull() & (F.col("failed") <= max_fatal))
-    return hits.join(live.select("row_id", "col", "matcher"), ["row_id", "col", "matcher"])
+    every = every.select("row_id", "col", "matcher", F.col("ok").isNull().cast("long").alias("bad"), chunk.alias("chunk"), F.floor(F.col("row_id") / BUCKET_ROWS).alias("bucket"))
+    keys = ["matcher", "col", "chunk"]
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = every.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k"))
+    sums = sums.select(*keys, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"))
+    inside = Window.partitionBy(*keys, "bucket").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
+    at = every.withColumn("n", F.count(F.lit(1)).over(inside)).withColumn("k", F.coalesce(F.sum("bad").over(inside), F.lit(0))).join(sums, [*keys, "bucket"])
+    seen, failed = F.col("n0") + F.col("n"), F.col("k0") + F.col("k")
+    over = failed > max_fatal if fatal else (seen >= ERROR_RATE_FROM) & (failed * 100 > seen * MAX_ERROR_RATE)
+    stops = at.where(over).groupBy(*keys).agg(F.min("row_id").alias("_stop"))
+    out = hits.withColumn("chunk", chunk).join(stops, keys, "left").where("_stop is null or row_id < _stop")
+    return out.select(*hits.columns)
 
 
-def label_diversity(n_labels: int) -> int:
-    """Distinct hits that a lexicon of so many labels must have in a column."""
-    return max(1, int(math.log(n_labels, 1.8))) if n_labels > 1 else 1
+def label_diversity(n_labels: int, base: float = LABEL_BASE) -> int:
+    """Distinct hits that a lexicon of so many labels must have in a column: the logarithm of its size, rounded up."""
+    return max(1, math.ceil(math.log(n_labels, base) - 1e-9)) if n_labels > 1 else 1
+
+
+def lexicon_diversity(lexicon: DataFrame, kind: str, base: float = LABEL_BASE) -> dict[str, int]:
+    """The least distinct hits of each type's matcher of a kind; lexicon: (type, key, label). One number for each type."""
+    sizes = lexicon.groupBy("type").agg(F.count_distinct("key").alias("n")).collect()
+    return {f"{r['type']}#{kind}": label_diversity(r["n"], base) for r in sizes}
 
 
 def posited(hits: DataFrame, diversity: dict[str, int] | None = None) -> DataFrame:
     """Hits of matchers with enough distinct hits in the column, without the types that were negated for the cell."""
     enough = hits.where("not negates").groupBy("matcher", "col").agg(F.count_distinct("hit").alias("n"))
-    least = F.lit(1)
-    for m, n in (diversity or {}).items():
-        least = F.when(F.col("matcher") == m, n).otherwise(least)
-    enough = enough.where(F.col("n") >= least).select("matcher", "col")
+    if diversity:
+        named = F.create_map(*[F.lit(x) for pair in sorted(diversity.items()) for x in pair])
+        enough = enough.where(F.col("n") >= F.coalesce(named[F.col("matcher")], F.lit(1)))
     negated = hits.where("negates").select("row_id", "col", "type").distinct()
-    return hits.where("not negates").join(enough, ["matcher", "col"]).join(negated, ["row_id", "col", "type"], "left_anti")
+    return hits.where("not negates").join(enough.select("matcher", "col"), ["matcher", "col"]).join(negated, ["row_id", "col", "type"], "left_anti")
 
 
 def column_scores(cells: DataFrame, hits: DataFrame, least: float = MIN_SHARE) -> DataFrame:
@@ -256,15 +295,108 @@ def roll_up(scores: DataFrame, edges: DataFrame) -> DataFrame:
     return scores.unionByName(up).groupBy("col", "type").agg(F.max("score").alias("score"))
 
 
-def infer(df: DataFrame, columns: list[str], row_id: str = "row_id", lexicon: DataFrame | None = None, header_names: DataFrame | None = None, level: int = 1, sample_rows: int | None = SAMPLE_ROWS, fail_fast: bool = False) -> dict:
-    """{'column_types', 'all_types'}; by default over the first sample_rows rows by row id, None: all rows."""
+def person_hits(cells: DataFrame, first_names: frozenset[str] | None = None) -> DataFrame:
+    """Values that name persons with a first and a last name; the hit is how they are written in the end."""
+    found = cells.where(F.length("value") >= 4).withColumn("people", person_parser(first_names, sure=True)("value"))
+    found = found.where(F.expr("size(people) > 0 and forall(people, p -> p.first != '' and p.last != '')"))
+    shown = F.array_join(F.transform("people", lambda p: F.concat_ws(" ", F.nullif(p["title"], F.lit("")), p["first"], F.upper(p["last"]))), "; ")
+    return found.select("row_id", "col", F.lit("Nom de personne#people").alias("matcher"), F.lit("Nom de personne").alias("type"), F.lit(100.0).alias("score"), F.lit(True).alias("full"), shown.alias("hit"), F.lit(False).alias("negates"))
+
+
+def grid_hits(cells: DataFrame, institutions: DataFrame) -> DataFrame:
+    """Values that match an institution; institutions: as grid.items(). Each distinct value is matched once."""
+    values = cells.where("value != ''").select("value").distinct()
+    source = values.select("value", F.col("value").alias("label"), F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("country"))
+    pairs = grid.candidates(source, "value", tokens("label"), institutions, "grid_id", F.flatten(F.transform("variants", lambda v: tokens(v))))
+    best = grid.best_items(source, "value", institutions, pairs).join(institutions.select("grid_id", F.col("label").alias("hit")), "grid_id")
+    found = cells.join(best.select(F.col("source_id").alias("value"), "hit"), "value")
+    return found.select("row_id", "col", F.lit("Intitulé GRID#grid").alias("matcher"), F.lit("Intitulé GRID").alias("type"), F.lit(100.0).alias("score"), F.lit(True).alias("full"), "hit", F.lit(False).alias("negates"))
+
+
+@dataclass(frozen=True)
+class Resources:
+    """What matchers need beside the cells: lexicons and reference tables. What isn't given has no matcher.
+
+    labels, phrases, close: (type, label), for labels that equal a cell, stand in it as a run of words, or are within two
+    edits of it. variants: type to (variant, main). vocabularies: type to terms. composites: as composite() gives them.
+    persons: whether persons' names are looked for, first_names: normal forms of first names. points: (label, street,
+    zip, city). institutions: as grid.items(). diversity: least distinct hits of a matcher, where it isn't that of its
+    lexicon's size. levels: the cost level from which a kind of matcher runs.
+    """
+
+    labels: DataFrame | None = None
+    phrases: DataFrame | None = None
+    close: DataFrame | None = None
+    variants: dict[str, DataFrame] = field(default_factory=dict)
+    vocabularies: dict[str, list[str]] = field(default_factory=dict)
+    composites: tuple[Matcher, ...] = ()
+    persons: bool = True
+    first_names: frozenset[str] | None = None
+    points: DataFrame | None = None
+    institutions: DataFrame | None = None
+    diversity: dict[str, int] = field(default_factory=dict)
+    levels: dict[str, int] = field(default_factory=lambda: {"labels": 0, "variants": 0, "vocabularies": 0, "phrases": 1, "close": 2, "composites": 2, "persons": 2, "acronyms": 2, "points": 2, "institutions": 2})
+
+
+def all_hits(cells: DataFrame, level: int = 1, resources: Resources | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """The hits of all matchers up to a cost level, and the least distinct hits of those that ask for more than one."""
+    r = resources or Resources()
+    on = {kind for kind, least in r.levels.items() if level >= least}
+    found = matchers(level)
+    if "vocabularies" in on:
+        found += [vocabulary(t, terms) for t, terms in sorted(r.vocabularies.items())]
+    if "composites" in on:
+        found += list(r.composites)
+    least = {f"{m.type}#{i}": m.min_diversity for i, m in enumerate(found) if m.min_diversity > 1}
+    hits = expression_hits(cells, found)
+    if r.labels is not None and "labels" in on:
+        lexicon = lexicon_table(r.labels)
+        hits, least = hits.unionByName(label_hits(cells, lexicon)), least | lexicon_diversity(lexicon, "label")
+    if r.close is not None and "close" in on:
+        lexicon = lexicon_table(r.close)
+        hits, least = hits.unionByName(label_hits(cells, lexicon, close=True)), least | lexicon_diversity(lexicon, "close")
+    if r.phrases is not None and "phrases" in on:
+        lexicon = lexicon_table(r.phrases, tokenize=True)
+        hits, least = hits.unionByName(phrase_hits(cells, lexicon)), least | lexicon_diversity(lexicon, "phrase", PHRASE_BASE)
+    if "variants" in on:
+        for t, table in sorted(r.variants.items()):
+            hits = hits.unionByName(variant_hits(cells, table, t))
+    if r.persons and "persons" in on:
+        hits = hits.unionByName(person_hits(cells, r.first_names))
+    if "acronyms" in on:
+        hits = hits.unionByName(acronym_hits(cells))
+    if r.points is not None and "points" in on:
+        near = address_hits(cells, r.points)
+        hits = hits.unionByName(near.select("row_id", "col", F.lit("Adresse#points").alias("matcher"), F.lit("Adresse").alias("type"), F.lit(100.0).alias("score"), F.lit(True).alias("full"), F.col("label").alias("hit"), F.lit(False).alias("negates")))
+    if r.institutions is not None and "institutions" in on:
+        hits = hits.unionByName(grid_hits(cells, r.institutions))
+    return hits, least | r.diversity
+
+
+def type_tags(parents: dict[str, tuple[str, ...]] = PARENTS) -> dict[str, list[str]]:
+    """Words by which each type is found: its own, its name, and those of the types above it."""
+    tags = {t: [*words, *([t] if t not in words else [])] for t, words in TAGS.items()}
+    for parent, children in parents.items():
+        for word in tags.setdefault(parent, [parent]):
+            for child in children:
+                own = tags.setdefault(child, [])
+                if word not in own:
+                    own.append(word)
+    return tags
+
+
+def infer(df: DataFrame, columns: list[str], row_id: str = "row_id", lexicon: DataFrame | None = None, header_names: DataFrame | None = None, level: int = 1, sample_rows: int | None = SAMPLE_ROWS, fail_fast: bool = False, resources: Resources | None = None) -> dict:
+    """{'column_types', 'all_types', 'type_tags'}; by default over the first sample_rows rows by row id, None: all rows.
+
+    All matchers that the level and the resources allow take part; lexicon is short for resources with these labels.
+    """
+    if resources is None:
+        resources = Resources(labels=lexicon)
     rows = df.where(F.col(row_id) < sample_rows) if sample_rows is not None else df
     cells = cells_of(rows, columns, row_id)
-    hits = expression_hits(cells, matchers(level))
-    if lexicon is not None:
-        hits = hits.unionByName(label_hits(cells, lexicon_table(lexicon)))
+    hits, least = all_hits(cells, level, resources)
     if fail_fast:
         hits = bail_out(cells, hits)
-    found = [(r["col"], r["type"], r["score"]) for r in column_scores(cells, posited(hits)).collect()]
+    found = [(r["col"], r["type"], r["score"]) for r in column_scores(cells, posited(hits, least)).collect()]
     headers = {r["header"]: r["type"] for r in header_types(columns, header_names).collect()} if header_names is not None else {}
-    return {"column_types": decide(columns, found, headers), "all_types": hierarchy([t for _, t, _ in found])}
+    return {"column_types": decide(columns, found, headers), "all_types": hierarchy([t for _, t, _ in found]), "type_tags": type_tags()}

@@ -5,17 +5,19 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions import fuzz
 from ..functions.text import acronym, bracketed_acronym, case_phrase, research_unit, tokens
 
 # fixed values
 MAX_TOKENS, MAX_CANDIDATES, MIN_STRING = 8, 32, 20
-CATEGORIES = [
-    (r"\bunivers", "university"), (r"\b(hospital|hopital|chu|clinic|clinique)", "hospital"), (r"\b(institut|laborato|centre de recherche|research)", "research"),
-    (r"\b(ecole|school|college|lycee)", "school"), (r"\b(ministere|ministry|agence|agency)", "government"), (r"\b(sa|sas|sarl|inc|ltd|gmbh|company|societe)\b", "company"),
-]
+CATEGORIES = {  # parts of words that tell what an institution is
+    "University": ("univ[a-z]*", "facult.", "campus", "departe?ment"), "School": ("scol[a-z]*", "school"),
+    "Company": ("ltd", "inc", "sas", "gmbh", "sarl", "sa", "ab"),
+    "Medical": ("medic[a-z]*", "hospi[a-z]*", "hopi.[a-z]*", "clini[a-z]*", "chu", "ch", "klinik", "service"),
+    "Research": ("unite", "unit", "lab[a-z]*", "recherche", "umr", "ufr", "cnrs", "cea"), "Other": ("committee", "comite", "agence", "institute", "bureau"),
+}
 GENERIC = ("university", "universite", "institute", "institut", "school", "ecole", "centre", "center", "college", "hospital", "laboratory", "laboratoire", "research", "national", "department")
 # end of fixed values
 
@@ -34,16 +36,39 @@ def items(grid: DataFrame, aliases: DataFrame, labels: DataFrame, acronyms: Data
         out = out.join(lists(df.withColumnRenamed("label", "label") if c == "label" else df, c, n), "grid_id", "left")
     empty = F.array().cast("array<string>")
     names = F.array_distinct(F.concat(F.array("label"), F.coalesce("aliases", empty), F.coalesce("labels", empty)))
-    full = F.array(F.col("label"), F.concat_ws(" ", "label", "country"), F.concat_ws(" ", "label", "city", "country"), F.concat_ws(" ", "label", "city", "state", "country"))
-    variants = F.array_distinct(F.concat(names, full))
+    def full(name: Column) -> Column:
+        return F.array(F.concat_ws(" ", name, "country"), F.concat_ws(" ", name, "city", "country"), F.concat_ws(" ", name, "city", "state", "country"))
+
+    variants = F.array_distinct(F.concat(names, F.flatten(F.transform(names, full))))
     return out.select("grid_id", "label", "city", "country", variants.alias("variants"), *[F.coalesce(c, empty).alias(c) for c in ("acros", "urls", "parents")])
 
 
+def categories(label: str) -> Column:
+    """What the words of a label say an institution is: for each word the first category that a part of it belongs to."""
+    def of(word: Column) -> Column:
+        return F.coalesce(*[F.when(word.rlike("|".join(parts)), F.lit(name)) for name, parts in CATEGORIES.items()])
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(tokens(label), of))))
+
+
+def domain(url: Column) -> Column:
+    """The name in an address: what stands between its first two full stops, hyphens as spaces."""
+    return F.nullif(F.trim(case_phrase(F.replace(F.regexp_extract(url, r"^[^.]*\.([^.]+)\.", 1), F.lit("-"), F.lit(" ")))), F.lit(""))
+
+
 def enrich(df: DataFrame, label: str = "label") -> DataFrame:
-    """Adds acronym variants, a research unit's id and a category out of the label."""
+    """Adds acronym variants, a research unit's id and categories out of the label."""
     acros = F.array_compact(F.array(acronym(tokens(label)), bracketed_acronym(label)))
-    cat = F.coalesce(*[F.when(case_phrase(label).rlike(p), F.lit(n)) for p, n in CATEGORIES])
-    return df.withColumn("acro", F.array_distinct(acros)).withColumn("ur_id", research_unit(label)).withColumn("category", cat)
+    return df.withColumn("acro", F.array_distinct(acros)).withColumn("ur_id", research_unit(label)).withColumn("categories", categories(label))
+
+
+def with_country(source: DataFrame, source_id: str, countries: DataFrame, label: str = "label") -> DataFrame:
+    """source with a country where it has none: the first word of the label that is the name of one. countries: (country)."""
+    known = countries.where("country is not null").groupBy(F.trim(case_phrase("country")).alias("word")).agg(F.min("country").alias("_found"))
+    words = source.select(F.col(source_id).alias("_id"), F.posexplode(tokens(label)).alias("at", "word")).join(known, "word")
+    first = words.groupBy("_id").agg(F.min_by("_found", "at").alias("_found"))
+    out = source.join(first, F.col(source_id) == F.col("_id"), "left")
+    return out.withColumn("country", F.coalesce("country", "_found")).select(*dict.fromkeys([*source.columns, "country"]))
 
 
 def token_counts(df: DataFrame, c: Column) -> DataFrame:
@@ -96,16 +121,40 @@ def words_score(a: str, b: str) -> float:
     return s * t / 100
 
 
-def string_score(a: str, b: str) -> float:
-    """The better of the scores by characters and by words; 60 and less count for nothing."""
-    best = max(char_score(a, b), words_score(a, b))
-    return best if best > 60 else 0.0
+def translated(text: str, dictionary: dict[str, str]) -> str:
+    return " ".join(dictionary.get(w, w) for w in text.split())
+
+
+def string_score(a: str, b: str, dictionary: dict[str, str] | None = None) -> float:
+    """The best of the scores by characters, by words and, with a dictionary (word to its main form), by translated words;
+    60 and less count for nothing."""
+    scores = [0.0]
+    if 200 * min(len(a), len(b)) > 60 * (len(a) + len(b)):  # else no ratio of theirs is above 60
+        scores += [char_score(a, b), words_score(a, b)]
+    if dictionary:
+        scores.append(words_score(translated(a, dictionary), translated(b, dictionary)))
+    return best if (best := max(scores)) > 60 else 0.0
+
 
+def best_string_score(dictionary: dict[str, str] | None = None):
+    """A column function: the best score of the variants of two rows (arrays of normalized texts), and which they are."""
+    @F.pandas_udf(StructType([StructField("score", DoubleType()), StructField("a", StringType()), StructField("b", StringType())]))
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out, known = [], {}
+        for p, q in zip(a, b, strict=True):
+            best = (0.0, None, None)
+            for x in p if p is not None else ():
+                for y in q if q is not None else ():
+                    if best[0] == 100:
+                        break
+                    if (x, y) not in known:
+                        known[x, y] = string_score(x, y, dictionary)
+                    if known[x, y] > best[0]:
+                        best = (known[x, y], x, y)
+            out.append(best)
+        return pd.DataFrame(out, columns=["score", "a", "b"])
 
-@F.pandas_udf(DoubleType())
-def best_string_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The best score of the variants of two rows (arrays of normalized texts)."""
-    return pd.Series([max((string_score(x, y) for x in p for y in q), default=0.0) if p is not None and q is not None else 0.0 for p, q in zip(a, b, strict=True)])
+    return run
 
 
 def place_score(a: Column, b: Column) -> Column:
@@ -113,19 +162,27 @@ def place_score(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), 50.0).when(fuzz.ratio_udf(F.lower(a), F.lower(b)) > 80, 100.0).otherwise(0.0)
 
 
-def best_items(source: DataFrame, source_id: str, ref: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(source_id, grid_id, score): the best accepted candidate of each source row.
+def best_items(source: DataFrame, source_id: str, ref: DataFrame, pairs: DataFrame, dictionary: dict[str, str] | None = None) -> DataFrame:
+    """(source_id, grid_id, score, reason): the best accepted candidate of each source row, of equal ones the greatest id.
 
-    source: source_id, label, city, country; ref: as items(). Accepted are string scores of 20 or more whose product
-    with those of country and city, over 10000, is a tenth or more.
+    source: source_id, label, city, country; ref: as items(). Rows that both have categories share one. Names are
+    compared in all variants; the same research unit, or the name in an address of the reference row, counts 100.
+    Accepted are string scores of 20 or more whose product with those of country and city, over 10000, is a tenth or
+    more. dictionary: words to their main form, for a comparison of translated words.
     """
-    s = enrich(source).select(F.col(source_id).alias("source_id"), F.concat(F.array(F.trim(case_phrase("label"))), F.transform("acro", lambda x: F.lower(x))).alias("sv"), F.col("city").alias("s_city"), F.col("country").alias("s_country"), F.col("category").alias("s_cat"))
-    r = enrich(ref).select(F.col("grid_id").alias("ref_id"), F.transform(F.concat("variants", "acros"), lambda x: F.trim(case_phrase(x))).alias("rv"), "city", "country", "category")
-    m = pairs.join(s, "source_id").join(r, "ref_id").where("s_cat is null or category is null or s_cat = category")
-    m = m.withColumn("string", best_string_score("sv", "rv")).where(F.col("string") >= MIN_STRING)
-    m = m.withColumn("score", F.col("string") * place_score(F.col("s_country"), F.col("country")) * place_score(F.col("s_city"), F.col("city")) / 10000).where(F.col("score") >= MIN_STRING * 50 / 100)
-    best = m.groupBy("source_id").agg(F.max_by(F.struct("ref_id", "score"), F.struct("score", "ref_id")).alias("b"))
-    return best.select("source_id", F.col("b.ref_id").alias("grid_id"), F.col("b.score").alias("score"))
+    s = enrich(source).select(F.col(source_id).alias("source_id"), F.concat(F.array(F.trim(case_phrase("label"))), F.transform("acro", lambda x: F.lower(x))).alias("sv"), F.col("city").alias("s_city"), F.col("country").alias("s_country"), F.col("categories").alias("s_cat"), F.col("ur_id").alias("s_ur"))
+    r = enrich(ref).select(F.col("grid_id").alias("ref_id"), F.transform(F.concat("variants", "acros"), lambda x: F.trim(case_phrase(x))).alias("rv"), "city", "country", "categories", "ur_id", F.array_compact(F.transform("urls", domain)).alias("domains"))
+    m = pairs.join(s, "source_id").join(r, "ref_id").where("size(s_cat) = 0 or size(categories) = 0 or arrays_overlap(s_cat, categories)")
+    m = m.withColumn("names", best_string_score(dictionary)("sv", "rv"))
+    unit, address = F.coalesce(F.col("s_ur") == F.col("ur_id"), F.lit(False)), F.arrays_overlap("sv", "domains")
+    m = m.withColumn("string", F.when(unit | F.coalesce(address, F.lit(False)), 100.0).otherwise(F.col("names.score"))).where(F.col("string") >= MIN_STRING)
+    m = m.withColumn("in_country", place_score(F.col("s_country"), F.col("country"))).withColumn("in_city", place_score(F.col("s_city"), F.col("city")))
+    m = m.withColumn("score", F.col("string") * F.col("in_country") * F.col("in_city") / 10000).where(F.col("score") >= MIN_STRING * 50 / 100)
+    said = F.when(F.col("names.score") >= F.col("string"), F.concat(F.lit('Matching variants "'), F.col("names.a"), F.lit('" / "'), F.col("names.b"), F.lit('"')))
+    said = said.when(unit, F.concat(F.lit("Matching research unit IDs "), F.col("ur_id"))).otherwise(F.lit("Matching URL"))
+    reason = F.concat_ws(" + ", said, F.when(F.col("in_country") == 100, F.concat(F.lit("Matching countries "), F.col("s_country"), F.lit(" / "), F.col("country"))), F.when(F.col("in_city") == 100, F.concat(F.lit("Matching cities "), F.col("s_city"), F.lit(" / "), F.col("city"))))
+    best = m.withColumn("reason", reason).groupBy("source_id").agg(F.max_by(F.struct("ref_id", "score", "reason"), F.struct("score", "ref_id")).alias("b"))
+    return best.select("source_id", F.col("b.ref_id").alias("grid_id"), F.col("b.score").alias("score"), F.col("b.reason").alias("reason"))
 
 
 def parent_fallback(matched: DataFrame, source: DataFrame, source_id: str, parent_label: str, label: str) -> DataFrame:

@@ -8,14 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import case_phrase, char_ngrams, tokens
+from ..sources.shared import stored
 
 # fixed values
 K1, B = 1.2, 0.75
 MANUAL_CONFIDENCE, DECISION, MAX_PAIRS, MAX_SEARCH_VALUES = 999.0, 1.0, 5, 15
 LINK_COLUMNS = ("__ID_REF", "__ES_SCORE", "__THRESH", "__CONFIDENCE", "__IS_MATCH")
 # end of fixed values
-#: Postings of a term are dealt to tasks in slices of so many rows.
-SLICE_ROWS = 10_000
+#: Postings of a term are dealt to tasks in slices of so many rows. For a first bound on a row's best score, so many of
+#: its rarest terms and about so many postings of each are looked at.
+SLICE_ROWS, FIRST_TERMS, FIRST_ROWS = 10_000, 3, 32
+#: Source rows that a labeller asks about.
+SAMPLE_ROWS = 3000
+#: Scores that differ by less are equal.
+EPSILON = 1e-6
 
 
 @dataclass(frozen=True)
@@ -45,8 +51,21 @@ def column_matches(found: list[dict]) -> list[ColumnMatch]:
     return out
 
 
-def analyze(c: str, analyzer: str) -> Column:
-    """Terms of a text column: keyword, words, n_grams or integers."""
+#: Endings that establishment terms lose, longest first; what is left has three letters at least.
+ENDINGS = "issements|issement|ements|ement|ations|ation|iques|ique|aires|aire|euses|euse|elles|elle|aux|eurs|eur|ives|ive|ites|ite|ees|ee|es|s|e"
+
+
+def light_stem(word: Column) -> Column:
+    """A word without one ending of number, gender or derivation, so that forms of one word meet."""
+    return F.regexp_replace(word, f"^([a-z]{{3,}}?)(?:{ENDINGS})$", "$1")
+
+
+def analyze(c: str, analyzer: str, phrases: tuple[str, ...] = ()) -> Column:
+    """Terms of a text column: keyword, words, establishment (stemmed words), n_grams, integers, city or country.
+
+    city and country keep those of the given phrases, brought to a normal form, that the text holds as whole words; the
+    lists are parameters (a lexicon's labels). Without a list they give the words, each by itself.
+    """
     value = F.coalesce(F.col(c).cast("string"), F.lit(""))
     if analyzer == "keyword":
         return F.filter(F.array(F.trim(case_phrase(value))), lambda t: t != "")
@@ -56,16 +75,33 @@ def analyze(c: str, analyzer: str) -> Column:
         return F.regexp_extract_all(value, F.lit("([0-9]+)"), 1)
     if analyzer == "words":
         return tokens(value)
+    if analyzer == "establishment":
+        return F.transform(tokens(value), light_stem)
+    if analyzer in ("city", "country"):
+        if not phrases:
+            return tokens(value)
+        text = F.concat(F.lit(" "), F.regexp_replace(F.trim(case_phrase(value)), r"\s+", " "), F.lit(" "))
+        known = F.array(*[F.regexp_replace(F.trim(case_phrase(F.lit(p))), r"\s+", " ") for p in phrases])
+        return F.filter(known, lambda p: (p != "") & F.contains(text, F.concat(F.lit(" "), p, F.lit(" "))))
     raise ValueError(f"no analyzer {analyzer}")
 
 
-# fixed values: analyzers of a column by its type
+# fixed values: sets of analyzers, and the set of a column by its type
+PLACE_SET, CITY_SET, COUNTRY_SET = ("establishment", "n_grams", "integers", "city", "country"), ("establishment", "n_grams", "city"), ("establishment", "n_grams", "country")
+MIXED_SET, TEXT_SET, CODE_SET, EXACT_SET = ("establishment", "n_grams", "integers"), ("establishment", "n_grams"), ("n_grams", "integers"), ("keyword",)
 ANALYZERS = {
-    "Commune": ("words", "n_grams"), "Pays": ("words",), "Code Postal": ("integers", "keyword"), "Année": ("integers",),
-    "SIREN": ("keyword",), "SIRET": ("keyword",), "UAI": ("keyword",), "Email": ("keyword",), "URL": ("keyword",),
-    "Adresse": ("words", "n_grams", "integers"),
+    "Académie": PLACE_SET, "Adresse": PLACE_SET, "Entité MESR": PLACE_SET, "Entreprise": PLACE_SET, "Etablissement": PLACE_SET,
+    "Etablissement d'Enseignement Supérieur": PLACE_SET, "Etablissement des premier et second degrés": PLACE_SET, "Institution": PLACE_SET,
+    "Institution de recherche": PLACE_SET, "Intitulé GRID": PLACE_SET, "Région": PLACE_SET, "Structure de recherche": PLACE_SET,
+    "Commune": CITY_SET, "Pays": COUNTRY_SET,
+    "Article": MIXED_SET, "Département": MIXED_SET, "Entité agro": MIXED_SET, "Entité biomédicale": MIXED_SET, "Phyto": MIXED_SET, "Publication": MIXED_SET, "Texte": MIXED_SET,
+    "Corps et Grades": TEXT_SET, "Date": TEXT_SET, "Nom": TEXT_SET, "Nom de personne": TEXT_SET, "Prénom": TEXT_SET, "Spécialité médicale": TEXT_SET, "Titre": TEXT_SET,
+    "Année": CODE_SET, "Code INSEE": CODE_SET, "Code Postal": CODE_SET, "DOI": CODE_SET, "ID": CODE_SET, "ID organisation": CODE_SET, "ID personne": CODE_SET,
+    "ID publication": CODE_SET, "ISSN": CODE_SET, "Mois": CODE_SET, "NIF": CODE_SET, "NIR": CODE_SET, "Numéro National de Structure": CODE_SET, "Numéro UMR": CODE_SET,
+    "SIREN": CODE_SET, "SIRET": CODE_SET, "Téléphone": CODE_SET, "UAI": CODE_SET, "URL": CODE_SET, "Voie": CODE_SET,
+    "Email": EXACT_SET,
 }
-ALL_ANALYZERS = ("words", "n_grams", "integers")
+ALL_ANALYZERS = PLACE_SET
 # end of fixed values
 
 
@@ -87,40 +123,97 @@ def field_stats(posted: DataFrame, n_rows: DataFrame) -> DataFrame:
     return per_row.groupBy("field", "analyzer").agg(F.avg("dl").alias("avgdl")).crossJoin(F.broadcast(n_rows))
 
 
-def bm25_scores(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], common_share: float | None = None, index: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
-    """(source_id, ref_id, score): the sum over clauses of boost times BM25, for pairs that share a term.
+def key_of(field: Column | str, analyzer: Column | str, term: Column | str) -> Column:
+    return F.concat_ws("\x01", field, analyzer, term)
 
-    A pair has to share a term of each must clause. All terms find candidates and count, however common; the join is on
-    (field, analyzer, term) and slices of a hot term's postings, so that one term fills many tasks. With common_share,
-    terms in more than this share of the reference rows are left out of both, which loses pairs.
-    candidates: (ref_id), if only these rows are to be found; statistics count all rows.
-    """
-    wanted: dict[str, tuple[str, ...]] = {}
-    for c in template:
-        wanted[c.ref] = tuple(dict.fromkeys((*wanted.get(c.ref, ()), c.analyzer)))
-    posted = index if index is not None else postings(ref, ref_id, wanted)
-    n_rows = ref.agg(F.count(F.lit(1)).alias("n_docs"))
+
+def weighted(posted: DataFrame, n_rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Postings with what each adds to a score: (key, ref_id, impact, df, slice, slices). among: (ref_id), if only these
+    rows are to be found; the statistics count all rows."""
     stats = field_stats(posted, n_rows)
     df = posted.groupBy("field", "analyzer", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), ["field", "analyzer"])
-    if common_share is not None:
-        df = df.where((F.col("df") <= common_share * F.col("n_docs")) | (F.col("df") <= F.lit(1)) | (F.col("n_docs") * common_share < 1))
-    df = df.withColumn("slices", F.ceil(F.col("df") / SLICE_ROWS))
-    idf = df.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("field", "analyzer", "term", "idf", "avgdl", "slices")
+    idf = df.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("field", "analyzer", "term", "df", "idf", "avgdl")
+    found = posted if among is None else posted.join(among, "ref_id", "left_semi")
+    impact = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    slices = F.ceil(F.col("df") / SLICE_ROWS)
+    return found.join(idf, ["field", "analyzer", "term"]).select(key_of("field", "analyzer", "term").alias("key"), "ref_id", impact.alias("impact"), "df", F.pmod(F.xxhash64("ref_id"), slices).alias("slice"), slices.alias("slices"))
+
+
+def asked_terms(source: DataFrame, source_id: str, template: list[Clause]) -> DataFrame:
+    """(source_id, clause, key, boost): each distinct term that a source row asks a clause for."""
     clauses = [F.struct(F.lit(i).alias("clause"), F.lit(c.ref).alias("field"), F.lit(c.analyzer).alias("analyzer"), F.lit(float(c.boost)).alias("boost"), F.array_distinct(analyze(c.source, c.analyzer)).alias("terms")) for i, c in enumerate(template)]
     asked = source.select(F.col(source_id).alias("source_id"), F.inline(F.array(*clauses))).select("source_id", "clause", "field", "analyzer", "boost", F.explode("terms").alias("term"))
-    found = posted if candidates is None else posted.join(candidates, "ref_id", "left_semi")
-    hot = df.where("slices > 1").select("field", "analyzer", "term", F.col("slices").alias("_n"))
-    found = found.join(F.broadcast(hot), ["field", "analyzer", "term"], "left").withColumn("slice", F.pmod(F.xxhash64("ref_id"), F.coalesce("_n", F.lit(1)))).drop("_n")
-    asked = asked.join(idf, ["field", "analyzer", "term"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    met = asked.join(found, ["field", "analyzer", "term", "slice"])
-    part = F.col("boost") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    must = [i for i, c in enumerate(template) if c.kind == "must"]
-    out = met.groupBy("source_id", "ref_id").agg(F.sum(part).alias("score"), F.collect_set("clause").alias("clauses"))
+    return asked.select("source_id", "clause", key_of("field", "analyzer", "term").alias("key"), "boost")
+
+
+def index_of(ref: DataFrame, ref_id: str, template: list[Clause]) -> DataFrame:
+    wanted: dict[str, tuple[str, ...]] = {}
+    for c in template:
+        wanted[c.ref] = tuple(dict.fromkeys((*wanted.get(c.ref, ()), c.analyzer)))
+    return postings(ref, ref_id, wanted)
+
+
+def must_of(template: list[Clause]) -> list[int]:
+    return [i for i, c in enumerate(template) if c.kind == "must"]
+
+
+def _met(asked: DataFrame, postings_: DataFrame) -> DataFrame:
+    """asked joined with postings on the key; slices of a hot term's postings fill many tasks."""
+    hot = postings_.where("slices > 1").select("key", "slices").distinct()
+    spread = asked.join(hot, "key", "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+    return spread.join(postings_.select("key", "slice", "ref_id", "impact"), ["key", "slice"])
+
+
+def bm25_scores(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], index: DataFrame | None = None) -> DataFrame:
+    """(source_id, ref_id, score): the sum over clauses of boost times BM25, for all pairs that share a term, of each must
+    clause one at least. All terms count, however common; for the best pair of each row best_scores is the way."""
+    posted = index if index is not None else index_of(ref, ref_id, template)
+    met = _met(asked_terms(source, source_id, template), weighted(posted, ref.agg(F.count(F.lit(1)).alias("n_docs"))))
+    must = must_of(template)
+    out = met.groupBy("source_id", "ref_id").agg(F.sum(F.col("boost") * F.col("impact")).alias("score"), F.collect_set("clause").alias("clauses"))
     if must:
         out = out.where(F.size(F.array_intersect("clauses", F.array(*[F.lit(i) for i in must]))) == len(must))
     return out.select("source_id", "ref_id", "score")
 
 
+def best_scores(asked: DataFrame, posted: DataFrame, must: list[int] | None = None, forbidden: DataFrame | None = None) -> DataFrame:
+    """(source_id, ref_id, score): of each source row the best pair, exactly; ties go to the smaller id, of any type.
+
+    asked: (source_id, clause, key, boost), posted: weighted(). Not all pairs are made. A few postings of a row's rarest
+    terms give pairs, the best of which bounds the best score from below. The terms that together can't reach that
+    bound, the common ones of little weight, needn't be expanded: a better pair has another term. So pairs come from
+    the other terms; those whose sum and what the rest can add stay under the bound leave; the others are scored in
+    full. forbidden: (source_id, ref_id) that can't be taken.
+    """
+    posted = stored(posted, "postings")
+    tops = posted.groupBy("key").agg(F.max("impact").alias("top"), F.max("df").alias("df"))
+    asked = stored(asked.join(tops, "key").withColumn("most", F.col("boost") * F.col("top")), "asked")
+    need = F.array(*[F.lit(i) for i in must or []]) if must else None
+    terms = asked.groupBy("source_id").agg(F.collect_list(F.struct("key", "clause", "boost")).alias("terms"))
+    vectors = posted.groupBy("ref_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "impact"))).alias("vector"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        if forbidden is not None:
+            pairs = pairs.join(forbidden.select("source_id", "ref_id"), ["source_id", "ref_id"], "left_anti")
+        both = pairs.join(terms, "source_id").join(vectors, "ref_id")
+        hits = F.expr("filter(transform(terms, t -> struct(t.clause as clause, t.boost * vector[t.key] as part)), t -> t.part is not null)")
+        both = both.select("source_id", "ref_id", hits.alias("hits"))
+        if need is not None:
+            both = both.where(F.size(F.array_intersect(F.expr("transform(hits, h -> h.clause)"), need)) == len(must))
+        return both.select("source_id", "ref_id", F.expr("aggregate(hits, 0D, (s, h) -> s + h.part)").alias("score"))
+
+    rare = asked.withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy("df", "key", "clause"))).where(F.col("_n") <= FIRST_TERMS)
+    few = posted.where(F.pmod(F.xxhash64("ref_id"), F.ceil(F.col("df") / FIRST_ROWS)) == 0)
+    bound = stored(scored(rare.join(few, "key").select("source_id", "ref_id").distinct()).groupBy("source_id").agg(F.max("score").alias("bound")), "bounds")
+    upto = Window.partitionBy("source_id").orderBy("most", "key", "clause").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = asked.join(bound, "source_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)) - EPSILON).withColumn("upto", F.sum("most").over(upto))
+    ranked = ranked.withColumn("rest", F.coalesce(F.max(F.when(F.col("upto") < F.col("bound"), F.col("upto"))).over(Window.partitionBy("source_id")), F.lit(0.0)))
+    met = _met(ranked.where("upto >= bound").select("source_id", "key", "boost", "bound", "rest"), posted)
+    pairs = met.groupBy("source_id", "ref_id").agg(F.sum(F.col("boost") * F.col("impact")).alias("part"), F.max("bound").alias("bound"), F.max("rest").alias("rest"))
+    best = scored(pairs.where("part + rest >= bound").select("source_id", "ref_id")).groupBy("source_id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "ref_id", "score")).alias("t"))
+    return best.select("source_id", "t.ref_id", "t.score")
+
+
 def with_filters(ref: DataFrame, must: dict[str, list[str]] | None = None, must_not: dict[str, list[str]] | None = None) -> DataFrame:
     """Reference rows with all must terms and none of the must_not terms in the named columns."""
     for c, terms in (must or {}).items():
@@ -134,11 +227,11 @@ def best_match(scores: DataFrame, thresh: float, exact_pairs: DataFrame | None =
     """(source_id, __ID_REF, __ES_SCORE, __THRESH, __CONFIDENCE, __IS_MATCH): one row per source row that has a hit.
 
     exact_pairs and non_matching: (source_id, ref_id). Forbidden pairs leave before the ranking; forced ones win with
-    confidence 999. Ties go to the smaller reference id.
+    confidence 999. Ties go to the smaller reference id, which may be of any type that has an order.
     """
     if non_matching is not None:
         scores = scores.join(non_matching.select("source_id", "ref_id"), ["source_id", "ref_id"], "left_anti")
-    top = scores.groupBy("source_id").agg(F.max_by(F.struct("ref_id", "score"), F.struct(F.round("score", 9), -F.col("ref_id"))).alias("t"))
+    top = scores.groupBy("source_id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "ref_id", "score")).alias("t"))
     out = top.select("source_id", F.col("t.ref_id").alias("__ID_REF"), F.col("t.score").alias("__ES_SCORE"), F.lit(float(thresh)).alias("__THRESH"), (F.col("t.score") / thresh).alias("__CONFIDENCE"))
     out = out.withColumn("__IS_MATCH", F.col("__CONFIDENCE") >= DECISION)
     return with_forced(out, thresh, exact_pairs) if exact_pairs is not None else out
@@ -150,46 +243,50 @@ def with_forced(out: DataFrame, thresh: float, exact_pairs: DataFrame) -> DataFr
     return out.join(forced.select("source_id"), "source_id", "left_anti").unionByName(forced)
 
 
-def bm25_best(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], thresh: float, exact_pairs: DataFrame | None = None, non_matching: DataFrame | None = None, common_share: float | None = None) -> DataFrame:
-    """best_match over bm25_scores, with equal rows taken together: a query that many source rows ask is answered once,
+def bm25_best(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], thresh: float, exact_pairs: DataFrame | None = None, non_matching: DataFrame | None = None) -> DataFrame:
+    """best_match by best_scores, with equal rows taken together: a query that many source rows ask is answered once,
     and of reference rows that read alike only the one of the smallest id, which wins ties, is a candidate (statistics
-    count all of them). Source rows with forbidden pairs are scored against every row."""
-    wanted: dict[str, tuple[str, ...]] = {}
-    for c in template:
-        wanted[c.ref] = tuple(dict.fromkeys((*wanted.get(c.ref, ()), c.analyzer)))
-    posted = postings(ref, ref_id, wanted)
-    first = ref.groupBy(*wanted).agg(F.min(ref_id).alias("ref_id")).select("ref_id")
-    asked = list(dict.fromkeys(c.source for c in template))
-    free = source if non_matching is None else source.join(non_matching.select(F.col("source_id").alias(source_id)).distinct(), source_id, "left_anti")
-    same = free.groupBy(*asked).agg(F.min(source_id).alias("_q"))
-    scores = bm25_scores(same.withColumnRenamed("_q", source_id), source_id, ref, ref_id, template, common_share, posted, first)
+    count all of them). Source rows with forbidden pairs are answered each, from every row."""
+    posted = stored(index_of(ref, ref_id, template), "index")
+    n_rows = ref.agg(F.count(F.lit(1)).alias("n_docs"))
+    first = ref.groupBy(*dict.fromkeys(c.ref for c in template)).agg(F.min(ref_id).alias("ref_id")).select("ref_id")
+    wanted = list(dict.fromkeys(c.source for c in template))
+    bound = None if non_matching is None else non_matching.select(F.col("source_id").alias(source_id)).distinct()
+    free = source if bound is None else source.join(bound, source_id, "left_anti")
+    same = free.groupBy(*wanted).agg(F.min(source_id).alias("_q"))
+    scores = best_scores(asked_terms(same, "_q", template), weighted(posted, n_rows, first), must_of(template))
     best = best_match(scores, thresh).withColumnRenamed("source_id", "_q")
     on = None
-    for c in asked:
+    for c in wanted:
         test = free[c].eqNullSafe(same[c])
         on = test if on is None else on & test
     out = free.join(same, on).select(free[source_id].alias("source_id"), "_q").join(best, "_q").drop("_q")
-    if non_matching is not None:
-        bound = source.join(non_matching.select(F.col("source_id").alias(source_id)).distinct(), source_id, "left_semi")
-        out = out.unionByName(best_match(bm25_scores(bound, source_id, ref, ref_id, template, common_share, posted), thresh, None, non_matching))
+    if bound is not None:
+        scores = best_scores(asked_terms(source.join(bound, source_id, "left_semi"), source_id, template), weighted(posted, n_rows), must_of(template), non_matching)
+        out = out.unionByName(best_match(scores, thresh))
     return with_forced(out, thresh, exact_pairs) if exact_pairs is not None else out
 
 
 def link(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], thresh: float, must=None, must_not=None, exact_pairs=None, non_matching=None) -> DataFrame:
-    """Source rows with the columns of their best reference row (`__REF`) and the link columns; all source rows stay."""
+    """Source rows with the columns of their best reference row (`__REF`) and the link columns; all source rows stay.
+
+    Every cell that the link writes counts as modified: each new column has a `__MODIFIED` flag, true where the row has
+    a reference row.
+    """
     allowed = with_filters(ref, must, must_not)
     best = bm25_best(source, source_id, allowed, ref_id, template, thresh, exact_pairs, non_matching)
     refs = ref.select(*[F.col(c).alias(f"{c}__REF") for c in ref.columns])
-    return source.join(best.withColumnRenamed("source_id", source_id), source_id, "left").join(refs, F.col("__ID_REF") == F.col(f"{ref_id}__REF"), "left")
+    out = source.join(best.withColumnRenamed("source_id", source_id), source_id, "left").join(refs, F.col("__ID_REF") == F.col(f"{ref_id}__REF"), "left")
+    return out.withColumns({f"{c}__MODIFIED": F.col("__ID_REF").isNotNull() for c in refs.columns})
 
 
 def token_overlap_top1(source: DataFrame, source_id: str, source_col: str, ref: DataFrame, ref_id: str, ref_col: str) -> DataFrame:
     """(source_id, ref_id, overlap): the row with most distinct common tokens, ties to the smaller id."""
-    a = source.select(F.col(source_id).alias("source_id"), F.explode(F.array_distinct(tokens(source_col))).alias("t"))
-    b = ref.select(F.col(ref_id).alias("ref_id"), F.explode(F.array_distinct(tokens(ref_col))).alias("t"))
-    n = a.join(b, "t").groupBy("source_id", "ref_id").agg(F.count(F.lit(1)).alias("overlap"))
-    best = n.groupBy("source_id").agg(F.max(F.struct("overlap", (-F.col("ref_id")).alias("m"))).alias("t"))
-    return best.select("source_id", (-F.col("t.m")).alias("ref_id"), F.col("t.overlap").alias("overlap"))
+    a = source.select(F.col(source_id).alias("source_id"), F.lit(0).alias("clause"), F.explode(F.array_distinct(tokens(source_col))).alias("key"), F.lit(1.0).alias("boost"))
+    b = ref.select(F.col(ref_id).alias("ref_id"), F.explode(F.array_distinct(tokens(ref_col))).alias("key"))
+    df = b.groupBy("key").agg(F.count(F.lit(1)).alias("df")).withColumn("slices", F.ceil(F.col("df") / SLICE_ROWS))
+    posted = b.join(df, "key").select("key", "ref_id", F.lit(1.0).alias("impact"), "df", F.pmod(F.xxhash64("ref_id"), F.col("slices")).alias("slice"), "slices")
+    return best_scores(a, posted).select("source_id", "ref_id", F.col("score").cast("long").alias("overlap"))
 
 
 def update_labels(linked: DataFrame, labels: DataFrame, source_id: str, refs: DataFrame, ref_id: str, keep_true: bool = False) -> DataFrame:
@@ -315,9 +412,51 @@ class Labeller:
     def clear_custom_search(self) -> None:
         self.searches = {}
 
+    def searched(self) -> DataFrame:
+        """The reference rows that the custom search asks for: in each of its columns one of the values' words."""
+        found = self.ref
+        for c, values in self.searches.items():
+            wanted = F.array_distinct(F.flatten(F.array(*[tokens(F.lit(v)) for v in values])))
+            found = found.where(F.arrays_overlap(analyze(c, "words"), wanted))
+        return found
+
+    def to_emit(self, template: int | None = None) -> dict | None:
+        """The next pair to be asked for: the first source row of the sample without an answer, with the best reference
+        row that wasn't refused for it (among those of the custom search, if there is one), and how far things are."""
+        done = {s for (s, _), ok in self.pairs.items() if ok}
+        sample = self.source.orderBy(self.source_id).limit(SAMPLE_ROWS)
+        kinds = [df.schema[i].dataType.simpleString() for df, i in ((self.source, self.source_id), (self.ref, self.ref_id))]
+        spark = self.source.sparkSession
+        refused = [(s, r) for (s, r), ok in self.pairs.items() if not ok]
+        left = sample.where(~F.col(self.source_id).isin(list(done))) if done else sample
+        ref = with_filters(self.searched(), self.must, self.must_not)
+        no = spark.createDataFrame(refused, f"source_id {kinds[0]}, ref_id {kinds[1]}") if refused else None
+        found = bm25_best(left, self.source_id, ref, self.ref_id, self.templates[template or 0], 1.0, None, no).orderBy("source_id").first()
+        if found is None:
+            return None
+        row = self.source.where(F.col(self.source_id) == F.lit(found["source_id"])).first()
+        other = self.ref.where(F.col(self.ref_id) == F.lit(found["__ID_REF"])).first()
+        return {"source_id": found["source_id"], "ref_id": found["__ID_REF"], "score": found["__ES_SCORE"], "source": row.asDict(), "ref": other.asDict(), "n_matches": len(done), "n_refused": len(refused)}
+
+    def threshold(self, template: int) -> float:
+        """The least score at which the template's links reach the target precision on the labelled pairs: the score
+        between the last right and the first wrong link that are still within it; 1.0 without labelled matches."""
+        right = {s: r for (s, r), ok in self.pairs.items() if ok}
+        if not right:
+            return 1.0
+        mine = self.source.where(F.col(self.source_id).isin(list(right)))
+        best = bm25_best(mine, self.source_id, with_filters(self.ref, self.must, self.must_not), self.ref_id, self.templates[template], 1.0)
+        found = sorted(((r["__ES_SCORE"], right[r["source_id"]] == r["__ID_REF"]) for r in best.collect()), reverse=True)
+        hits, thresh = 0, None
+        for n, (score, ok) in enumerate(found, 1):
+            hits += ok
+            if hits >= self.target_precision * n and (n == len(found) or found[n][0] < score):
+                thresh = score if n == len(found) else (score + found[n][0]) / 2
+        return float(thresh) if thresh is not None else float(found[0][0]) + EPSILON if found else 1.0
+
     def auto_label(self, source_key: str, ref_key: str) -> None:
         """Labels pairs of equal non-null keys as matches (the labeller's sample only: 3000 source rows at most)."""
-        a = self.source.orderBy(self.source_id).limit(3000).select(F.col(self.source_id).alias("s"), F.col(source_key).alias("k"))
+        a = self.source.orderBy(self.source_id).limit(SAMPLE_ROWS).select(F.col(self.source_id).alias("s"), F.col(source_key).alias("k"))
         for s, r in a.join(self.ref.select(F.col(self.ref_id).alias("r"), F.col(ref_key).alias("k")), "k").select("s", "r").collect():
             self.pairs[s, r] = True
 
@@ -327,11 +466,12 @@ class Labeller:
         right = [(s, r) for (s, r), ok in self.pairs.items() if ok]
         if not right:
             return [(0.0, 0.0, 0.0) for _ in self.templates]
-        truth = spark.createDataFrame(right, "source_id long, ref_id long")
+        kinds = [df.schema[i].dataType.simpleString() for df, i in ((self.source, self.source_id), (self.ref, self.ref_id))]
+        truth = spark.createDataFrame(right, f"source_id {kinds[0]}, ref_id {kinds[1]}")
         mine = self.source.join(truth.select(F.col("source_id").alias(self.source_id)).distinct(), self.source_id, "left_semi")
         out = []
         for t in self.templates:
-            best = best_match(bm25_scores(mine, self.source_id, with_filters(self.ref, self.must, self.must_not), self.ref_id, t), 1.0)
+            best = bm25_best(mine, self.source_id, with_filters(self.ref, self.must, self.must_not), self.ref_id, t, 1.0)
             q = template_quality(best.select("source_id", F.col("__ID_REF").alias("ref_id")), truth).first()
             p, r = q["precision"] or 0.0, q["recall"] or 0.0
             out.append((p, r, min(p / max(self.target_precision, 1e-9), 1) + min(r / max(self.target_recall, 1e-9), 1)))
@@ -340,7 +480,7 @@ class Labeller:
     def export_best_params(self) -> dict:
         quality = self.quality()
         k = max(range(len(quality)), key=lambda i: (quality[i][2], -i))
-        return {"query_template": self.templates[k], "must": self.must, "must_not": self.must_not, "thresh": 1.0, "exact_pairs": [p for p, ok in self.pairs.items() if ok], "non_matching_pairs": [p for p, ok in self.pairs.items() if not ok]}
+        return {"query_template": self.templates[k], "must": self.must, "must_not": self.must_not, "thresh": self.threshold(k), "exact_pairs": [p for p, ok in self.pairs.items() if ok], "non_matching_pairs": [p for p, ok in self.pairs.items() if not ok]}
 
     def to_json(self) -> dict:
         return {"pairs": [[s, r, ok] for (s, r), ok in self.pairs.items()], "must": self.must, "must_not": self.must_not, "targets": [self.target_precision, self.target_recall], "searches": self.searches}

@@ -59,7 +59,7 @@ def rules(top: DataFrame, usual: tuple[str, ...] = (), always: tuple[str, ...] =
         rule((F.col("n_vals") >= 4) & (F.col("by_len") == 1) & (LENGTH_RATIO * F.col("len") < F.col("next_len")), 0.2, "len_ratio"),
         rule((F.col("n_vals") >= 3) & (F.col("n_words") == 1) & ~F.col("digits") & F.col("val").rlike(r"^\p{L}+$"), F.when(F.col("n_vals") >= 4, 1.0).otherwise(0.5), "not_digit"),
         rule((F.col("n_punct") == 1) & F.col("punct"), 1.0, "punctuation"),
-        rule(F.lower("val").isin(*USUAL_FORMS, *usual), 0.5, "usual"),
+        rule(F.lower("val").isin(*USUAL_FORMS, *(x.lower() for x in usual)), 0.5, "usual"),
         rule(F.col("val").isin(*ALWAYS, *always), ALWAYS_SCORE, "usual"),
         rule((F.col("n_vals") >= 3) & (F.col("by_chars") == 1) & (F.col("len") > 1) & (F.col("chars") == 1) & (F.col("next_chars") >= 2), 0.7, "letter_repeted"),
     )

@@ -25,10 +25,10 @@ def link_exact_inner(spark: SparkSession, d: str) -> DataFrame:
     return joins.exact_link(read(spark, d, "nation"), read(spark, d, "region"), [(["n_regionkey"], ["r_regionkey"])]).select("n_nationkey", "n_name", "r_regionkey__REF", "r_name__REF")
 
 
-@query("link_exact_left", "SELECT o.o_orderkey, c.c_custkey AS c_custkey__REF, c.c_name AS c_name__REF FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON o.o_custkey = c.c_custkey")
+@query("link_exact_left", "SELECT c_custkey, o_orderkey AS o_orderkey__REF, o_custkey AS o_custkey__REF FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 def link_exact_left(spark: SparkSession, d: str) -> DataFrame:
-    third = read(spark, d, "customer").where("c_custkey % 3 = 0").select("c_custkey", "c_name")
-    return joins.exact_link(read(spark, d, "orders").select("o_orderkey", "o_custkey"), third, [(["o_custkey"], ["c_custkey"])], "left").select("o_orderkey", "c_custkey__REF", "c_name__REF")
+    """All customers with their orders; customers without one stay."""
+    return joins.exact_link(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").select("o_orderkey", "o_custkey"), [(["c_custkey"], ["o_custkey"])], "left").select("c_custkey", "o_orderkey__REF", "o_custkey__REF")
 
 
 @query("link_composite_key", f"SELECT a.p_partkey, b.k AS k__REF FROM part a JOIN (SELECT upper(p_name) AS n, p_brand AS b, min(p_partkey) AS k FROM part GROUP BY ALL) b ON {_key('a.p_name', 'a.p_brand')} = {_key('b.n', 'b.b')}")
@@ -69,7 +69,7 @@ def _bm25_sql(ref_where: str = "", forbid: str = "") -> str:
     return (
         f"WITH s AS ({_PART_A}), f AS (SELECT * FROM ({_PART_B}) {ref_where}), w AS (SELECT rid, {tokens_sql('r')} AS words FROM f), l AS (SELECT rid, len(words) AS dl, unnest(words) AS term FROM w),"
         " p AS (SELECT rid, dl, term, count(*) AS tf FROM l GROUP BY ALL), n AS (SELECT count(*) AS n FROM f), g AS (SELECT avg(dl) AS avgdl FROM (SELECT DISTINCT rid, dl FROM p)),"
-        " df AS (SELECT term, count(*) AS df FROM p GROUP BY term), i AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM df, n WHERE df <= 0.2 * n OR df <= 1 OR 0.2 * n < 1),"
+        " df AS (SELECT term, count(*) AS df FROM p GROUP BY term), i AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM df, n),"
         f" q AS (SELECT sid, unnest(list_distinct({tokens_sql('s')})) AS term FROM s),"
         " m AS (SELECT sid, rid, sum(2.0 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN i USING (term) JOIN p USING (term), g GROUP BY sid, rid),"
         f" k AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY round(score, 9) DESC, rid) AS k FROM m {forbid})"
@@ -77,8 +77,6 @@ def _bm25_sql(ref_where: str = "", forbid: str = "") -> str:
     )
 
 
-#: The SQL of the next three leaves out terms that more than this share of the reference rows hold.
-_SHARE = 0.2
 _TEMPLATE = [link.Clause("must", "s", "r", "words", 2.0)]
 
 
@@ -89,29 +87,44 @@ def _rounded(df: DataFrame) -> DataFrame:
 @query("link_bm25_top1", _bm25_sql())
 def link_bm25_top1(spark: SparkSession, d: str) -> DataFrame:
     s, r = _parts(spark, d)
-    return _rounded(link.bm25_best(s, "sid", r, "rid", _TEMPLATE, 3.5, common_share=_SHARE))
+    return _rounded(link.bm25_best(s, "sid", r, "rid", _TEMPLATE, 3.5))
+
 
+def _as_text(sql: str) -> str:
+    return f"SELECT 'S' || CAST(source_id AS VARCHAR) AS source_id, 'R' || lpad(CAST(\"__ID_REF\" AS VARCHAR), 9, '0') AS \"__ID_REF\", \"__ES_SCORE\", \"__THRESH\", \"__CONFIDENCE\", \"__IS_MATCH\" FROM ({sql})"
 
-@query("link_bm25_all_terms", _bm25_sql().replace(" WHERE df <= 0.2 * n OR df <= 1 OR 0.2 * n < 1", ""))
-def link_bm25_all_terms(spark: SparkSession, d: str) -> DataFrame:
-    """link_bm25_top1 over every term, however common."""
+
+@query("link_text_ids", _as_text(_bm25_sql()))
+def link_text_ids(spark: SparkSession, d: str) -> DataFrame:
+    """link_bm25_top1 with ids that are text on both sides."""
     s, r = _parts(spark, d)
+    s = s.withColumn("sid", F.concat(F.lit("S"), F.col("sid").cast("string")))
+    r = r.withColumn("rid", F.concat(F.lit("R"), F.lpad(F.col("rid").cast("string"), 9, "0")))
     return _rounded(link.bm25_best(s, "sid", r, "rid", _TEMPLATE, 3.5))
 
 
 @query("link_must_filters", _bm25_sql(f"WHERE list_contains({tokens_sql('r')}, 'small') AND NOT list_contains({tokens_sql('r')}, 'ring')"))
 def link_must_filters(spark: SparkSession, d: str) -> DataFrame:
     s, r = _parts(spark, d)
-    return _rounded(link.bm25_best(s, "sid", link.with_filters(r, {"r": ["small"]}, {"r": ["ring"]}), "rid", _TEMPLATE, 3.5, common_share=_SHARE))
+    return _rounded(link.bm25_best(s, "sid", link.with_filters(r, {"r": ["small"]}, {"r": ["ring"]}), "rid", _TEMPLATE, 3.5))
+
 
+_FIRST_BEST = _bm25_sql()
+_FORBIDDEN = _bm25_sql("", "WHERE NOT EXISTS (SELECT 1 FROM no WHERE no.source_id = sid AND no.ref_id = rid)")
 
-@query("link_forced_pairs", f"WITH base AS ({_bm25_sql(forbid='WHERE NOT (sid % 10 = 0 AND rid % 3 = 0)')}), x AS (SELECT CAST(p_partkey AS BIGINT) AS source_id, CAST(p_partkey + 1 AS BIGINT) AS ref_id FROM part WHERE p_partkey % 20 = 0) SELECT * FROM base WHERE source_id NOT IN (SELECT source_id FROM x) UNION ALL SELECT source_id, ref_id, NULL, 3.5, 999.0, true FROM x")
+
+@query(
+    "link_forced_pairs",
+    f"WITH no AS (SELECT source_id, \"__ID_REF\" AS ref_id FROM ({_FIRST_BEST}) WHERE source_id % 10 = 0), base AS ({_FORBIDDEN}),"
+    " x AS (SELECT CAST(p_partkey AS BIGINT) AS source_id, CAST(p_partkey + 1 AS BIGINT) AS ref_id FROM part WHERE p_partkey % 20 = 0)"
+    " SELECT * FROM base WHERE source_id NOT IN (SELECT source_id FROM x) UNION ALL SELECT source_id, ref_id, NULL, 3.5, 999.0, true FROM x",
+)
 def link_forced_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The best matches of a tenth of the rows are told to be none, so their second best ones come; others are forced."""
     s, r = _parts(spark, d)
     forced = read(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("source_id"), (F.col("p_partkey") + 1).alias("ref_id"))
-    scores = link.bm25_scores(s.where("sid % 10 = 0"), "sid", r, "rid", _TEMPLATE, _SHARE)
-    forbidden = scores.where("ref_id % 3 = 0").select("source_id", "ref_id")
-    return _rounded(link.bm25_best(s, "sid", r, "rid", _TEMPLATE, 3.5, forced, forbidden, _SHARE))
+    forbidden = link.bm25_best(s.where("sid % 10 = 0"), "sid", r, "rid", _TEMPLATE, 3.5).select("source_id", F.col("__ID_REF").alias("ref_id"))
+    return _rounded(link.bm25_best(s, "sid", r, "rid", _TEMPLATE, 3.5, forced, forbidden))
 
 
 _LINKED = "linked AS (SELECT CAST(o_orderkey AS BIGINT) AS sid, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE c_name END AS name__REF, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(c_custkey AS BIGINT) END AS \"__ID_REF\", CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS DOUBLE) END AS \"__ES_SCORE\", CAST(3.5 AS DOUBLE) AS \"__THRESH\", CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS DOUBLE) / 3.5 END AS \"__CONFIDENCE\", CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 7 >= 3.5 END AS \"__IS_MATCH\", lower(c_name) AS own FROM orders JOIN customer ON o_custkey = c_custkey)"
@@ -161,9 +174,10 @@ def template_quality(spark: SparkSession, d: str) -> DataFrame:
     return link.template_quality(o.select(F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("ref_id")), truth).withColumn("n_right", F.col("n_right").cast("long"))
 
 
-@query("orphan_links", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("orphan_links", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def orphan_links(spark: SparkSession, d: str) -> DataFrame:
-    return joins.orphans(read(spark, d, "orders").select("o_orderkey", "o_custkey"), read(spark, d, "customer").where("c_custkey % 2 = 0"), "o_custkey", "c_custkey")
+    """Customers without an order."""
+    return joins.orphans(read(spark, d, "customer").select("c_custkey", "c_name"), read(spark, d, "orders"), "c_custkey", "o_custkey")
 
 
 _GRID = (
@@ -214,4 +228,4 @@ def grid_best(spark: SparkSession, d: str) -> DataFrame:
     number = F.regexp_extract("label", "([0-9]+)", 1)
     words = F.array(number, F.expr("left(regexp_extract(label, '([0-9]+)', 1), length(regexp_extract(label, '([0-9]+)', 1)) - 1)"))
     pairs = grid.candidates(source, "s_suppkey", words, ref, "grid_id", words)
-    return grid.best_items(source, "s_suppkey", ref, pairs)
+    return grid.best_items(source, "s_suppkey", ref, pairs).select("source_id", "grid_id", "score")

@@ -19,6 +19,7 @@ CASES = {
     "case_not_digit_none": ["972", "973", "91", "91", "dontknow", "anumber", "someword"],
     "case_len_diff": ["0000", "0001", "0002", "0003", "1011", "00000"],
     "case_usual": ["some", "kind", "of data", "text", "has", "nan"],
+    "case_usual_twice": ["other", "words", "of data", "here", "nan"],
     "case_usual_none": ["none of", "them", "are", "bad", "in", "this example"],
     "case_empty": ["a1", "b22", "", "", "c333"],
 }
@@ -84,6 +85,16 @@ for _name, _origins in (("mv_len_diff", ("diff",)), ("mv_len_ratio", ("len_ratio
     _rule_query(_name, *_origins)
 
 
+#: Forms of missing values that a user names, in any case.
+USER_FORMS = ("P", "4-Not Specified", "BuIlDiNg")
+
+
+@query("mv_usual_user", f"{_FLAGS} SELECT col, val, CAST(0.5 AS DOUBLE) AS score FROM f WHERE {_RULES['usual'][:-1]}, " + ", ".join(f"'{x.lower()}'" for x in USER_FORMS) + ")")
+def mv_usual_user(spark: SparkSession, d: str) -> DataFrame:
+    found = missing.rules(missing.top_of(cells(spark, d)), usual=USER_FORMS)
+    return found.where("origin = 'usual' and score = 0.5").select("col", "val", "score")
+
+
 @query("mv_scored", f"{_SCORED} SELECT * FROM s")
 def mv_scored(spark: SparkSession, d: str) -> DataFrame:
     return missing.scored(missing.rules(missing.top_of(cells(spark, d))))

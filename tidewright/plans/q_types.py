@@ -145,16 +145,8 @@ def header_match(spark: SparkSession, d: str) -> DataFrame:
     return ct.header_types(list(_COLUMNS), spark.createDataFrame(list(_HEADERS), "type string, label string"))
 
 
-@query("edit_join2", "WITH p AS (SELECT DISTINCT p_name AS a FROM part), s AS (SELECT DISTINCT p_type AS b FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 50 = 0) SELECT a, b, levenshtein(a, b) AS distance FROM p, s WHERE abs(length(a) - length(b)) <= 2 AND levenshtein(a, b) <= 2")
+@query("edit_join2", "WITH p AS (SELECT DISTINCT p_name AS a FROM part), s AS (SELECT DISTINCT p_type AS b FROM part UNION SELECT DISTINCT p_name FROM part) SELECT a, b, levenshtein(a, b) AS distance FROM p, s WHERE abs(length(a) - length(b)) <= 2 AND levenshtein(a, b) <= 2")
 def edit_join2(spark: SparkSession, d: str) -> DataFrame:
-    part = spark.read.parquet(f"{d}/part.parquet")
-    b = part.select(F.col("p_type").alias("b")).unionByName(part.where("p_partkey % 50 = 0").select(F.col("p_name").alias("b")))
-    return joins.edit_join(part.select(F.col("p_name").alias("a")), b, "a", "b").withColumn("distance", F.col("distance").cast("long"))
-
-
-@query("edit_join2_names")
-def edit_join2_names(spark: SparkSession, d: str) -> DataFrame:
-    """edit_join2 with every part name on both sides; a nested loop in SQL is too slow for it."""
     part = spark.read.parquet(f"{d}/part.parquet")
     b = part.select(F.col("p_type").alias("b")).unionByName(part.select(F.col("p_name").alias("b")))
     return joins.edit_join(part.select(F.col("p_name").alias("a")), b, "a", "b").withColumn("distance", F.col("distance").cast("long"))
@@ -207,3 +199,63 @@ def fuzz_ratios(spark: SparkSession, d: str) -> DataFrame:
 
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", case_phrase("p_type").alias("t"))
     return p.select("p_partkey", *[f("p_name", "t").alias(n) for n, f in (("ratio", fuzz.ratio_udf), ("partial", fuzz.partial_ratio_udf), ("token_sort", fuzz.token_sort_udf), ("token_set", fuzz.token_set_udf))])
+
+
+_MIXED = (
+    "mixed AS (SELECT CAST(c_custkey AS BIGINT) AS row_id, n_name AS nation, 'FRANCE' AS home, 'c' || CAST(c_custkey AS VARCHAR) || '@mail.org' AS contact,"
+    " 'seen in ' || lower(n_name) || ' again' AS note, CASE WHEN c_custkey % 2 = 0 THEN 'Jean Martin' ELSE 'Dr Marie CURIE' END AS person FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+)
+
+
+def mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with a nation, a constant nation, an address, a nation amid words and a person's name."""
+    c = spark.read.parquet(f"{d}/customer.parquet").join(spark.read.parquet(f"{d}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select(
+        F.col("c_custkey").cast("long").alias("row_id"), F.col("n_name").alias("nation"), F.lit("FRANCE").alias("home"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@mail.org")).alias("contact"),
+        F.concat(F.lit("seen in "), F.lower("n_name"), F.lit(" again")).alias("note"), F.when(F.col("c_custkey") % 2 == 0, "Jean Martin").otherwise("Dr Marie CURIE").alias("person"),
+    )
+
+
+def nations(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.lit("Pays").alias("type"), F.col("n_name").alias("label"))
+
+
+@query(
+    "type_min_diversity",
+    f"WITH {_MIXED}, cells AS (SELECT row_id, 'nation' AS col, nation AS value FROM mixed UNION ALL SELECT row_id, 'home', home FROM mixed), k AS (SELECT DISTINCT {case_sql('n_name')} AS key FROM nation),"
+    f" h AS (SELECT col, value FROM cells JOIN k ON {case_sql('value')} = key), n AS (SELECT col, count(*) AS n, count(DISTINCT value) AS d FROM h GROUP BY col)"
+    " SELECT col, 'Pays' AS type, 100.0 * n / (SELECT count(*) FROM mixed) AS score FROM n WHERE d >= (SELECT ln(count(*)) / ln(1.8) FROM k)",
+)
+def type_min_diversity(spark: SparkSession, d: str) -> DataFrame:
+    """A column of one label only is not of the label's type."""
+    lex = ct.lexicon_table(nations(spark, d))
+    found = ct.cells_of(mixed(spark, d), ["nation", "home"])
+    return ct.column_scores(found, ct.posited(ct.label_hits(found, lex), ct.lexicon_diversity(lex, "label")))
+
+
+@query(
+    "type_infer_levels",
+    f"WITH {_MIXED}, n AS (SELECT count(*) AS n FROM mixed), l AS (SELECT unnest([0, 1, 2]) AS level), s AS ("
+    " SELECT 'nation' AS col, 'Pays' AS type, 0 AS least, count(*) FILTER (WHERE nation IN (SELECT n_name FROM nation)) AS k FROM mixed"
+    " UNION ALL SELECT 'contact', 'Email', 0, count(*) FILTER (WHERE regexp_matches(contact, '^[a-z0-9]+@mail[.]org$')) FROM mixed"
+    " UNION ALL SELECT 'note', 'Pays', 1, count(*) FILTER (WHERE regexp_extract(note, '^seen in (.*) again$', 1) IN (SELECT lower(n_name) FROM nation)) FROM mixed"
+    " UNION ALL SELECT 'person', 'Nom de personne', 2, count(*) FILTER (WHERE person IN ('Jean Martin', 'Dr Marie CURIE')) FROM mixed)"
+    " SELECT level, col, type, 100.0 * k / n AS score FROM l JOIN s ON least <= level, n",
+)
+def type_infer_levels(spark: SparkSession, d: str) -> DataFrame:
+    """What the matchers of each cost level find."""
+    found = ct.cells_of(mixed(spark, d), ["nation", "home", "contact", "note", "person"])
+    resources = ct.Resources(labels=nations(spark, d), phrases=nations(spark, d))
+    out = None
+    for level in range(3):
+        here = ct.column_scores(found, ct.posited(*ct.all_hits(found, level, resources))).select(F.lit(level).alias("level"), "col", "type", "score")
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
+_TAG_ROWS = ", ".join(f"('{t}', '{w}')" for t, words in sorted(ct.type_tags().items()) for w in words).replace("d'E", "d''E")
+
+
+@query("type_tags", f"SELECT * FROM (VALUES {_TAG_ROWS}) AS v(type, tag)")
+def type_tags(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(t, w) for t, words in ct.type_tags().items() for w in words], "type string, tag string")

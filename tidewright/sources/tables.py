@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
+from .shared import stored
+
 # fixed values
 ENCODINGS, SEPARATORS, SNIFF_LINES = ("utf-8", "ISO-8859-1", "windows-1252"), (";", ",", "\t"), 3000
 NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -82,10 +84,19 @@ def schema_for(columns: list[str]) -> StructType:
     return StructType([StructField(c, kind(c)) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, sep: str | None = None, na_strings: tuple[str, ...] = ("",), multi_line: bool = True) -> DataFrame:
-    """A CSV file with text columns and a cleaned header; na_strings become null."""
+def has_broken_cells(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes on in the next line: such a line has an odd number of quotes. Stops at the first one."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, sep: str | None = None, na_strings: tuple[str, ...] = ("",), multi_line: bool | None = None) -> DataFrame:
+    """A CSV file with text columns and a cleaned header; na_strings become null. multi_line: whether quoted cells hold
+    line ends; by default that is looked for, since a file is read in many tasks only where they don't."""
     if encoding is None or sep is None:
         encoding, sep = sniff_file(spark, path)
+    if multi_line is None:
+        multi_line = has_broken_cells(spark, path)
     df = spark.read.csv(path, sep=sep, encoding=encoding, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line)
     df = df.toDF(*check_header(df.columns))
     extra = [n for n in na_strings if n]
@@ -94,7 +105,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, sep: s
 
 def read_typed(spark: SparkSession, path: str, columns: list[str], selected: list[str] | None = None, n_rows: int | None = None, na_strings: tuple[str, ...] = ("",)) -> DataFrame:
     """A CSV table of this engine: types by column names, only the selected columns, the first n_rows if given."""
-    df = spark.read.schema(schema_for(columns)).csv(path, header=True, quote='"', escape='"', multiLine=True)
+    df = spark.read.schema(schema_for(columns)).csv(path, header=True, quote='"', escape='"', multiLine=has_broken_cells(spark, path))
     df = df.select(*(selected or columns))
     extra = [n for n in na_strings if n]
     if extra:
@@ -131,8 +142,14 @@ def read_forms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Contiguous ids from 0 in file order: counts of the partitions, then positions in them."""
+    """Contiguous ids from 0 in file order: counts of the partitions, then positions in them.
+
+    The rows are read twice. A plan of scans and row maps gives them alike both times; any other, whose partitions come
+    out of a shuffle, is stored first.
+    """
     spark = df.sparkSession
+    if any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Scan ExistingRDD", "Sample")):
+        df = stored(df, "rows")
     placed = df.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
     counts = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, at = [], 0
