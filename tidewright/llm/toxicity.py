@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, held_out_col, keeps, stored, tidy, tune
+from .common import drop, held_out_col, keeps, parts, stored, tidy, tune
 
 #: Labelled rows that the classifier is fitted on at most.
 FIT_ROWS = 30_000
@@ -418,10 +418,11 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model = CharModel.from_counts(np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float))
     picked = labels.where("toxic is not null and doc_id is not null").where(~held_out_col("doc_id", folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = picked.orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "doc_id").select("toxic", "_text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.md5(F.coalesce("_text", F.lit(""))).alias("_h"), "_text")
     # of an id with many rows, and of a text with many ids, one text each: at most fit_rows rows from here on
-    rows = rows.groupBy(F.md5(F.coalesce("_text", F.lit(""))).alias("_h")).agg(F.max("toxic").alias("toxic"), F.first("_text").alias("_text"))
-    rows, rows_path = stored(rows.orderBy("_h").limit(fit_rows).select("toxic", "_h", "_text"), "fit")
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("_h", "_text")).alias("_t"))
+    rows = rows.groupBy(F.col("_t._h").alias("_h")).agg(F.max("toxic").alias("toxic"), F.first("_t._text").alias("_text"))
+    rows, rows_path = stored(rows.select("toxic", "_h", "_text").repartition(parts(spark), "_h"), "fit")
     shared = spark.sparkContext.broadcast(model)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
