@@ -510,3 +510,28 @@ def test_grid_best_equals_all_pairs(spark, data):
     for k in n:
         best = max(n, key=lambda j: grid.string_score(norm(k, "univ"), norm(j, "university of")))
         assert best == k and abs(got[k] - grid.string_score(norm(k, "univ"), norm(k, "university of")) * 100 * 50 / 10000) < 25
+
+
+def test_file_names_and_tables_without_rows(spark, tmp_path):
+    assert tables.secure_name("../é tat/ x y.csv") == "e_tat_x_y.csv" and tables.secure_name("a.b-c_1") == "a.b-c_1"
+    with pytest.raises(ValueError):
+        tables.secure_name("../..")
+    with pytest.raises(ValueError):
+        tables.write_table(spark.range(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+
+
+def test_an_index_of_changed_rows_is_built_anew(spark, tmp_path):
+    index = tables.Index(spark, str(tmp_path / "i"))
+    rows = lambda word: spark.createDataFrame([(1, word), (2, "b")], "id long, n string")
+    assert index.build(rows("a"), "id", {"n": ("words",)}) and not index.build(rows("a"), "id", {"n": ("words",)})
+    assert index.build(rows("other"), "id", {"n": ("words",)}) and {r["n"] for r in index.rows().collect()} == {"other", "b"}
+
+
+def test_projects_are_locked(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    p = project.Project(str(tmp_path))
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: p.update(**{f"k{i}": i}), range(24)))
+    assert all(p.metadata[f"k{i}"] == i for i in range(24))

@@ -24,17 +24,24 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL = r"https?://[^\s<>\"]+"
 #: Parents of types: the subtypes of each.
 PARENTS = {
+    "Nom de personne": ("Titre", "Prénom"),
     "Date": ("Année",),
-    "Type structuré": ("Date", "Email", "URL", "Téléphone", "Code Postal"),
-    "ID organisation": ("SIREN", "SIRET", "NIF", "TVA", "UAI", "UMR", "Num. Nat. Structure"),
-    "ID personne": ("NIR",),
-    "ID": ("ID organisation", "ID personne"),
-    "Géo": ("Pays", "Région", "Département", "Commune", "Adresse", "Voie", "Code Postal"),
-    "Nom de personne": ("Prénom", "Nom", "Titre"),
-    "Institution": ("Institution de recherche", "Entreprise", "Education Nationale"),
-    "Institution de recherche": ("Structure de recherche", "GRID", "Partenaire de recherche"),
-    "Education Nationale": ("Etab. 1er/2nd degré", "Etab. Sup", "Académie"),
-    "Publication": ("DOI", "ISSN", "Titre de revue", "Article"),
+    "Type structuré": ("Date", "URL", "Email", "Téléphone"),
+    "Institution de recherche": ("Structure de recherche", "Partenaire de recherche", "Collaborateur d'essai clinique"),
+    "Etablissement": ("Etablissement des premier et second degrés", "Etablissement d'Enseignement Supérieur"),
+    "Entité MESR": ("Institution de recherche", "Mention APB", "Domaine de Recherche", "Etablissement", "Académie"),
+    "Adresse": ("Voie", "Code Postal", "Commune", "Pays"),
+    "Entité Géo": ("Adresse", "Code Postal", "Commune", "Département", "Région", "Pays"),
+    "ID publication": ("DOI", "ISSN"),
+    "Article": ("Résumé", "ID publication", "Contenu d'article"),
+    "Publication": ("Titre de revue", "ID publication", "Article", "Résumé"),
+    "Texte": ("Français", "Anglais", "Article", "Résumé"),
+    "Entité biomédicale": ("Nom d'essai clinique", "Spécialité médicale"),
+    "Entité agro": ("Phyto",),
+    "ID organisation": ("SIREN", "SIRET", "Numéro National de Structure", "UAI", "Numéro UMR"),
+    "ID personne": ("Nom de personne", "Email", "Téléphone", "NIR"),
+    "ID": ("ID organisation", "ID personne", "ID publication"),
+    "Institution": ("Structure de recherche", "Etablissement", "Entreprise"),
 }
 OTHERS = "Autres types"
 #: Words that a type is also found by.
@@ -91,8 +98,8 @@ def matchers(level: int = 1, value: str = "value") -> list[Matcher]:
         Matcher("Année", F.nullif(F.regexp_extract(v, r"^\b(20[0-9]{2})\b", 1), F.lit(""))),
         Matcher("Date", checks.date(v), level=1),
         Matcher("SIREN", checks.siren(v)), Matcher("SIRET", checks.siret(v)),
-        pattern("Num. Nat. Structure", "[0-9]{9}[a-zA-Z]", value=value), pattern("UAI", "[0-9]{7}[a-zA-Z]", value=value),
-        pattern("UMR", "UMR-?[ A-Z]{0,8}([0-9]{3,4})", 1, partial=True, value=value),
+        pattern("Numéro National de Structure", "[0-9]{9}[a-zA-Z]", value=value), pattern("UAI", "[0-9]{7}[a-zA-Z]", value=value),
+        pattern("Numéro UMR", "UMR-?[ A-Z]{0,8}([0-9]{3,4})", 1, partial=True, value=value),
         Matcher("Date", F.when(v.rlike(r"^([0-9]{9}|[0-9]{14})$"), v), negates=True),
         Matcher("Académie", F.nullif(F.regexp_extract(F.lower(to_ascii(v)), "(acad.mie.*)$", 1), F.lit(""))),
         pattern("Code Postal", "[0-9]{5}", value=value),

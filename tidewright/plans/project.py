@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
@@ -69,8 +70,28 @@ class Project:
     def metadata(self) -> dict:
         return self._read("metadata")
 
+    @contextlib.contextmanager
+    def _locked(self, wait_s: float = 10.0):
+        """One writer at a time: a lock file, waited for, and taken over when it is older than the wait."""
+        lock, began = os.path.join(self.path, ".lock"), time.time()
+        while True:
+            try:
+                os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+                break
+            except FileExistsError:
+                with contextlib.suppress(FileNotFoundError):
+                    if time.time() - max(began, os.path.getmtime(lock)) > wait_s:
+                        os.remove(lock)
+                time.sleep(0.02)
+        try:
+            yield
+        finally:
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(lock)
+
     def update(self, **values) -> None:
-        self._write("metadata", self.metadata | values | {"last_used": time.time()})
+        with self._locked():
+            self._write("metadata", self.metadata | values | {"last_used": time.time()})
 
     def delete(self) -> None:
         shutil.rmtree(self.path)

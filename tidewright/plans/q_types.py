@@ -73,7 +73,7 @@ def type_bailout(spark: SparkSession, d: str) -> DataFrame:
     return ct.bail_out(cells(spark, d), hits(spark, d)).select("row_id", "col", "matcher")
 
 
-_EDGES = "edges AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{c}')" for p, x in ct.PARENTS.items() for c in x) + ") AS v(parent, child))"
+_EDGES = "edges AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{c}')".replace("d'", "d''") for p, x in ct.PARENTS.items() for c in x) + ") AS v(parent, child))"
 
 
 @query("type_parents", f"{_WITH}, {_SCORES}, {_EDGES}, s AS (SELECT * FROM scores WHERE score >= 10), u AS (SELECT * FROM s UNION ALL SELECT col, parent, max(score) FROM s JOIN edges ON type = child GROUP BY col, parent) SELECT col, type, max(score) AS score FROM u GROUP BY col, type")
@@ -253,7 +253,7 @@ def type_infer_levels(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-_TAG_ROWS = ", ".join(f"('{t}', '{w}')" for t, words in sorted(ct.type_tags().items()) for w in words).replace("d'E", "d''E")
+_TAG_ROWS = ", ".join(f"('{t}', '{w}')" for t, words in sorted(ct.type_tags().items()) for w in words).replace("d'", "d''")
 
 
 @query("type_tags", f"SELECT * FROM (VALUES {_TAG_ROWS}) AS v(type, tag)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,8 @@ def sniff(lines: bytes) -> tuple[str, str]:
         best, most = SEPARATORS[0], 0
         for sep in SEPARATORS:
             widths = [len(r) for r in csv.reader(head, delimiter=sep)]
-            if widths and widths[0] >= most and all(w <= widths[0] for w in widths):
+            # rows wider than the header don't rule a separator out, they only can't speak for it
+            if widths and widths[0] >= most and 2 * sum(w <= widths[0] for w in widths) >= len(widths):
                 best, most = sep, widths[0]
         if most:
             return encoding, best
@@ -180,14 +182,20 @@ def without_flags(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if "__MODIFIED" not in c])
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> int:
-    """Writes a table that isn't there yet and returns its number of rows; none is an error."""
+    """Writes a table that isn't there yet and returns its number of rows; without rows it is an error and none is left."""
     from pyspark.sql import Observation
 
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("n"))
     (out.write.mode("errorifexists").csv(path, header=True, quote='"', escape='"') if kind == "csv" else out.write.mode("errorifexists").parquet(path))
     if not seen.get["n"]:
+        remove(df.sparkSession, path)
         raise ValueError("no rows were written")
     return seen.get["n"]
 
@@ -198,6 +206,15 @@ def pad_rows(rows: list[list[str]]) -> list[list[str]]:
     return [r + [""] * (width - len(r)) for r in rows]
 
 
+def secure_name(name: str) -> str:
+    """A file name without folders and signs: ASCII letters, digits, `_`, `-` and inner full stops."""
+    plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode()
+    out = re.sub(r"[^A-Za-z0-9_.-]", "", "_".join(re.split(r"[\s/\\]+", plain))).strip("._")
+    if not out:
+        raise ValueError("a file needs a name")
+    return out
+
+
 def export(df: DataFrame, path: str, step: str, thresh: float = 1.0, compressed: bool = False) -> str:
     """A result as CSV files below path; links under the threshold are nulled first. The raw upload isn't exported."""
     from ..operators.link import null_below
@@ -205,7 +222,8 @@ def export(df: DataFrame, path: str, step: str, thresh: float = 1.0, compressed:
     if step == "INIT":
         raise ValueError("only results are exported")
     out = null_below(df, thresh) if "__CONFIDENCE" in df.columns and "__IS_MATCH" in df.columns else df
-    target = f"{path.rstrip('/')}_MMM.csv"
+    folder, _, name = path.rstrip("/").rpartition("/")
+    target = f"{folder + '/' if folder else ''}{secure_name(name)}_MMM.csv"
     out.write.mode("errorifexists").csv(target, header=True, quote='"', escape='"', compression="gzip" if compressed else "none")
     return target
 
@@ -238,17 +256,17 @@ class Index:
         """Builds rows, terms and manifest unless a current index is there; tells whether it built."""
         from ..operators.link import postings
 
-        n = df.count()
+        n, content = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string")).first()
         asked = {c: sorted(a) for c, a in columns.items()}
         if not force and self.exists():
             known = self.manifest()
-            if known["n_rows"] == n and all(set(a) <= set(known["columns"].get(c, ())) for c, a in asked.items()):
+            if known["n_rows"] == n and known.get("content") == content and all(set(a) <= set(known["columns"].get(c, ())) for c, a in asked.items()):
                 return False
         fs, path = self._fs()
         fs.delete(path(self.path), True)
         df.write.parquet(f"{self.path}/rows")
         postings(df, row_id, columns).write.parquet(f"{self.path}/terms")
-        manifest = json.dumps({"n_rows": n, "row_id": row_id, "columns": asked, "no_delete": no_delete})
+        manifest = json.dumps({"n_rows": n, "content": content, "row_id": row_id, "columns": asked, "no_delete": no_delete})
         self.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{self.path}/manifest")
         return True
 
