@@ -244,9 +244,11 @@ def restore_words(text: str | None, model: CharModel, cache: dict[str, tuple[str
     tokens = normal(text).split()
     words: list[str] = []
     for run in spread(tokens):
-        found = decode(lattice(run), model, known).split()
-        apart = set(run.split())
-        words += [w for w in found if w not in apart]
+        got = cache.get(run)  # runs hold a space, tokens don't
+        if got is None:
+            apart = set(run.split())
+            got = cache[run] = tuple(w for w in decode(lattice(run), model, known).split() if w not in apart)
+        words += got
     for token in tokens:
         got = cache.get(token)
         if got is None:
@@ -324,12 +326,22 @@ class Scorer:
                 if t in wanted:
                     found.update(self.hits[t])
         for run in spread(tokens):
-            columns = lattice(run)
-            if self.lexicon.touches(columns):
-                apart = set(run.split())
-                found.update(w for w in decode(columns, self.model, self.lexicon).split() if w in self.weights and w not in apart)
+            if run not in self.seen:
+                self.seen.add(run)  # runs hold a space, tokens don't
+                if words := self.spread_in(run):
+                    self.hits[run] = words
+            if run in self.hits:
+                found.update(self.hits[run])
         return found
 
+    def spread_in(self, run: str) -> list[str]:
+        """The learned words of a restored stretch that none of its tokens is by itself."""
+        columns = lattice(run)
+        if not self.lexicon.touches(columns):
+            return []
+        apart = set(run.split())
+        return [w for w in decode(columns, self.model, self.lexicon).split() if w in self.weights and w not in apart]
+
     def features(self, text: str | None) -> tuple[float, float, float, float]:
         tokens = normal(text).split()
         return features_of(self.found(tokens), self.weights, len(tokens))
