@@ -535,3 +535,12 @@ def test_projects_are_locked(tmp_path):
     with ThreadPoolExecutor(8) as pool:
         list(pool.map(lambda i: p.update(**{f"k{i}": i}), range(24)))
     assert all(p.metadata[f"k{i}"] == i for i in range(24))
+
+
+def test_links_to_ids_that_several_rows_have(spark):
+    s = spark.createDataFrame([(1, "red box")], "sid long, n string")
+    r = spark.createDataFrame([(7, "red box"), (7, "red box of tin"), (8, "blue")], "rid long, full string")
+    t = [link.Clause("must", "n", "full")]
+    best = link.best_scores(link.asked_terms(s, "sid", t), link.weighted(link.index_of(r, "rid", t), r.selectExpr("count(1) as n_docs"))).first()
+    every = link.bm25_scores(s, "sid", r, "rid", t).first()
+    assert best["ref_id"] == every["ref_id"] == 7 and abs(best["score"] - every["score"]) < 1e-9

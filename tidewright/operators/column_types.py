@@ -16,7 +16,7 @@ from .joins import dictionary_join, edit_join, expand_variants, phrase_windows
 from .names import parser as person_parser
 
 # fixed values
-MAX_FATAL, MAX_ERROR_RATE, ERROR_RATE_FROM, COLUMN_SCORE, SUBTYPING_RATIO, MIN_SHARE = 5, 20, 100, 10.0, 2.0, 10.0
+MAX_FATAL, MAX_ERROR_RATE, ERROR_RATE_FROM, SUBTYPING_RATIO, MIN_SHARE = 5, 20, 100, 2.0, 10.0
 #: A lexicon's least number of distinct hits is the logarithm of its size to these bases.
 LABEL_BASE, PHRASE_BASE = 1.8, 1.5
 SAMPLE_ROWS, CHUNK_ROWS = 3000, 3000

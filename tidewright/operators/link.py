@@ -185,6 +185,8 @@ def best_scores(asked: DataFrame, posted: DataFrame, must: list[int] | None = No
     the other terms; those whose sum and what the rest can add stay under the bound leave; the others are scored in
     full. forbidden: (source_id, ref_id) that can't be taken.
     """
+    # of an id that several rows have, one vector
+    posted = posted.repartition("ref_id").groupBy("ref_id", "key").agg(F.sum("impact").alias("impact"), F.max("df").alias("df"), F.max("slice").alias("slice"), F.max("slices").alias("slices"))
     posted = stored(posted, "postings")
     tops = posted.groupBy("key").agg(F.max("impact").alias("top"), F.max("df").alias("df"))
     asked = stored(asked.join(tops, "key").withColumn("most", F.col("boost") * F.col("top")), "asked")

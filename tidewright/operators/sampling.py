@@ -19,6 +19,11 @@ def sample(df: DataFrame, row_id: str, n: int = SAMPLE_ROWS, random: bool = Fals
     return rows.orderBy(order, row_id).limit(n)
 
 
+def types_sample(df: DataFrame, row_id: str) -> DataFrame:
+    """The rows that are shown beside inferred types: the first TYPE_ROWS."""
+    return sample(df, row_id, TYPE_ROWS)
+
+
 def mini(df: DataFrame, row_id: str, n: int = MINI_ROWS, random: bool = False, seed: int = 0) -> DataFrame | None:
     """A small table to try steps on; None if df isn't larger than it."""
     return sample(df, row_id, n, random, seed) if df.limit(n + 1).count() > n else None
