@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
@@ -16,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Bytes and rows in one Arrow batch: the numpy work of a batch takes some 60 times its bytes.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
 #: Largest table, in rows, that an operator may broadcast as a Python object.
@@ -35,17 +35,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); on a local master that names none, as in tests, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-        named = f"file://{os.path.join(tempfile.gettempdir(), 'tidewright-shared')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tidewright/{tag}-{uuid.uuid4().hex}"
 
