@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, _powers, binary, drop, keeps, mix, parts, stored, tidy, tune, utf8
+from .common import BYTE_CODES, _powers, binary, drop, keeps, mix, parts, settle, stored, tidy, tune, utf8
 
 #: Bytes of a match, of an anchor, and anchors of a window.
 LENGTH, ANCHOR = 100, 21
@@ -37,7 +37,7 @@ WINDOW = LENGTH - ANCHOR + 1
 #: Rows that are merged together at most; anchors with more are split. Suffixes of a shard.
 TOGETHER, SHARD = 100_000, 20_000
 #: Bytes in which anchors are looked for at once.
-SLICE = 4 << 20
+SLICE = 512 << 10
 _INDEX_BITS = np.uint64(28)
 #: Bits of a place's two distances that say that the anchor is repeated for sure, or stands for its task's others.
 SURE, SENT = 1 << 7, 1 << 15
@@ -337,6 +337,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone = F.when(F.col("at").bitwiseAND(SURE) != 0, F.xxhash64("ord", "at")).otherwise(F.col("h"))
     sampled = sampled.repartition(parts(spark), alone).sortWithinPartitions("h").mapInArrow(several, "h long, ord long, at long")
     places, _ = stored(sampled.groupBy("ord").agg(F.collect_list(F.struct("h", "at")).alias("places")), "anchors")
+    del sampled
+    settle(spark)  # the shuffles of what is stored now are not needed any more
     hot = places.select(F.explode("places.h").alias("h")).groupBy("h").count().where(F.col("count") > TOGETHER).limit(1).count()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,6 +430,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         merged = merged.unionByName(split)
     covers, _ = stored(merged.groupBy("ord").agg(F.collect_list(F.struct("a", "b")).alias("covers")), "repeats")
     drop(spark, *made)
+    del found, merged, split, near_text
+    settle(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))])
