@@ -18,6 +18,8 @@ from ..sources.shared import shared_dir
 
 #: Bytes and rows in one Arrow batch: the numpy work of a batch takes some 60 times its bytes.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
+#: Whether Spark removes the shuffle files of a query when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Largest table, in rows, that an operator may broadcast as a Python object.
 BROADCAST_ROWS = 1_000_000
 
@@ -39,11 +41,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tidewright/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Writes df as a table in the shared folder and reads it again: lineage ends there."""
+def stored(df: DataFrame, tag: str, free: bool = False) -> tuple[DataFrame, str]:
+    """Writes df as a table in the shared folder and reads it again: lineage ends there. free: the shuffle files of the
+    write go as soon as it is done, not when the driver's cleaner comes by."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE, None)
+    if free:
+        spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(FREE, before) if before is not None else spark.conf.unset(FREE)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -336,7 +336,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sampled = base.select("ord", "text").mapInArrow(sample, "h long, ord long, at long")
     alone = F.when(F.col("at").bitwiseAND(SURE) != 0, F.xxhash64("ord", "at")).otherwise(F.col("h"))
     sampled = sampled.repartition(parts(spark), alone).sortWithinPartitions("h").mapInArrow(several, "h long, ord long, at long")
-    places, _ = stored(sampled.groupBy("ord").agg(F.collect_list(F.struct("h", "at")).alias("places")), "anchors")
+    places, _ = stored(sampled.groupBy("ord").agg(F.collect_list(F.struct("h", "at")).alias("places")), "anchors", free=True)
     del sampled
     settle(spark)  # the shuffles of what is stored now are not needed any more
     hot = places.select(F.explode("places.h").alias("h")).groupBy("h").count().where(F.col("count") > TOGETHER).limit(1).count()
@@ -428,7 +428,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     merged = found.mapInArrow(merge, "ord long, a long, b long")
     if split is not None:
         merged = merged.unionByName(split)
-    covers, _ = stored(merged.groupBy("ord").agg(F.collect_list(F.struct("a", "b")).alias("covers")), "repeats")
+    covers, _ = stored(merged.groupBy("ord").agg(F.collect_list(F.struct("a", "b")).alias("covers")), "repeats", free=True)
     drop(spark, *made)
     del found, merged, split, near_text
     settle(spark)
