@@ -544,3 +544,41 @@ def test_links_to_ids_that_several_rows_have(spark):
     best = link.best_scores(link.asked_terms(s, "sid", t), link.weighted(link.index_of(r, "rid", t), r.selectExpr("count(1) as n_docs"))).first()
     every = link.bm25_scores(s, "sid", r, "rid", t).first()
     assert best["ref_id"] == every["ref_id"] == 7 and abs(best["score"] - every["score"]) < 1e-9
+
+
+def test_copies_are_linked_once_where_pairs_are_forbidden(spark, monkeypatch):
+    """Copies of three texts on both sides: few queries and candidates, and each source id gets the smallest id left to it."""
+    words = [["red", "box"], ["blue", "box"], ["tin"]]
+    asks, refs = {i: words[i % 3] for i in range(60)}, {100 + i: words[i % 3] for i in range(60)}
+    no = [(0, 100), (3, 100), (6, 100), (6, 103), (9, 103), *((2, 100 + i) for i in range(2, 60, 3)), *((12, 100 + i) for i in range(0, 60, 3)), (1, 999)]
+    asked, among, best_scores = [], [], link.best_scores
+
+    def spy(terms, posted, *more):
+        asked.append(terms.select("source_id").distinct().count())
+        among.append(posted.select("ref_id").distinct().count())
+        return best_scores(terms, posted, *more)
+
+    monkeypatch.setattr(link, "best_scores", spy)
+    s, r = (spark.createDataFrame([(k, " ".join(v)) for k, v in x.items()], kinds) for x, kinds in ((asks, "sid long, n string"), (refs, "rid long, full string")))
+    out = link.bm25_best(s, "sid", r, "rid", [link.Clause("must", "n", "full")], 1.0, None, spark.createDataFrame(no, "source_id long, ref_id long"))
+    want = {}
+    for a, found in bm25_by_hand(asks, refs).items():
+        left = {b: x for b, x in found.items() if (a, b) not in set(no)}
+        if left:
+            want[a] = min(left, key=lambda b: (-round(left[b], 9), b))
+    rows = out.collect()
+    assert len(rows) == len(want) == 59 and {x["source_id"]: x["__ID_REF"] for x in rows} == want
+    assert sum(asked) == 9 and sum(among) <= 43
+
+
+def test_an_id_of_several_rows_is_a_candidate_by_all_of_them(spark):
+    """Each row of id 7 reads like that of a smaller id, but together they score more; so do those of source id 1."""
+    s = spark.createDataFrame([(1, "red box"), (1, "red"), (2, "red box")], "sid long, n string")
+    r = spark.createDataFrame([(3, "red box of tin"), (5, "red box"), (7, "red box"), (7, "red box of tin"), (8, "blue")], "rid long, full string")
+    t = [link.Clause("must", "n", "full")]
+    every = {}
+    for x in link.bm25_scores(s, "sid", r, "rid", t).collect():
+        every.setdefault(x["source_id"], []).append((-round(x["score"], 6), x["ref_id"]))
+    rows = link.bm25_best(s, "sid", r, "rid", t, 1.0).collect()
+    assert len(rows) == 2 and {x["source_id"]: (-round(x["__ES_SCORE"], 6), x["__ID_REF"]) for x in rows} == {a: min(found) for a, found in every.items()}
+    assert {x["__ID_REF"] for x in rows} == {7}

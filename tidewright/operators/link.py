@@ -245,27 +245,37 @@ def with_forced(out: DataFrame, thresh: float, exact_pairs: DataFrame) -> DataFr
     return out.join(forced.select("source_id"), "source_id", "left_anti").unionByName(forced)
 
 
-def bm25_best(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], thresh: float, exact_pairs: DataFrame | None = None, non_matching: DataFrame | None = None) -> DataFrame:
-    """best_match by best_scores, with equal rows taken together: a query that many source rows ask is answered once,
-    and of reference rows that read alike only the one of the smallest id, which wins ties, is a candidate (statistics
-    count all of them). Source rows with forbidden pairs are answered each, from every row."""
-    posted = stored(index_of(ref, ref_id, template), "index")
+def readings(rows: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
+    """(id, reads): all that the rows of an id hold in the columns, in one order. Null ids never match and leave."""
+    cells = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"c{i}") for i, c in enumerate(dict.fromkeys(columns))])
+    return rows.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("id")).agg(F.array_sort(F.collect_list(cells)).alias("reads"))
+
+
+def bm25_best(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, template: list[Clause], thresh: float, exact_pairs: DataFrame | None = None, non_matching: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """best_match by best_scores, with equal ids taken together: a query that many source ids ask is answered once, and
+    of reference ids that read alike only the smallest, which wins ties, is a candidate (statistics count all of them).
+    Source ids are equal if the same pairs are forbidden to them too; of reference ids that read alike, all that some
+    source id is forbidden and the smallest of the others are candidates, so that each finds the smallest left to it.
+    The rows of an id are one query, or one vector. index: a stored index_of()."""
+    posted = index if index is not None else stored(index_of(ref, ref_id, template), "index")
     n_rows = ref.agg(F.count(F.lit(1)).alias("n_docs"))
-    first = ref.groupBy(*dict.fromkeys(c.ref for c in template)).agg(F.min(ref_id).alias("ref_id")).select("ref_id")
-    wanted = list(dict.fromkeys(c.source for c in template))
-    bound = None if non_matching is None else non_matching.select(F.col("source_id").alias(source_id)).distinct()
-    free = source if bound is None else source.join(bound, source_id, "left_anti")
-    same = free.groupBy(*wanted).agg(F.min(source_id).alias("_q"))
-    scores = best_scores(asked_terms(same, "_q", template), weighted(posted, n_rows, first), must_of(template))
+    asks, texts, no = readings(source, source_id, [c.source for c in template]), readings(ref, ref_id, [c.ref for c in template]), None
+    if non_matching is None:
+        first = texts.groupBy("reads").agg(F.min("id").alias("ref_id")).select("ref_id")
+    else:
+        no = stored(non_matching.select("source_id", "ref_id").distinct(), "forbidden")
+        lists = no.groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_set("ref_id")).alias("no"))
+        asks = asks.join(lists, "id", "left").withColumn("no", F.coalesce("no", F.array().cast(lists.schema["no"].dataType)))
+        texts = texts.join(no.select(F.col("ref_id").alias("id"), F.lit(True).alias("named")).distinct(), "id", "left")
+        least = F.min("id").alias("ref_id")
+        first = texts.where("named is null").groupBy("reads").agg(least).select("ref_id").union(texts.where("named").select(F.col("id").alias("ref_id")))
+    asks = stored(asks, "asks")
+    alike = [c for c in asks.columns if c != "id"]
+    same = asks.groupBy(*alike).agg(F.min("id").alias("_q"))
+    queries = source.join(same.select(F.col("_q").alias(source_id)), source_id, "left_semi")
+    scores = best_scores(asked_terms(queries, source_id, template), weighted(posted, n_rows, first), must_of(template), no)
     best = best_match(scores, thresh).withColumnRenamed("source_id", "_q")
-    on = None
-    for c in wanted:
-        test = free[c].eqNullSafe(same[c])
-        on = test if on is None else on & test
-    out = free.join(same, on).select(free[source_id].alias("source_id"), "_q").join(best, "_q").drop("_q")
-    if bound is not None:
-        scores = best_scores(asked_terms(source.join(bound, source_id, "left_semi"), source_id, template), weighted(posted, n_rows), must_of(template), non_matching)
-        out = out.unionByName(best_match(scores, thresh))
+    out = asks.join(same, alike).select(F.col("id").alias("source_id"), "_q").join(best, "_q").drop("_q")
     return with_forced(out, thresh, exact_pairs) if exact_pairs is not None else out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import grid, joins, link
+from ..sources.shared import stored
 from .q_text import case_sql, tokens_sql
 from .registry import query
 
@@ -123,8 +124,9 @@ def link_forced_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The best matches of a tenth of the rows are told to be none, so their second best ones come; others are forced."""
     s, r = _parts(spark, d)
     forced = read(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("source_id"), (F.col("p_partkey") + 1).alias("ref_id"))
-    forbidden = link.bm25_best(s.where("sid % 10 = 0"), "sid", r, "rid", _TEMPLATE, 3.5).select("source_id", F.col("__ID_REF").alias("ref_id"))
-    return _rounded(link.bm25_best(s, "sid", r, "rid", _TEMPLATE, 3.5, forced, forbidden))
+    index = stored(link.index_of(r, "rid", _TEMPLATE), "index")
+    forbidden = link.bm25_best(s.where("sid % 10 = 0"), "sid", r, "rid", _TEMPLATE, 3.5, index=index).select("source_id", F.col("__ID_REF").alias("ref_id"))
+    return _rounded(link.bm25_best(s, "sid", r, "rid", _TEMPLATE, 3.5, forced, forbidden, index))
 
 
 _LINKED = "linked AS (SELECT CAST(o_orderkey AS BIGINT) AS sid, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE c_name END AS name__REF, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(c_custkey AS BIGINT) END AS \"__ID_REF\", CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS DOUBLE) END AS \"__ES_SCORE\", CAST(3.5 AS DOUBLE) AS \"__THRESH\", CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS DOUBLE) / 3.5 END AS \"__CONFIDENCE\", CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 7 >= 3.5 END AS \"__IS_MATCH\", lower(c_name) AS own FROM orders JOIN customer ON o_custkey = c_custkey)"
