@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -582,3 +583,43 @@ def test_an_id_of_several_rows_is_a_candidate_by_all_of_them(spark):
     rows = link.bm25_best(s, "sid", r, "rid", t, 1.0).collect()
     assert len(rows) == 2 and {x["source_id"]: (-round(x["__ES_SCORE"], 6), x["__ID_REF"]) for x in rows} == {a: min(found) for a, found in every.items()}
     assert {x["__ID_REF"] for x in rows} == {7}
+
+
+def test_copies_share_their_greatest_token_overlap(spark, monkeypatch):
+    """Copies of three texts on both sides are three queries and candidates; an id of several rows has the tokens of each."""
+    texts = ["red box", "blue box", "box red red"]
+    asks = [*((i, texts[i % 3]) for i in range(60)), (60, None), (None, "red box"), (61, "green"), (62, "red"), (62, "tin")]
+    refs = [*((100 + i, texts[i % 3]) for i in range(60)), (90, "box"), (160, "red tin"), (160, "tin"), (None, "red box"), (161, None)]
+    asked, among, best_scores = [], [], link.best_scores
+
+    def spy(terms, posted, *more):
+        asked.append(terms.select("source_id").distinct().count())
+        among.append(posted.select("ref_id").distinct().count())
+        return best_scores(terms, posted, *more)
+
+    monkeypatch.setattr(link, "best_scores", spy)
+    s, r = spark.createDataFrame(asks, "sid long, n string"), spark.createDataFrame(refs, "rid long, full string")
+    rows = link.token_overlap_top1(s, "sid", "n", r, "rid", "full").collect()
+    every = {}
+    for a, x in asks:
+        for b, y in refs:
+            if None not in (a, x, b, y) and (n := len(set(x.split()) & set(y.split()))):
+                every.setdefault(a, Counter())[b] += n
+    want = {a: min((-n, b) for b, n in found.items()) for a, found in every.items()}
+    assert len(rows) == len(want) == 61 and {x["source_id"]: (-x["overlap"], x["ref_id"]) for x in rows} == want
+    assert asked == [4] and among == [4]
+
+
+def test_of_terms_of_one_weight_the_common_ones_are_not_expanded(spark, monkeypatch):
+    met, expand = [], link._met
+
+    def spy(asked, posted):
+        found = expand(asked, posted)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(link, "_met", spy)
+    s = spark.createDataFrame([(1, "alpha zeta")], "sid long, n string")
+    r = spark.createDataFrame([(i, f"zeta word{chr(97 + i // 26)}{chr(97 + i % 26)}" + " alpha" * (i == 30)) for i in range(40)], "rid long, full string")
+    assert [tuple(x) for x in link.token_overlap_top1(s, "sid", "n", r, "rid", "full").collect()] == [(1, 30, 2)]
+    assert met == [1]

@@ -181,9 +181,9 @@ def best_scores(asked: DataFrame, posted: DataFrame, must: list[int] | None = No
 
     asked: (source_id, clause, key, boost), posted: weighted(). Not all pairs are made. A few postings of a row's rarest
     terms give pairs, the best of which bounds the best score from below. The terms that together can't reach that
-    bound, the common ones of little weight, needn't be expanded: a better pair has another term. So pairs come from
-    the other terms; those whose sum and what the rest can add stay under the bound leave; the others are scored in
-    full. forbidden: (source_id, ref_id) that can't be taken.
+    bound, the common ones of little weight (of equal weights the most common), needn't be expanded: a better pair has
+    another term. So pairs come from the other terms; those whose sum and what the rest can add stay under the bound
+    leave; the others are scored in full. forbidden: (source_id, ref_id) that can't be taken.
     """
     # of an id that several rows have, one vector
     posted = posted.repartition("ref_id").groupBy("ref_id", "key").agg(F.sum("impact").alias("impact"), F.max("df").alias("df"), F.max("slice").alias("slice"), F.max("slices").alias("slices"))
@@ -207,7 +207,7 @@ def best_scores(asked: DataFrame, posted: DataFrame, must: list[int] | None = No
     rare = asked.withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy("df", "key", "clause"))).where(F.col("_n") <= FIRST_TERMS)
     few = posted.where(F.pmod(F.xxhash64("ref_id"), F.ceil(F.col("df") / FIRST_ROWS)) == 0)
     bound = stored(scored(rare.join(few, "key").select("source_id", "ref_id").distinct()).groupBy("source_id").agg(F.max("score").alias("bound")), "bounds")
-    upto = Window.partitionBy("source_id").orderBy("most", "key", "clause").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("source_id").orderBy("most", F.desc("df"), "key", "clause").rowsBetween(Window.unboundedPreceding, 0)
     ranked = asked.join(bound, "source_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)) - EPSILON).withColumn("upto", F.sum("most").over(upto))
     ranked = ranked.withColumn("rest", F.coalesce(F.max(F.when(F.col("upto") < F.col("bound"), F.col("upto"))).over(Window.partitionBy("source_id")), F.lit(0.0)))
     met = _met(ranked.where("upto >= bound").select("source_id", "key", "boost", "bound", "rest"), posted)
@@ -293,12 +293,25 @@ def link(source: DataFrame, source_id: str, ref: DataFrame, ref_id: str, templat
 
 
 def token_overlap_top1(source: DataFrame, source_id: str, source_col: str, ref: DataFrame, ref_id: str, ref_col: str) -> DataFrame:
-    """(source_id, ref_id, overlap): the row with most distinct common tokens, ties to the smaller id."""
-    a = source.select(F.col(source_id).alias("source_id"), F.lit(0).alias("clause"), F.explode(F.array_distinct(tokens(source_col))).alias("key"), F.lit(1.0).alias("boost"))
-    b = ref.select(F.col(ref_id).alias("ref_id"), F.explode(F.array_distinct(tokens(ref_col))).alias("key"))
+    """(source_id, ref_id, overlap): the row with most distinct common tokens, ties to the smaller id.
+
+    Source ids with equal tokens are one query, and of reference ids with equal tokens only the smallest, which wins
+    ties, is a candidate. An id of several rows has the tokens of each of them.
+    """
+
+    def words_of(rows: DataFrame, row_id: str, c: str) -> DataFrame:
+        words = F.array_sort(F.flatten(F.collect_list(F.array_distinct(tokens(c)))))
+        return rows.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("id")).agg(words.alias("words")).where(F.size("words") > 0)
+
+    asks = stored(words_of(source, source_id, source_col), "asks")
+    same = asks.groupBy("words").agg(F.min("id").alias("_q"))
+    a = same.select(F.col("_q").alias("source_id"), F.lit(0).alias("clause"), F.explode("words").alias("key"), F.lit(1.0).alias("boost"))
+    b = words_of(ref, ref_id, ref_col).groupBy("words").agg(F.min("id").alias("ref_id")).select("ref_id", F.explode("words").alias("key"))
+    b = stored(b, "tokens")
     df = b.groupBy("key").agg(F.count(F.lit(1)).alias("df")).withColumn("slices", F.ceil(F.col("df") / SLICE_ROWS))
     posted = b.join(df, "key").select("key", "ref_id", F.lit(1.0).alias("impact"), "df", F.pmod(F.xxhash64("ref_id"), F.col("slices")).alias("slice"), "slices")
-    return best_scores(a, posted).select("source_id", "ref_id", F.col("score").cast("long").alias("overlap"))
+    best = best_scores(a, posted).select(F.col("source_id").alias("_q"), "ref_id", F.col("score").cast("long").alias("overlap"))
+    return asks.join(same, "words").select(F.col("id").alias("source_id"), "_q").join(best, "_q").select("source_id", "ref_id", "overlap")
 
 
 def update_labels(linked: DataFrame, labels: DataFrame, source_id: str, refs: DataFrame, ref_id: str, keep_true: bool = False) -> DataFrame:
