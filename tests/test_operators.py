@@ -623,3 +623,25 @@ def test_of_terms_of_one_weight_the_common_ones_are_not_expanded(spark, monkeypa
     r = spark.createDataFrame([(i, f"zeta word{chr(97 + i // 26)}{chr(97 + i % 26)}" + " alpha" * (i == 30)) for i in range(40)], "rid long, full string")
     assert [tuple(x) for x in link.token_overlap_top1(s, "sid", "n", r, "rid", "full").collect()] == [(1, 30, 2)]
     assert met == [1]
+
+
+@pytest.mark.parametrize("share", [0.001, 0.1, 1.0])
+def test_token_overlap_of_rare_and_common_words(spark, monkeypatch, share):
+    """Whatever counts as rare, the best are those of all pairs; ids that differ by rare words are taken together for the rest."""
+    rng = random.Random(7)
+    words = ["red", "blue", "box", "ring", "tin", "gear"]
+    some = lambda i: [*rng.sample(words, rng.randint(0, 3)), f"lot{i // 4}"]
+    asks, refs = [(i, some(i)) for i in range(60)], [(100 + i, some(i)) for i in range(48)]
+    refs += [(110, ["red", "lot3"]), (200, ["lot0"])]
+    among, best_scores = [], link.best_scores
+    monkeypatch.setattr(link, "RARE_SHARE", share, raising=False)
+    monkeypatch.setattr(link, "best_scores", lambda terms, posted: among.append(posted.select("ref_id").distinct().count()) or best_scores(terms, posted))
+    s, r = (spark.createDataFrame([(k, " ".join(v)) for k, v in rows], kinds) for rows, kinds in ((asks, "sid long, n string"), (refs, "rid long, full string")))
+    every = {}
+    for a, x in asks:
+        for b, y in refs:
+            if n := len(set(x) & set(y)):
+                every.setdefault(a, Counter())[b] += n
+    rows = link.token_overlap_top1(s, "sid", "n", r, "rid", "full").collect()
+    assert {x["source_id"]: (-x["overlap"], x["ref_id"]) for x in rows} == {a: min((-n, b) for b, n in found.items()) for a, found in every.items()}
+    assert len(rows) == len(every) and among[0] <= {0.001: 49, 0.1: 41, 1.0: 0}[share]

@@ -18,6 +18,8 @@ LINK_COLUMNS = ("__ID_REF", "__ES_SCORE", "__THRESH", "__CONFIDENCE", "__IS_MATC
 #: Postings of a term are dealt to tasks in slices of so many rows. For a first bound on a row's best score, so many of
 #: its rarest terms and about so many postings of each are looked at.
 SLICE_ROWS, FIRST_TERMS, FIRST_ROWS = 10_000, 3, 32
+#: A token of at most so many reference ids, and so large a share of them, is rare.
+RARE_ROWS, RARE_SHARE = 100, 0.01
 #: Source rows that a labeller asks about.
 SAMPLE_ROWS = 3000
 #: Scores that differ by less are equal.
@@ -296,22 +298,42 @@ def token_overlap_top1(source: DataFrame, source_id: str, source_col: str, ref:
     """(source_id, ref_id, overlap): the row with most distinct common tokens, ties to the smaller id.
 
     Source ids with equal tokens are one query, and of reference ids with equal tokens only the smallest, which wins
-    ties, is a candidate. An id of several rows has the tokens of each of them.
+    ties, is a candidate. An id of several rows has the tokens of each of them. Pairs that share a rare token are few and
+    all made. For the others only common tokens count, so there ids with equal common tokens are taken together; a pair
+    that shares a rare token too is put too low by that, but comes with its whole overlap from the first way.
     """
 
     def words_of(rows: DataFrame, row_id: str, c: str) -> DataFrame:
         words = F.array_sort(F.flatten(F.collect_list(F.array_distinct(tokens(c)))))
         return rows.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("id")).agg(words.alias("words")).where(F.size("words") > 0)
 
+    def each(rows: DataFrame, c: str) -> DataFrame:
+        return rows.select(c, F.explode("words").alias("key"))
+
     asks = stored(words_of(source, source_id, source_col), "asks")
     same = asks.groupBy("words").agg(F.min("id").alias("_q"))
-    a = same.select(F.col("_q").alias("source_id"), F.lit(0).alias("clause"), F.explode("words").alias("key"), F.lit(1.0).alias("boost"))
-    b = words_of(ref, ref_id, ref_col).groupBy("words").agg(F.min("id").alias("ref_id")).select("ref_id", F.explode("words").alias("key"))
-    b = stored(b, "tokens")
+    refs = stored(words_of(ref, ref_id, ref_col).groupBy("words").agg(F.min("id").alias("ref_id")), "refs")
+    n_refs = refs.agg(F.count(F.lit(1)).alias("n"))
+    is_rare = F.col("df") <= F.least(F.lit(float(RARE_ROWS)), F.col("n") * RARE_SHARE)
+    keys = stored(each(refs, "ref_id").groupBy("key").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_refs)).select("key", is_rare.alias("rare")), "keys")
+    rare = keys.where("rare").select("key")
+
+    pairs = each(same, "_q").join(rare, "key", "left_semi").join(each(refs, "ref_id").join(rare, "key", "left_semi"), "key").select("_q", "ref_id").distinct()
+    both = pairs.join(same.withColumnRenamed("words", "asked"), "_q").join(refs, "ref_id")
+    whole = both.select("_q", "ref_id", F.expr("aggregate(asked, 0L, (n, a) -> n + size(filter(words, w -> w = a)))").alias("overlap"))
+
+    def left_of(rows: DataFrame, c: str) -> DataFrame:
+        return each(rows, c).join(rare, "key", "left_anti").groupBy(c).agg(F.array_sort(F.collect_list("key")).alias("words"))
+
+    left = stored(left_of(same, "_q"), "left")
+    groups = left.groupBy("words").agg(F.min("_q").alias("source_id"))
+    a = each(groups, "source_id").select("source_id", F.lit(0).alias("clause"), "key", F.lit(1.0).alias("boost"))
+    b = stored(each(left_of(refs, "ref_id").groupBy("words").agg(F.min("ref_id").alias("ref_id")), "ref_id"), "tokens")
     df = b.groupBy("key").agg(F.count(F.lit(1)).alias("df")).withColumn("slices", F.ceil(F.col("df") / SLICE_ROWS))
     posted = b.join(df, "key").select("key", "ref_id", F.lit(1.0).alias("impact"), "df", F.pmod(F.xxhash64("ref_id"), F.col("slices")).alias("slice"), "slices")
-    best = best_scores(a, posted).select(F.col("source_id").alias("_q"), "ref_id", F.col("score").cast("long").alias("overlap"))
-    return asks.join(same, "words").select(F.col("id").alias("source_id"), "_q").join(best, "_q").select("source_id", "ref_id", "overlap")
+    best = best_scores(a, posted).join(groups, "source_id").join(left, "words").select("_q", "ref_id", F.col("score").cast("long").alias("overlap"))
+    top = best.union(whole).groupBy("_q").agg(F.min(F.struct((-F.col("overlap")).alias("s"), "ref_id", "overlap")).alias("t"))
+    return asks.join(same, "words").select(F.col("id").alias("source_id"), "_q").join(top, "_q").select("source_id", "t.ref_id", "t.overlap")
 
 
 def update_labels(linked: DataFrame, labels: DataFrame, source_id: str, refs: DataFrame, ref_id: str, keep_true: bool = False) -> DataFrame:
